@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL."""
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, mixing, token_counts
 
-OPS = [exact_dedup.op5_exact_dedup, bpe.op7_bpe]
+OPS = [mixing.op1_mixing, token_counts.op2_token_counts, exact_dedup.op5_exact_dedup, bpe.op7_bpe]
 SQL = {"op5_exact_dedup": exact_dedup.SQL}
 
 
