@@ -78,3 +78,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
             used += len(r["__t"])
             out.append((bytes(r["__t"]), int(r["__y"])))
     return out
+
+
+def lookup(rows: DataFrame, key: str, side: DataFrame, side_key: str, weight: str, total: int, spread: Column, share: float = 1 / 200) -> DataFrame:
+    """Left join of rows to side (one row per key, weight = rows with that key) without a hot partition.
+
+    Keys with over `share` of all rows are joined by broadcast (fewer than 1/share of them can exist); their
+    rows take a key of their own, made from `spread`, in the shuffled join for the rest. Null keys find nothing.
+    """
+    rest = [c for c in side.columns if c not in (side_key, weight)]
+    cold = side.select(F.col(side_key).cast("string").alias("__ck"), *[F.col(c).alias(f"__c_{c}") for c in rest])
+    hot = side.where(F.col(weight) > total * share).select(F.col(side_key).cast("string").alias("__hk"), *[F.col(c).alias(f"__h_{c}") for c in rest])
+    own = F.col(key).cast("string")
+    out = rows.join(F.broadcast(hot), own == F.col("__hk"), "left")
+    out = out.withColumn("__k", F.when(F.col("__hk").isNull(), own).otherwise(F.concat(F.lit("#"), F.xxhash64(spread).cast("string"))))
+    out = out.join(cold, F.col("__k") == F.col("__ck"), "left")
+    for c in rest:
+        out = out.withColumn(c, F.coalesce(f"__h_{c}", f"__c_{c}"))
+    return out.drop("__k", "__hk", "__ck", *[f"__{s}_{c}" for s in "hc" for c in rest])

@@ -100,12 +100,26 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
         active = [i for i in active if 0.0 < out[i] < 1.0]
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last fractional units so that words, then documents, come nearest to their expectation."""
+def land(p: np.ndarray, size: np.ndarray, wanted: float, free: np.ndarray) -> np.ndarray:
+    """Solve the landing problem: round the last fractional units, then flip the fewest of the free ones.
+
+    The units that stay fractional can be long documents, so their rounding may leave a gap to the wanted
+    words; flipping the free unit that closes most of it, while one does, leaves less than a short document.
+    """
     at = np.flatnonzero((p > 0) & (p < 1))
     best = min(itertools.product((0.0, 1.0), repeat=len(at)), key=lambda z: (abs(float(((np.array(z) - p[at]) * size[at]).sum())), abs(sum(z) - p[at].sum()), z))
     p = p.copy()
     p[at] = best
+    free = np.flatnonzero(free & (size > 0))
+    gap = wanted - float((p * size).sum())
+    while len(free):
+        change = np.where(p[free] > 0.5, -size[free], size[free])
+        i = int(np.argmin(np.abs(gap - change)))
+        if abs(gap - change[i]) >= abs(gap):
+            break
+        gap -= float(change[i])
+        p[free[i]] = 1.0 - p[free[i]]
+        free = np.delete(free, i)
     return p
 
 
@@ -114,8 +128,9 @@ def _walk(last: bool):
         # long documents walk first, so what stays fractional and must be landed is short
         g = g.sort_values(["size", "k", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         size = g["size"].to_numpy(np.float64)
-        p = flight(g["p"].to_numpy(np.float64), size, np.random.default_rng([int(key[0]), int(key[1]), int(last), 7]))
-        g["p"] = land(p, size) if last else p
+        start = g["p"].to_numpy(np.float64)
+        p = flight(start, size, np.random.default_rng([int(key[0]), int(key[1]), int(last), 7]))
+        g["p"] = land(p, size, float((start * size).sum()), (start > 0) & (start < 1)) if last else p
         return g
 
     return run
