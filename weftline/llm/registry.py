@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL."""
 
-from . import bpe, exact_dedup, mixing, token_counts
+from . import bpe, exact_dedup, langid, mixing, quality, simhash, token_counts, toxicity
 
-OPS = [mixing.op1_mixing, token_counts.op2_token_counts, exact_dedup.op5_exact_dedup, bpe.op7_bpe]
+OPS = [mixing.op1_mixing, token_counts.op2_token_counts, simhash.op3_simhash, toxicity.op4_toxicity, exact_dedup.op5_exact_dedup, bpe.op7_bpe, langid.op8_langid, quality.op10_quality]
 SQL = {"op5_exact_dedup": exact_dedup.SQL}
 
 
