@@ -83,6 +83,7 @@ class SpeculativeBpe:
         self.alone = np.full(size, -1, np.int8)  # does the token's own text merge to it? -1: not asked yet
         self.known = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
+        self.recent: dict[int, bool] = {}
         self.find_any, self.find_plain = regex.compile(PATTERN).findall, re.compile(PLAIN).findall
         self.odd = odd_latin1()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -141,15 +142,22 @@ class SpeculativeBpe:
             out = np.where(seen, self.fits[at], False)
         else:
             seen, out = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-        new = keys[~seen]
-        if len(new):
-            ok = np.fromiter((self.exact(self.token[k >> 32] + self.token[k & 0xFFFFFFFF]) == [k >> 32, k & 0xFFFFFFFF] for k in new.tolist()), bool, len(new))
-            out[~seen] = ok
-            if len(self.known) + len(new) > KNOWN_PAIRS:
+        recent, exact, token = self.recent, self.exact, self.token
+        for at in np.flatnonzero(~seen).tolist():
+            k = int(keys[at])
+            ok = recent.get(k)
+            if ok is None:
+                a, b = k >> 32, k & 0xFFFFFFFF
+                ok = recent[k] = exact(token[a] + token[b]) == [a, b]
+            out[at] = ok
+        if len(recent) > 8192:  # decided pairs move to the sorted arrays in batches
+            if len(self.known) > KNOWN_PAIRS:
                 self.known, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
-            known, fits = np.concatenate([self.known, new]), np.concatenate([self.fits, ok])
+            known = np.concatenate([self.known, np.fromiter(recent, np.int64, len(recent))])
+            fits = np.concatenate([self.fits, np.fromiter(recent.values(), bool, len(recent))])
             order = np.argsort(known, kind="stable")
             self.known, self.fits = known[order], fits[order]
+            recent.clear()
         return out
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:

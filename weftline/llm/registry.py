@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL."""
 
-from . import bpe, exact_dedup, langid, mixing, quality, simhash, token_counts, toxicity
+from . import ann, bpe, exact_dedup, langid, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
 
-OPS = [mixing.op1_mixing, token_counts.op2_token_counts, simhash.op3_simhash, toxicity.op4_toxicity, exact_dedup.op5_exact_dedup, bpe.op7_bpe, langid.op8_langid, quality.op10_quality]
+OPS = [mixing.op1_mixing, token_counts.op2_token_counts, simhash.op3_simhash, toxicity.op4_toxicity, exact_dedup.op5_exact_dedup, ann.op6_ann, bpe.op7_bpe, langid.op8_langid, suffix_dedup.op9_suffix_dedup, quality.op10_quality]
 SQL = {"op5_exact_dedup": exact_dedup.SQL}
 
 
