@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = fingerprints(docs, id_col, text_col, words).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
     rows = cut(rows)
     distinct = cut(rows.groupBy("__fp").agg(F.min("__id").alias("first_id"), F.count("*").alias("n")).withColumnRenamed("__fp", "fp"))
-    comp = connected_components(links(distinct))
+    comp = connected_components(cut(links(distinct)))
     member = distinct.join(comp, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
     ids = member.groupBy("component").agg(F.min("first_id").alias("__component_id"))
     side = cut(member.select("fp", "n", "component").join(ids, "component").select("fp", "n", "__component_id"))
