@@ -6,18 +6,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("scaffold_id").orderBy("start", "end", "contig_id")
+
+def by_place():
+    """Window over a scaffold's fragments in layout order."""
+    return Window.partitionBy("scaffold_id").orderBy("start", "end", "contig_id")
 
 
 def gaps(layout: DataFrame) -> DataFrame:
     """Gap to the next fragment by (start, end); the last has 0."""
-    return layout.withColumn("gap", F.coalesce(F.lead("start").over(ORDER) - F.col("end"), F.lit(0.0)).cast("long"))
+    return layout.withColumn("gap", F.coalesce(F.lead("start").over(by_place()) - F.col("end"), F.lit(0.0)).cast("long"))
 
 
 def gap_breaks(layout: DataFrame, longest: float) -> DataFrame:
     """Piece number per scaffold: a gap over `longest` starts a new piece."""
-    g = layout.withColumn("__cut", F.when(F.col("start") - F.lag("end").over(ORDER) > longest, 1).otherwise(0))
-    return g.withColumn("piece", F.sum("__cut").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
+    g = layout.withColumn("__cut", F.when(F.col("start") - F.lag("end").over(by_place()) > longest, 1).otherwise(0))
+    return g.withColumn("piece", F.sum("__cut").over(by_place().rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
 
 
 def normalised(layout: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def neighbourhood(layout: DataFrame, reach: Column | float) -> DataFrame:
 
     Bins are as wide as the longest extent of the layout (one scalar), so a pair lies in the same or the next bins.
     """
-    rows = layout.withColumn("ord", F.row_number().over(ORDER)).withColumn("until", F.col("end") + reach)
+    rows = layout.withColumn("ord", F.row_number().over(by_place())).withColumn("until", F.col("end") + reach)
     width = float(rows.agg(F.max(F.col("until") - F.col("start"))).first()[0] or 1.0)
     width = max(width, 1.0)
     a = rows.select("scaffold_id", *[F.col(c).alias(f"{c}_i") for c in ("contig_id", "ord", "start", "end", "until")])
