@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -193,27 +194,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, carry: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row.
 
     Texts with fewer words than a shingle are one shingle; null and wordless texts have fingerprint zero and
     are linked like any other. Null ids are larger than others (a component of null ids has a null id).
-    Repeated rows get equal rows. With carry=True all input columns come first, then __component_id and __fp.
-    An empty table gives no rows.
+    Repeated rows get equal rows; other columns are not read. An empty table gives no rows.
     """
-    if carry:
-        cols = docs.columns
-
-        def run(batches):
-            for b in batches:
-                text = b.column(b.num_columns - 1)
-                fp = np.array([fingerprint(t.as_py(), words) for t in text], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*cols, "__fp"])
-
-        schema = docs.withColumn("__fp", F.lit(0).cast("long")).schema
-        rows = docs.withColumn("__t", binary_text(text_col)).mapInArrow(run, schema).withColumn("__id", F.col(id_col).cast("long"))
-    else:
-        rows = fingerprints(docs, id_col, text_col, words).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
+    rows = fingerprints(docs, id_col, text_col, words).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
     rows = cut(rows)
     distinct = cut(rows.groupBy("__fp").agg(F.min("__id").alias("first_id"), F.count("*").alias("n")).withColumnRenamed("__fp", "fp"))
     comp = connected_components(cut(links(distinct)))
@@ -222,18 +210,153 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = cut(member.select("fp", "n", "component").join(ids, "component").select("fp", "n", "__component_id"))
     total = side.agg(F.sum("n")).first()[0] or 0
     out = lookup(rows, "__fp", side, "fp", "n", total, F.col("__id"))
-    if carry:
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__component_id", "__fp")
     return out.select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component_id").alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The documents that stay: of each component the row with the smallest id (five-word shingles)."""
-    rows = near_duplicates(docs, id_col, text_col, words, carry=True)
-    named = rows.where(F.col(id_col).isNotNull() & (F.col(id_col).cast("long") == F.col("__component_id"))).dropDuplicates(["__component_id"])
-    unnamed = rows.where(F.col("__component_id").isNull())
-    unnamed = unnamed.dropDuplicates(["__fp"])
-    return named.select(docs.columns).unionByName(unnamed.select(docs.columns))
+# ---- the pipeline's stage: similarity of five-word shingles ------------------------------------------------------
+#: Fingerprints of a document's single words, shingle length, similarity, and hashes kept of a document's shingles.
+PRINTS, SHINGLE, SIMILAR, SKETCH = 3, 5, 0.8, 512
+_word_hash: dict[bytes, int] = {}
+
+
+def _mix(h: np.ndarray, c: int) -> np.ndarray:
+    h = (h ^ np.uint64(c)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def signature(text: bytes) -> tuple[list[int], bytes]:
+    """PRINTS fingerprints of the words (a word counts as often as it occurs) and the smallest SKETCH hashes of the
+    distinct five-word shingles (fewer words: the whole sequence), as sorted 32-bit integers; no words: empty."""
+    tokens = text.lower().split()
+    if not tokens:
+        return [0] * PRINTS, b""
+    if len(_word_hash) > 300_000:
+        _word_hash.clear()
+    for w in set(tokens).difference(_word_hash):
+        _word_hash[w] = xxhash.xxh64_intdigest(w, 42)
+    h = np.array(list(map(_word_hash.__getitem__, tokens)), np.uint64)
+    value, times = np.unique(h, return_counts=True)
+    prints = []
+    for f in range(PRINTS):
+        count = np.zeros(64, np.int64)
+        for i in range(0, len(value), 1 << 16):
+            bits = np.unpackbits(_mix(value[i : i + (1 << 16)], f + 1).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            count += times[i : i + (1 << 16)] @ bits
+        prints.append(int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0]))
+    n = max(1, len(h) - SHINGLE + 1)
+    shingle = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(h))):
+        shingle = _mix(shingle ^ h[i : i + n], i + 11)
+    return prints, np.unique((shingle >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches; exact for sets that fit a sketch."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)[:SKETCH]
+    return 1.0 if not len(both) else float((np.isin(both, x) & np.isin(both, y)).mean())
+
+
+def _print_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rid = b.column(0).to_numpy()
+        for at in range(0, len(rid), 1000):
+            for f in range(PRINTS):
+                fp = b.column(1 + f).to_numpy()[at : at + 1000].view(np.uint64)
+                row, key = fuzzy_keys(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(f) << 48), pa.array(fp[row].view(np.int64)), pa.array(rid[at : at + 1000][row])], names=["key", "fp", "rid"])
+
+
+def _rid_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _links, for rows that carry a document: links between documents, equal fingerprints included."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+
+    def out(key, fp, rid):
+        fp = fp.view(np.uint64)
+        left, right = [rid[:0]], [rid[:0]]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        small = np.repeat(size <= 16, size)
+        for lag in range(1, min(16, int(size.max(initial=0)))):
+            ok = np.flatnonzero((key[lag:] == key[:-lag]) & small[lag:])
+            ok = ok[np.bitwise_count(fp[ok] ^ fp[ok + lag]) <= MAX_BITS]
+            left.append(rid[ok])
+            right.append(rid[ok + lag])
+        for at, n in zip(first[size > 16].tolist(), size[size > 16].tolist()):
+            run, own, comp = fp[at : at + n], rid[at : at + n], np.arange(n)
+            for i in range(n):
+                other = np.flatnonzero(comp != comp[i])
+                if not len(other):
+                    break
+                other = other[np.bitwise_count(run[other] ^ run[i]) <= MAX_BITS]
+                if len(other):
+                    left.append(np.full(len(other), own[i]))
+                    right.append(own[other])
+                    comp[np.isin(comp, comp[other])] = comp[i]
+        a, b = np.concatenate(left), np.concatenate(right)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["src", "dst"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
+        key = held[0]
+        if key[0] == key[-1]:
+            continue
+        end = int(np.searchsorted(key, key[-1]))
+        yield out(*(x[:end] for x in held))
+        held = [x[end:] for x in held]
+    if len(held[0]):
+        yield out(*held)
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with their own columns: of each group of near duplicates the smallest id.
+
+    Near duplicates have a similarity (Jaccard, five-word shingles) of SIMILAR or more. A changed word touches five
+    shingles but one word, so the fingerprints that bring candidates together are of single words: PRINTS independent
+    ones, of which one must be within MAX_BITS; then the shingles' sketches decide. Null and wordless texts are equal
+    to each other. Null ids count as largest; of repeated rows one stays. An empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [signature(t.as_py()) for t in b.column(2)]
+            prints = np.array([p for p, _ in got], np.uint64).reshape(-1, PRINTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(prints[:, f])) for f in range(PRINTS)), pa.array([s for _, s in got], pa.binary())], names=["id", "k", *[f"f{f}" for f in range(PRINTS)], "s"])
+
+    prints = [f"f{f}" for f in range(PRINTS)]
+    textkey = F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), textkey.alias("k"), binary_text(text_col).alias("t"))
+    rows = rows.mapInArrow(run, "id long, k long, " + ", ".join(f"{f} long" for f in prints) + ", s binary")
+    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
+    alike = rows.groupBy(*prints, F.xxhash64("s").alias("h")).agg(F.min("rid").alias("rid"), F.count("*").alias("n"))
+    alike = cut(alike)
+    keyed = alike.select("rid", *prints).mapInArrow(_print_keys, "key long, fp long, rid long")
+    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_rid_links, "src long, dst long").distinct()
+    a, b = (rows.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
+
+    @F.pandas_udf("double")
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([sketch_similarity(p, q) for p, q in zip(x, y)], dtype=float)
+
+    linked = pairs.join(a, "src").join(b, "dst").where(similarity("s_src", "s_dst") >= SIMILAR).select("src", "dst")
+    comp = connected_components(cut(linked))
+    # rows with one signature follow its representative; only groups of two rows or more are looked at again
+    groups = alike.join(comp, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
+    groups = groups.where(F.col("node").isNotNull() | (F.col("n") > 1)).select(*prints, "h", "component")
+    member = rows.withColumn("h", F.xxhash64("s")).select("id", "k", "rid", *prints, "h").join(groups, [*prints, "h"])
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
+    first = member.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o.rid").alias("stays"))
+    member = cut(member.join(first, "component").select("id", "k", (F.col("rid") == F.col("stays")).alias("stays")))
+    fate = member.groupBy(F.col("id").alias("__id"), F.col("k").alias("__k")).agg(F.max("stays").alias("__stays"), F.count("*").alias("__n"))
+    out = docs.withColumn("__j", textkey).join(fate, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("__j").eqNullSafe(F.col("__k")), "left")
+    out = out.where(F.col("__stays").isNull() | F.col("__stays"))
+    once = out.where("__n is null or __n = 1")
+    return once.select(docs.columns).unionByName(out.where("__n > 1").dropDuplicates(["__id", "__k"]).select(docs.columns))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
