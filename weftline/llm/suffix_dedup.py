@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_text, cut, table
+from .common import binary_text, cut, small_batches, table
 
 LENGTH, HEAD = 100, 24
 SPAN = LENGTH - HEAD + 1  # heads in a window
@@ -83,7 +83,7 @@ def runs(text: bytes, did: int) -> np.ndarray:
 
 def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     """Order of rows by several words: partition by the first word around a pivot into less, equal and greater,
-    go on with the next word inside equal; segments that fit the cache are finished by argsort word by word."""
+    go on with the next word inside equal; segments that fit the cache are finished by one sort of their words left."""
     order = np.arange(len(columns[0]))
     stack = [(0, len(order), 0)]
     while stack:
@@ -100,13 +100,7 @@ def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
             order[lo:hi] = np.concatenate([part[less], part[equal], part[more]])
             stack += [(lo, lo + n, word), (lo + n, lo + n + e, word + 1), (lo + n + e, hi, word)]
             continue
-        by = np.argsort(v, kind="stable")
-        order[lo:hi], v = part[by], v[by]
-        same = np.flatnonzero(v[1:] == v[:-1])
-        if len(same):
-            cuts = np.flatnonzero(np.diff(same) > 1)
-            for i, j in zip(same[np.r_[0, cuts + 1]].tolist(), same[np.r_[cuts, len(same) - 1]].tolist()):
-                stack.append((lo + i, lo + j + 2, word + 1))
+        order[lo:hi] = part[np.lexsort([c[part] for c in columns[: word - 1 if word else None : -1]])]
     return order
 
 
@@ -387,6 +381,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are documents of their own, ordered by text. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = numbered(docs, id_col, text_col)
     splitters = sample_splitters(docs, parts)
