@@ -209,8 +209,7 @@ class SpeculativeBpe:
         new: set[str] = set()
         for ws in lists:
             new.update(ws)
-        new.difference_update(cache)
-        words = list(new)
+        words = [w for w in new if w not in cache]
         for w, ids in zip(words, self.encode_words([w.encode() for w in words])):
             cache[w] = pack(ids)
 

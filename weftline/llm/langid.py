@@ -92,10 +92,10 @@ class Scorer:
         try:
             at = list(map(self.at.__getitem__, words))
         except KeyError:
-            new = set(words).difference(self.at)
+            new = {w for w in words if w not in self.at}
             if len(self.at) + len(new) > len(self.rows):
                 self.at = dict(self.known)
-                new = set(words).difference(self.at)
+                new = {w for w in words if w not in self.at}
             for w in new:
                 self.rows[len(self.at)] = self.m.unseen(w)
                 self.at[w] = len(self.at)

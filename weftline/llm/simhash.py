@@ -234,8 +234,9 @@ def signature(text: bytes) -> tuple[list[int], bytes]:
         return [0] * PRINTS, b""
     if len(_word_hash) > 300_000:
         _word_hash.clear()
-    for w in set(tokens).difference(_word_hash):
-        _word_hash[w] = xxhash.xxh64_intdigest(w, 42)
+    for w in tokens:
+        if w not in _word_hash:
+            _word_hash[w] = xxhash.xxh64_intdigest(w, 42)
     h = np.array(list(map(_word_hash.__getitem__, tokens)), np.uint64)
     value, times = np.unique(h, return_counts=True)
     prints = []
