@@ -256,6 +256,8 @@ def test_repeats_like_brute_force(spark, odd, empty):
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(docs).collect()}
     assert got == brute_repeats(rows)
+    hot = suffix_dedup.remove_repeats(docs, hot_rows=1).collect()  # every shared passage through the second sort
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in hot} == got
     assert suffix_dedup.remove_repeats(odd).count() == len(ODD) and suffix_dedup.remove_repeats(empty).count() == 0
 
 

@@ -37,6 +37,8 @@ ZONE = 19  # offsets 0-18, 19-37, 38-56, 57-76
 PIECE = 1 << 19
 SAMPLE_DOCS, SAMPLE_KEYS = 400, 60_000
 FLUSH = 1 << 18
+#: Windows of more runs than this around the same bytes go through a second partitioned sort, window by window.
+HOT_ROWS = 50_000
 
 RUN = np.dtype([("k", "<u8"), ("c", "<u8"), ("did", "<i8"), ("lo", "<i4"), ("n", "u1"), ("oa", "u1")])
 SPANS = np.dtype([("did", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
@@ -270,6 +272,8 @@ def compare_windows(rows: np.ndarray) -> np.ndarray:
     group = np.cumsum(new) - 1
     many = np.bincount(group)[group] > 1
     rows, group = rows[many], group[many]
+    if not len(rows):
+        return np.zeros(0, SPANS)
     side = np.pad(rows["side"], ((0, 0), (0, 5)))
     out = []
     for i in range(ZONE + 1):
@@ -288,6 +292,22 @@ def compare_windows(rows: np.ndarray) -> np.ndarray:
     return merged(np.concatenate(out)) if out else np.zeros(0, SPANS)
 
 
+def single_windows(rows: np.ndarray) -> np.ndarray:
+    """Every window of these rows as a run of its own, keyed by its content: the shared bytes' hash and its own bytes."""
+    out = []
+    for i in range(ZONE + 1):
+        r = rows[(rows["olo"] <= i) & (rows["ohi"] >= i)]
+        w = np.zeros(len(r), RUN)
+        word = np.ascontiguousarray(np.pad(r["side"][:, ZONE - i : 2 * ZONE - i], ((0, 0), (0, 24 - ZONE)))).view("<u8").reshape(len(r), 3)
+        h = r["z2"] ^ np.uint64(i)
+        for j in range(3):
+            h = (h ^ word[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        w["k"], w["c"], w["did"], w["lo"] = r["z1"], h, r["did"], r["a"] - ZONE * r["z"].astype(np.int32) - i
+        out.append(w)
+    return np.concatenate(out)
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Union of the spans of each document, sorted; touching spans become one."""
     if not len(spans):
@@ -303,14 +323,21 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(parts: int):
+def _compare(parts: int, hot_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for b in batches:
             for part, x in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
                 blobs.setdefault(part, []).append(x)
         for xs in blobs.values():
-            spans = compare_windows(np.frombuffer(b"".join(xs), EDGE))
+            rows = np.frombuffer(b"".join(xs), EDGE)
+            _, group, n = np.unique(rows["z1"], return_inverse=True, return_counts=True)
+            hot = n[group] > hot_rows
+            if hot.any():
+                for part in np.array_split(rows[hot], max(1, int(hot.sum()) // FLUSH)):
+                    w = single_windows(part)
+                    yield packets(3, np.arange(len(w)) // FLUSH, w)
+            spans = compare_windows(rows[~hot])
             yield packets(0, _deal(spans["did"], parts), spans)
 
     return run
@@ -369,11 +396,47 @@ def sample_splitters(docs: DataFrame, parts: int) -> np.ndarray:
 
     got = few.mapInArrow(run, "r binary").limit(4 * SAMPLE_DOCS).collect()
     keys = np.frombuffer(b"".join(bytes(x["r"]) for x in got), RUN)[:SAMPLE_KEYS]
-    keys = keys[multikey_quicksort([keys["k"], keys["c"], keys["did"], keys["lo"]])] if len(keys) else keys
-    return keys[np.unique((np.arange(1, parts) * len(keys)) // parts)] if len(keys) else keys
+    return quantiles(keys, parts)
+
+
+def quantiles(keys: np.ndarray, parts: int) -> np.ndarray:
+    if not len(keys) or parts < 2:
+        return np.zeros(0, RUN)
+    keys = keys[multikey_quicksort([keys["k"], keys["c"], keys["did"], keys["lo"]])]
+    return keys[np.unique((np.arange(1, parts) * len(keys)) // parts)]
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(4):
+            r = np.frombuffer(x.as_py(), RUN)
+            r = r[:: 1 + len(r) // 2000]
+            yield packets(3, np.zeros(len(r), np.int32), r)
+
+
+def _rerouted(splitters: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(4):
+                r = np.frombuffer(x.as_py(), RUN)
+                yield packets(0, route(r, splitters), r)
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sorted(keyed: DataFrame, splitters: np.ndarray, parts: int) -> DataFrame:
+    """Sort range-partitioned runs in their buckets and compare within and across buckets: packets of kind 0
+    (spans of repeats) and 1 (first of their content, with others at the same head)."""
+    found = cut(keyed.repartitionById(len(splitters) + 1, "part").mapInArrow(_bucket(parts), PACKET))
+    ends = [(r["part"], np.frombuffer(bytes(r["payload"]), RUN)) for r in found.where("kind = 2").select("part", "payload").collect()]
+    repeats, firsts = boundaries(ends)
+    more = []
+    for kind, rows in ((0, spans_of(repeats)), (1, firsts)):
+        more += [tuple(x.values()) for x in packets(kind, _deal(rows["did"], parts), rows).to_pylist()]
+    return found.unionByName(keyed.sparkSession.createDataFrame(more, PACKET)) if more else found
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (int32 pairs) for every document.
 
     A byte goes if some LENGTH-byte string that covers it also starts earlier: in a document with a smaller id,
@@ -385,18 +448,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = numbered(docs, id_col, text_col)
     splitters = sample_splitters(docs, parts)
-    keyed = docs.select("did", "t").mapInArrow(_runs(splitters), PACKET)
-    found = cut(keyed.repartitionById(len(splitters) + 1, "part").mapInArrow(_bucket(parts), PACKET))
-    ends = [(r["part"], np.frombuffer(bytes(r["payload"]), RUN)) for r in found.where("kind = 2").select("part", "payload").collect()]
-    repeats, firsts = boundaries(ends)
-    more = []
-    for kind, rows in ((0, spans_of(repeats)), (1, firsts)):
-        more += [tuple(x.values()) for x in packets(kind, _deal(rows["did"], parts), rows).to_pylist()]
-    if more:
-        found = found.unionByName(spark.createDataFrame(more, PACKET))
+    found = _sorted(docs.select("did", "t").mapInArrow(_runs(splitters), PACKET), splitters, parts)
     texts = docs.mapInArrow(_as_packets(parts), PACKET)
     together = found.where("kind = 1").unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind")
-    compared = cut(together.mapInArrow(_edges(parts), PACKET).repartitionById(parts, "part").mapInArrow(_compare(parts), PACKET))
+    compared = cut(together.mapInArrow(_edges(parts), PACKET).repartitionById(parts, "part").mapInArrow(_compare(parts, hot_rows), PACKET))
+    windows = compared.where("kind = 3")
+    few = windows.mapInArrow(_thinned, PACKET).limit(4 * SAMPLE_DOCS).select("payload").collect()
+    compared = compared.where("kind = 0")
+    if few:
+        splitters = quantiles(np.frombuffer(b"".join(bytes(r["payload"]) for r in few), RUN), parts)
+        compared = compared.unionByName(_sorted(windows.mapInArrow(_rerouted(splitters), PACKET), splitters, parts).where("kind = 0"))
     together = found.where("kind = 0").unionByName(compared).unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind")
     return together.mapInArrow(_finish, FINAL)
 
