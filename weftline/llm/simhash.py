@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- the pipeline's stage: similarity of five-word shingles ------------------------------------------------------
 #: Fingerprints of a document's single words, shingle length, similarity, and hashes kept of a document's shingles.
-PRINTS, SHINGLE, SIMILAR, SKETCH = 3, 5, 0.8, 512
+PRINTS, SHINGLE, SIMILAR, SKETCH = 3, 5, 0.8, 256
 _word_hash: dict[bytes, int] = {}
 
 
@@ -227,7 +227,7 @@ def _mix(h: np.ndarray, c: int) -> np.ndarray:
 
 
 def signature(text: bytes) -> tuple[list[int], bytes]:
-    """PRINTS fingerprints of the words (a word counts as often as it occurs) and the smallest SKETCH hashes of the
+    """PRINTS fingerprints of the distinct words (common ones would make unlike texts alike) and the smallest SKETCH hashes of the
     distinct five-word shingles (fewer words: the whole sequence), as sorted 32-bit integers; no words: empty."""
     tokens = text.lower().split()
     if not tokens:
@@ -238,14 +238,14 @@ def signature(text: bytes) -> tuple[list[int], bytes]:
         if w not in _word_hash:
             _word_hash[w] = xxhash.xxh64_intdigest(w, 42)
     h = np.array(list(map(_word_hash.__getitem__, tokens)), np.uint64)
-    value, times = np.unique(h, return_counts=True)
+    value = np.unique(h)
     prints = []
     for f in range(PRINTS):
         count = np.zeros(64, np.int64)
         for i in range(0, len(value), 1 << 16):
             bits = np.unpackbits(_mix(value[i : i + (1 << 16)], f + 1).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            count += times[i : i + (1 << 16)] @ bits
-        prints.append(int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0]))
+            count += bits.sum(axis=0, dtype=np.int64)
+        prints.append(int(np.packbits(2 * count > len(value), bitorder="little").view("<u8")[0]))
     n = max(1, len(h) - SHINGLE + 1)
     shingle = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(h))):
