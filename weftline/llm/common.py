@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 
@@ -31,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of steps that are cut off: Spark does so once the driver has collected
+    the plans that refer to them, by default every half hour, so without this all steps' files add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand texts to Python in batches of at most so many rows; Arrow's buffers lie outside the executor's heap."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
 
-from .common import binary_text, cut, lookup, table
+from .common import binary_text, cut, lookup, release, table
 
 #: Generator polynomial of the (23,12) Golay code (fixed value).
 GOLAY = 0b101011100011
@@ -334,10 +334,12 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), textkey.alias("k"), binary_text(text_col).alias("t"))
     rows = rows.mapInArrow(run, "id long, k long, " + ", ".join(f"{f} long" for f in prints) + ", s binary")
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
     alike = rows.groupBy(*prints, F.xxhash64("s").alias("h")).agg(F.min("rid").alias("rid"), F.count("*").alias("n"))
     alike = cut(alike)
     keyed = alike.select("rid", *prints).mapInArrow(_print_keys, "key long, fp long, rid long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_rid_links, "src long, dst long").distinct()
+    pairs = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_rid_links, "src long, dst long").distinct())
+    release(docs.sparkSession)
     a, b = (rows.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
 
     @F.pandas_udf("double")
@@ -345,7 +347,9 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.Series([sketch_similarity(p, q) for p, q in zip(x, y)], dtype=float)
 
     linked = pairs.join(a, "src").join(b, "dst").where(similarity("s_src", "s_dst") >= SIMILAR).select("src", "dst")
-    comp = connected_components(cut(linked))
+    linked = cut(linked)
+    release(docs.sparkSession)
+    comp = connected_components(linked)
     # rows with one signature follow its representative; only groups of two rows or more are looked at again
     groups = alike.join(comp, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
     groups = groups.where(F.col("node").isNotNull() | (F.col("n") > 1)).select(*prints, "h", "component")
@@ -353,6 +357,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
     first = member.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o.rid").alias("stays"))
     member = cut(member.join(first, "component").select("id", "k", (F.col("rid") == F.col("stays")).alias("stays")))
+    release(docs.sparkSession)
     fate = member.groupBy(F.col("id").alias("__id"), F.col("k").alias("__k")).agg(F.max("stays").alias("__stays"), F.count("*").alias("__n"))
     out = docs.withColumn("__j", textkey).join(fate, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("__j").eqNullSafe(F.col("__k")), "left")
     out = out.where(F.col("__stays").isNull() | F.col("__stays"))
