@@ -233,6 +233,41 @@ def test_near_duplicates(spark, odd, empty):
     assert left.count() == 6  # five words, wordless, repeated id, no id, long, mixed
 
 
+def brute_kept(texts):
+    """Smallest number of each component of texts whose five-word shingles have a similarity of 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 9 * len(x & sets[j]) >= 4 * (len(x) + len(sets[j])):
+                root = [root[j] if r == root[i] else r for r in root]
+    return {min(i for i, r in enumerate(root) if r == c) for c in set(root)}
+
+
+def kept_ids(spark, texts):
+    return {x.doc_id for x in simhash.one_per_group(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+
+
+def test_near_copies_in_long_buckets(spark):
+    r = np.random.default_rng(16)
+    words, texts = [f"w{i}" for i in range(200)], []
+    for g in range(3):  # templated texts: one vocabulary, 60 copies with few or many edits each
+        base = list(r.choice(words, 120))
+        for _ in range(60):
+            b = list(base)
+            for at in r.integers(0, 120, int(r.integers(0, 9))):
+                b[at] = words[int(r.integers(0, 200))]
+            texts.append(" ".join(b))
+        for _ in range(8):  # pairs that are near each other but far from their template
+            b = list(base)
+            for at in r.integers(0, 120, 12):
+                b[at] = words[int(r.integers(0, 200))]
+            texts += [" ".join(b), " ".join([*b[:-1], "end"])]
+    order = r.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    assert kept_ids(spark, texts) == brute_kept(texts)
+
+
 # ---- suffixes ----
 def brute_repeats(rows, n=100):
     seen, out = set(), {}

@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 # ---- the pipeline's stage: similarity of five-word shingles ------------------------------------------------------
-#: Fingerprints of a document's single words, shingle length, similarity, and hashes kept of a document's shingles.
-PRINTS, SHINGLE, SIMILAR, SKETCH = 3, 5, 0.8, 256
+#: Shingle length; similarity as a fraction; documents sampled for, and number of, shingles that count as common; rows in a
+#: bucket from which all pairs are no longer listed at once; 64-bit words of a set's parity bits.
+SHINGLE, SIMILAR, COMMON_DOCS, COMMON, SMALL, PARITY = 5, (4, 5), 10_000, 100_000, 16, 4
 _word_hash: dict[bytes, int] = {}
 
 
@@ -226,138 +227,232 @@ def _mix(h: np.ndarray, c: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def signature(text: bytes) -> tuple[list[int], bytes]:
-    """PRINTS fingerprints of the distinct words (common ones would make unlike texts alike) and the smallest SKETCH hashes of the
-    distinct five-word shingles (fewer words: the whole sequence), as sorted 32-bit integers; no words: empty."""
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted 64-bit hashes of all distinct five-word shingles (fewer words: the whole sequence); no words: empty."""
     tokens = text.lower().split()
     if not tokens:
-        return [0] * PRINTS, b""
+        return np.zeros(0, np.uint64)
     if len(_word_hash) > 300_000:
         _word_hash.clear()
     for w in tokens:
         if w not in _word_hash:
             _word_hash[w] = xxhash.xxh64_intdigest(w, 42)
     h = np.array(list(map(_word_hash.__getitem__, tokens)), np.uint64)
-    value = np.unique(h)
-    prints = []
-    for f in range(PRINTS):
-        count = np.zeros(64, np.int64)
-        for i in range(0, len(value), 1 << 16):
-            bits = np.unpackbits(_mix(value[i : i + (1 << 16)], f + 1).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            count += bits.sum(axis=0, dtype=np.int64)
-        prints.append(int(np.packbits(2 * count > len(value), bitorder="little").view("<u8")[0]))
     n = max(1, len(h) - SHINGLE + 1)
     shingle = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(h))):
         shingle = _mix(shingle ^ h[i : i + n], i + 11)
-    return prints, np.unique((shingle >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+    return np.unique(shingle)
 
 
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact for sets that fit a sketch."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)[:SKETCH]
-    return 1.0 if not len(both) else float((np.isin(both, x) & np.isin(both, y)).mean())
+def parity(h: np.ndarray) -> bytes:
+    """PARITY x 64 bits, each flipped by the shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((h >> np.uint64(20) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _print_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rid = b.column(0).to_numpy()
-        for at in range(0, len(rid), 1000):
-            for f in range(PRINTS):
-                fp = b.column(1 + f).to_numpy()[at : at + 1000].view(np.uint64)
-                row, key = fuzzy_keys(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(f) << 48), pa.array(fp[row].view(np.int64)), pa.array(rid[at : at + 1000][row])], names=["key", "fp", "rid"])
-
-
-def _rid_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _links, for rows that carry a document: links between documents, equal fingerprints included."""
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-    def out(key, fp, rid):
-        fp = fp.view(np.uint64)
-        left, right = [rid[:0]], [rid[:0]]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        small = np.repeat(size <= 16, size)
-        for lag in range(1, min(16, int(size.max(initial=0)))):
-            ok = np.flatnonzero((key[lag:] == key[:-lag]) & small[lag:])
-            ok = ok[np.bitwise_count(fp[ok] ^ fp[ok + lag]) <= MAX_BITS]
-            left.append(rid[ok])
-            right.append(rid[ok + lag])
-        for at, n in zip(first[size > 16].tolist(), size[size > 16].tolist()):
-            run, own, comp = fp[at : at + n], rid[at : at + n], np.arange(n)
-            for i in range(n):
-                other = np.flatnonzero(comp != comp[i])
-                if not len(other):
-                    break
-                other = other[np.bitwise_count(run[other] ^ run[i]) <= MAX_BITS]
-                if len(other):
-                    left.append(np.full(len(other), own[i]))
-                    right.append(own[other])
-                    comp[np.isin(comp, comp[other])] = comp[i]
-        a, b = np.concatenate(left), np.concatenate(right)
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["src", "dst"])
+def alike_enough(common, x, y):
+    """Whether sets of x and y elements with so many in common have a similarity of SIMILAR or more, in whole numbers."""
+    return (SIMILAR[0] + SIMILAR[1]) * common >= SIMILAR[0] * (x + y)
+
+
+def sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return SIMILAR[1] * np.minimum(x, y) >= SIMILAR[0] * np.maximum(x, y)
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """The exact test on two whole shingle sets."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = np.sort(np.concatenate([x, y]))
+    return bool(alike_enough(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
+
+
+def prefix(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets share (uncommon ones first, then by hash), one of which every
+    similar set has among its own first ones: the others are too few for the similarity."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = np.where(common[at] == h, count[at], 0)
+        if often.any():
+            h = h[np.argsort(often, kind="stable")]
+    n = len(h)
+    return h[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1] if n else h
+
 
+def _runs(batches: Iterator[pa.RecordBatch], out) -> Iterator[pa.RecordBatch]:
+    """out(table) for whole runs of the sorted first column."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
-        key = held[0]
-        if key[0] == key[-1]:
+        key = b.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() == key[-1]:
+            held.append(b)  # one run goes on
             continue
-        end = int(np.searchsorted(key, key[-1]))
-        yield out(*(x[:end] for x in held))
-        held = [x[end:] for x in held]
-    if len(held[0]):
-        yield out(*held)
+        end = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
+        yield from out(pa.Table.from_batches([*held, b.slice(0, end)]).combine_chunks())
+        held = [b.slice(end)]
+    if held:
+        yield from out(pa.Table.from_batches(held).combine_chunks())
+
+
+def _pairs(left: list, right: list) -> np.ndarray:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def _first_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """All pairs of runs of up to SMALL rows; of longer ones some pairs, and the rows themselves (dst -1)."""
+    key, rid, n = (t.column(i).to_numpy() for i in range(3))
+    if not len(key):
+        return
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    small = np.repeat(size <= SMALL, size)
+    left, right = [], []
+    for lag in range(1, min(SMALL, int(size.max()))):
+        ok = np.flatnonzero((key[lag:] == key[:-lag]) & small[lag:])
+        ok = ok[sizes_fit(n[ok], n[ok + lag])]
+        left.append(rid[ok])
+        right.append(rid[ok + lag])
+    for at, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        # another order in every run, so that a document meets other neighbours in each
+        order = at + np.argsort(_mix(rid[at : at + m].view(np.uint64) ^ np.uint64(int(key[at]) & (2**63 - 1)), 5))
+        for i, j in ((order[:-1], order[1:]), (order[:-2], order[2:])):
+            ok = sizes_fit(n[i], n[j])
+            left.append(rid[i[ok]])
+            right.append(rid[j[ok]])
+    pair, hot = _pairs(left, right), np.flatnonzero(~small)
+    cols = np.concatenate([np.zeros(len(pair), np.int64), key[hot]]), np.concatenate([pair[:, 0], rid[hot]]), np.concatenate([pair[:, 1], np.full(len(hot), -1)])
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "src", "dst"])
+
+
+def _cross_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """All pairs of a run that are not yet in one component and that sizes and parity bits do not rule out."""
+    key, rid, comp, n = (t.column(i).to_numpy() for i in range(4))
+    if not len(key):
+        return
+    bits = np.frombuffer(b"".join(t.column(4).to_pylist()), "<u8").reshape(-1, PARITY)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    left, right = [], []
+    for at, end in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+        ids, which, members = np.unique(comp[at:end], return_inverse=True, return_counts=True)
+        if len(ids) < 2:
+            continue
+        order = at + np.argsort(which == members.argmax(), kind="stable")  # the largest component's rows last: they need no turn
+        turns, c, size = int(end - at - members.max()), comp[order], n[order]
+        step = max(1, 1_000_000 // (end - at))
+        for i in range(0, turns, step):
+            own = np.arange(i, min(i + step, turns))
+            ok = c[own, None] != c[None, i:]
+            ok &= np.arange(i, end - at)[None] > own[:, None]
+            ok &= sizes_fit(size[own, None], size[None, i:])
+            x, y = np.nonzero(ok)
+            x, y = own[x], y + i
+            total = size[x] + size[y]
+            least = -(-SIMILAR[0] * total // sum(SIMILAR))
+            differ = np.bitwise_count(bits[order[x]] ^ bits[order[y]]).sum(1)
+            fits = differ <= total - 2 * least
+            left.append(rid[order[x[fits]]])
+            right.append(rid[order[y[fits]]])
+    pair = _pairs(left, right)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["src", "dst"])
+
+
+def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur more than once in a bounded sample, and how often. They only order the shingles: any choice
+    gives the same result, a good one short buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").view(np.int64))], names=["h"])
+
+    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, COMMON_DOCS / max(1, total)))).select("s")
+    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["n"].to_numpy(np.int64)[order]
+
+
+def similar_pairs(rows: DataFrame) -> DataFrame:
+    """Links (src, dst) that connect what pairs of similar sets connect; rows has rid and s (distinct whole sets).
+
+    Every similar pair shares a key (see prefix), so it meets in a bucket. Short buckets list all their pairs, long ones
+    first some; once those are decided, long buckets list every pair that is not connected yet and that sizes and parity
+    bits allow. All links are decided on the whole sets.
+    """
+    spark = rows.sparkSession
+    common = spark.sparkContext.broadcast(_common(rows, rows.count()))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                sets = [np.frombuffer(x, "<u8") for x in b.column(1).slice(at, 500).to_pylist()]
+                found = [prefix(h, *common.value) for h in sets]
+                many, n = np.array([len(x) for x in found], np.int64), np.array([len(x) for x in sets], np.int64)
+                key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+                rid = np.repeat(b.column(0).slice(at, 500).to_numpy(), many)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(np.repeat(n, many).astype(np.int32))], names=["key", "rid", "n"])
+
+    def extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary())], names=["rid", "n", "bits"])
+
+    @F.pandas_udf("boolean")
+    def same(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(p, q) for p, q in zip(x, y)], dtype=bool)
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.explode(F.array("src", "dst")).alias("rid")).distinct()
+        used = cut(rows.join(need, "rid").select("rid", "s"))
+        release(spark)
+        a, b = (used.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
+        out = cut(pairs.join(a, "src").join(b, "dst").where(same("s_src", "s_dst")).select("src", "dst"))
+        release(spark)
+        return out
+
+    keyed = rows.select("rid", "s").mapInArrow(keys, "key long, rid long, n int")
+    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _first_pairs), "key long, src long, dst long").distinct())
+    release(spark)
+    links_ = decided(met.where("dst >= 0").select("src", "dst"))
+    hot = met.where("dst < 0").select("key", F.col("src").alias("rid"))
+    if hot.isEmpty():
+        return links_
+    comp = connected_components(links_)
+    side = rows.join(hot.select("rid").distinct(), "rid").select("rid", "s").mapInArrow(extras, "rid long, n long, bits binary")
+    side = side.join(comp, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("component", "rid").alias("component"), "n", "bits")
+    hot = hot.join(cut(side), "rid").select("key", "rid", "component", "n", "bits")
+    rest = cut(hot.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _cross_pairs), "src long, dst long").distinct())
+    release(spark)
+    return links_.unionByName(decided(rest))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns: of each group of near duplicates the smallest id.
 
-    Near duplicates have a similarity (Jaccard, five-word shingles) of SIMILAR or more. A changed word touches five
-    shingles but one word, so the fingerprints that bring candidates together are of single words: PRINTS independent
-    ones, of which one must be within MAX_BITS; then the shingles' sketches decide. Null and wordless texts are equal
-    to each other. Null ids count as largest; of repeated rows one stays. An empty table gives no rows.
+    Near duplicates have a similarity (Jaccard, all distinct five-word shingles) of SIMILAR or more, found and decided
+    exactly (similar_pairs); groups are connected components. Null and wordless texts are equal to each other. Null ids
+    count as largest; of repeated rows one stays. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [signature(t.as_py()) for t in b.column(2)]
-            prints = np.array([p for p, _ in got], np.uint64).reshape(-1, PRINTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(prints[:, f])) for f in range(PRINTS)), pa.array([s for _, s in got], pa.binary())], names=["id", "k", *[f"f{f}" for f in range(PRINTS)], "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["id", "k", "s"])
 
-    prints = [f"f{f}" for f in range(PRINTS)]
+    spark = docs.sparkSession
     textkey = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), textkey.alias("k"), binary_text(text_col).alias("t"))
-    rows = rows.mapInArrow(run, "id long, k long, " + ", ".join(f"{f} long" for f in prints) + ", s binary")
-    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
-    release(docs.sparkSession)
-    alike = rows.groupBy(*prints, F.xxhash64("s").alias("h")).agg(F.min("rid").alias("rid"), F.count("*").alias("n"))
-    alike = cut(alike)
-    keyed = alike.select("rid", *prints).mapInArrow(_print_keys, "key long, fp long, rid long")
-    pairs = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_rid_links, "src long, dst long").distinct())
-    release(docs.sparkSession)
-    a, b = (rows.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
-
-    @F.pandas_udf("double")
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sketch_similarity(p, q) for p, q in zip(x, y)], dtype=float)
-
-    linked = pairs.join(a, "src").join(b, "dst").where(similarity("s_src", "s_dst") >= SIMILAR).select("src", "dst")
-    linked = cut(linked)
-    release(docs.sparkSession)
-    comp = connected_components(linked)
-    # rows with one signature follow its representative; only groups of two rows or more are looked at again
-    groups = alike.join(comp, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
-    groups = groups.where(F.col("node").isNotNull() | (F.col("n") > 1)).select(*prints, "h", "component")
-    member = rows.withColumn("h", F.xxhash64("s")).select("id", "k", "rid", *prints, "h").join(groups, [*prints, "h"])
+    rows = cut(rows.mapInArrow(run, "id long, k long, s binary").withColumn("rid", F.monotonically_increasing_id()))
+    release(spark)
+    ids = rows.select("id", "k", "rid", (F.length("s") == 0).alias("empty"))
+    comp = connected_components(similar_pairs(rows.select("rid", "s")))
+    member = ids.where("not empty").join(comp, F.col("rid") == F.col("node")).select("id", "k", "rid", "component")
+    member = cut(member.unionByName(ids.where("empty").select("id", "k", "rid", F.lit(-1).cast("long").alias("component"))))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
     first = member.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o.rid").alias("stays"))
     member = cut(member.join(first, "component").select("id", "k", (F.col("rid") == F.col("stays")).alias("stays")))
-    release(docs.sparkSession)
+    release(spark)
     fate = member.groupBy(F.col("id").alias("__id"), F.col("k").alias("__k")).agg(F.max("stays").alias("__stays"), F.count("*").alias("__n"))
     out = docs.withColumn("__j", textkey).join(fate, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("__j").eqNullSafe(F.col("__k")), "left")
     out = out.where(F.col("__stays").isNull() | F.col("__stays"))
