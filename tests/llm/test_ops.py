@@ -268,6 +268,16 @@ def test_near_copies_in_long_buckets(spark):
     assert kept_ids(spark, texts) == brute_kept(texts)
 
 
+
+def test_near_copies_are_decided_on_all_shingles(spark):
+    texts, stay = [], set()
+    for g in range(30):  # 400 shingles and 100 more: exactly 0.8; 101 more: below
+        words = [f"g{g}w{i}" for i in range(504 + g % 2)]
+        stay |= {2 * g} | ({2 * g + 1} if g % 2 else set())
+        texts += [" ".join(words[:404]), " ".join(words)]
+    assert kept_ids(spark, texts) == brute_kept(texts) == stay
+
+
 # ---- suffixes ----
 def brute_repeats(rows, n=100):
     seen, out = set(), {}
