@@ -278,6 +278,19 @@ def test_near_copies_are_decided_on_all_shingles(spark):
     assert kept_ids(spark, texts) == brute_kept(texts) == stay
 
 
+def test_near_copies_with_passages_added_or_cut(spark):
+    r = np.random.default_rng(17)
+    new = lambda n: [f"w{i}" for i in r.integers(0, 10**6, n)]
+    texts = []
+    for n in (60, 150, 400, 1000):
+        for share in (0.04, 0.1, 0.16, 0.19, 0.23):
+            b, k, at = new(n), int(n * share), int(r.integers(1, n // 2))
+            texts += [" ".join(x) for x in (b, b + new(k), b[k:], b[: n - k], b[:at] + new(k) + b[at:], b[:at] + b[at + k :])]
+            far = new(n)  # pairs of their own, which no third text connects
+            texts += [" ".join(far), " ".join(far[:at] + new(k) + far[at:])]
+    assert kept_ids(spark, texts) == brute_kept(texts)
+
+
 # ---- suffixes ----
 def brute_repeats(rows, n=100):
     seen, out = set(), {}

@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- the pipeline's stage: similarity of five-word shingles ------------------------------------------------------
 #: Shingle length; similarity as a fraction; documents sampled for, and number of, shingles that count as common; rows in a
-#: bucket from which all pairs are no longer listed at once; 64-bit words of a set's parity bits.
-SHINGLE, SIMILAR, COMMON_DOCS, COMMON, SMALL, PARITY = 5, (4, 5), 10_000, 100_000, 16, 4
+#: bucket from which all pairs are no longer listed at once; least 64-bit words of a set's parity bits; bits of the filter of ids.
+SHINGLE, SIMILAR, COMMON_DOCS, COMMON, SMALL, PARITY, FILTER = 5, (4, 5), 10_000, 100_000, 16, 4, 1 << 24
 _word_hash: dict[bytes, int] = {}
 
 
@@ -246,11 +246,27 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> bytes:
-    """PARITY x 64 bits, each flipped by the shingles that fall on it: two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((h >> np.uint64(20) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    """Bits (a power of two, about one a shingle, at least 64 x PARITY) that each shingle on them flips: two sets differ in at
+    least as many shingles as bits, also after folding."""
+    size = max(64 * PARITY, 1 << (len(h) - 1).bit_length()) if len(h) else 64 * PARITY
+    odd = np.bincount((h >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def possible(a: bytes, b: bytes, x: int, y: int) -> bool:
+    """False only if the parity bits of sets of x and y elements prove that they are not similar."""
+    p, q = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    words = min(len(p), len(q))
+    differ = int(np.bitwise_count(fold(p, words) ^ fold(q, words)).sum())
+    return differ <= x + y - 2 * -(-SIMILAR[0] * (x + y) // sum(SIMILAR))
+
+
 def alike_enough(common, x, y):
     """Whether sets of x and y elements with so many in common have a similarity of SIMILAR or more, in whole numbers."""
     return (SIMILAR[0] + SIMILAR[1]) * common >= SIMILAR[0] * (x + y)
@@ -332,7 +348,7 @@ def _cross_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
     key, rid, comp, n = (t.column(i).to_numpy() for i in range(4))
     if not len(key):
         return
-    bits = np.frombuffer(b"".join(t.column(4).to_pylist()), "<u8").reshape(-1, PARITY)
+    bits = np.array([fold(np.frombuffer(x, "<u8"), PARITY) for x in t.column(4).to_pylist()], np.uint64)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     left, right = [], []
     for at, end in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
@@ -375,7 +391,8 @@ def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_pairs(rows: DataFrame) -> DataFrame:
-    """Links (src, dst) that connect what pairs of similar sets connect; rows has rid and s (distinct whole sets).
+    """Links (src, dst) that connect what pairs of similar sets connect; rows has rid, n, bits and s
+    (the whole set, its size and its parity bits).
 
     Every similar pair shares a key (see prefix), so it meets in a bucket. Short buckets list all their pairs, long ones
     first some; once those are decided, long buckets list every pair that is not connected yet and that sizes and parity
@@ -394,19 +411,37 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
                 rid = np.repeat(b.column(0).slice(at, 500).to_numpy(), many)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(np.repeat(n, many).astype(np.int32))], names=["key", "rid", "n"])
 
-    def extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FILTER // 8, np.uint8)
         for b in batches:
-            sets = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary())], names=["rid", "n", "bits"])
+            at = _mix(b.column(0).to_numpy().view(np.uint64), 7) & np.uint64(FILTER - 1)
+            np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([possible(*v) for v in zip(a, b, x.tolist(), y.tolist())], dtype=bool)
 
     @F.pandas_udf("boolean")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similar(p, q) for p, q in zip(x, y)], dtype=bool)
 
     def decided(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("src", "dst")).alias("rid")).distinct()
-        used = cut(rows.join(need, "rid").select("rid", "s"))
+        a, b = (rows.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}")) for c in ("src", "dst"))
+        pairs = cut(pairs.join(a, "src").join(b, "dst").where(may("b_src", "b_dst", "n_src", "n_dst")).select("src", "dst"))
         release(spark)
+        # only sets that take part are dealt out: a filter of fixed size, whose false hits cost a row each
+        seen = np.zeros(FILTER // 8, np.uint8)
+        for r in pairs.select(F.explode(F.array("src", "dst")).alias("rid")).coalesce(6).mapInArrow(marks, "seen binary").toLocalIterator():
+            seen |= np.frombuffer(r["seen"], np.uint8)
+        wanted = spark.sparkContext.broadcast(seen)
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = _mix(b.column(0).to_numpy().view(np.uint64), 7) & np.uint64(FILTER - 1)
+                yield b.filter(pa.array((wanted.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+
+        used = cut(rows.select("rid", "s").mapInArrow(chosen, "rid long, s binary"))
         a, b = (used.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
         out = cut(pairs.join(a, "src").join(b, "dst").where(same("s_src", "s_dst")).select("src", "dst"))
         release(spark)
@@ -420,7 +455,7 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     if hot.isEmpty():
         return links_
     comp = connected_components(links_)
-    side = rows.join(hot.select("rid").distinct(), "rid").select("rid", "s").mapInArrow(extras, "rid long, n long, bits binary")
+    side = rows.select("rid", "n", "bits").join(hot.select("rid").distinct(), "rid")
     side = side.join(comp, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("component", "rid").alias("component"), "n", "bits")
     hot = hot.join(cut(side), "rid").select("key", "rid", "component", "n", "bits")
     rest = cut(hot.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _cross_pairs), "src long, dst long").distinct())
@@ -438,15 +473,18 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["id", "k", "s"])
+            sets = [shingles(t.as_py()) for t in b.column(2)]
+            cols = pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "n", "bits", "s"])
 
     spark = docs.sparkSession
     textkey = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), textkey.alias("k"), binary_text(text_col).alias("t"))
-    rows = cut(rows.mapInArrow(run, "id long, k long, s binary").withColumn("rid", F.monotonically_increasing_id()))
     release(spark)
-    ids = rows.select("id", "k", "rid", (F.length("s") == 0).alias("empty"))
-    comp = connected_components(similar_pairs(rows.select("rid", "s")))
+    rows = cut(rows.mapInArrow(run, "id long, k long, n long, bits binary, s binary").withColumn("rid", F.monotonically_increasing_id()))
+    release(spark)
+    ids = rows.select("id", "k", "rid", (F.col("n") == 0).alias("empty"))
+    comp = connected_components(similar_pairs(rows.select("rid", "n", "bits", "s")))
     member = ids.where("not empty").join(comp, F.col("rid") == F.col("node")).select("id", "k", "rid", "component")
     member = cut(member.unionByName(ids.where("empty").select("id", "k", "rid", F.lit(-1).cast("long").alias("component"))))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
