@@ -19,13 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make an own one only where none is configured."""
+    """Use the cluster's shared checkpoint folder; without one, a folder of its own on a single machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All of docs in one struct, __row, beside the given columns: names inside cannot clash with those of a stage's
+    own work, and select("__row.*") brings the rows back as they were."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -39,11 +52,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a batch that Spark hands to Python.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand texts to Python in batches of at most so many rows; Arrow's buffers lie outside the executor's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    if int(spark.conf.get(ARROW_ROWS)) > rows or int(spark.conf.get(ARROW_ROWS)) <= 0:
+        spark.conf.set(ARROW_ROWS, str(rows))
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -65,7 +81,7 @@ def squeeze(text: bytes) -> bytes:
 
 def binary_text(text_col: str = "text") -> Column:
     """The text's UTF-8 bytes; null counts as the empty text."""
-    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int, text_col: str = "text", max_bytes: int = 48 << 20) -> list[tuple[bytes, int]]:

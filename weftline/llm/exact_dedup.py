@@ -21,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, cut, squeeze, table
+from .common import binary_text, cut, lookup, packed, quoted, squeeze, table
 
 #: Bytes of distinct text that one table holds before records go to spill files.
 TABLE_BYTES = 64 << 20
 FANOUT_BITS = 4
-#: A class with over this share of all rows joins by broadcast (so there are at most 200 of them).
-HOT_SHARE = 1 / 200
 
 REPS = "sha binary, k long, id long, n long, n_min long, body binary"
 CLASSES = "sha string, keep_id long, group_size long, n_min long"
@@ -165,46 +163,41 @@ def _class_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text: sha (hex), keep_id, group_size, n_min (rows that carry keep_id)."""
-    reps = docs.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col).alias("t")).mapInArrow(_combine, REPS)
+    reps = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), binary_text(text_col).alias("t")).mapInArrow(_combine, REPS)
     return reps.repartition("k").mapInArrow(_bucket, CLASSES)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Decide for every row whether it stays.
+def decided(docs: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
+    """doc_id (and with rows=True the packed row, __row), sha, keep_id, group_size, n_min for every row."""
+    classes = cut(duplicate_classes(docs, id_col, text_col).withColumn("n", F.col("group_size")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    norm = F.regexp_replace(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+    own = {"doc_id": F.col(quoted(id_col)).cast("long"), "sha": F.sha2(norm.cast("binary"), 256)}
+    given = packed(docs, **own) if rows else docs.select(*[c.alias(n) for n, c in own.items()])
+    return lookup(given, "sha", classes, "sha", "n", total, F.col("doc_id"))
 
-    Returns doc_id, keep_id, group_size, kept, text_sha256 per row, and with carry=True all input columns
-    followed by __keep_id, __group_size, __kept, __sha, __n_min. Null text counts as empty; a null id is
-    larger than any other. Rows that repeat both id and text all count in group_size and are marked alike
-    (deduplicate() leaves one of them). An empty table gives an empty result.
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Decide for every row whether it stays: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null text counts as empty; a null id is larger than any other. Rows that repeat both id and text all count in
+    group_size and are marked alike (deduplicate() leaves one of them). Other columns are not read. An empty table
+    gives an empty result.
     """
-    classes = cut(duplicate_classes(docs, id_col, text_col))
-    total = classes.agg(F.sum("group_size")).first()[0] or 0
-    classes = classes.select(F.col("sha").alias("__csha"), F.col("keep_id").alias("__keep_id"), F.col("group_size").alias("__group_size"), F.col("n_min").alias("__n_min"))
-    hot = classes.where(F.col("__group_size") > total * HOT_SHARE)
-    hot = F.broadcast(hot.select(*[F.col(c).alias(f"__hot{c}") for c in hot.columns]))
-    norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    rows = (docs if carry else docs.select(id_col, text_col)).withColumn("__sha", F.sha2(norm.cast("binary"), 256))
-    if not carry:
-        rows = rows.drop(text_col)
-    rows = rows.join(hot, F.col("__sha") == F.col("__hot__csha"), "left")
-    # rows of hot classes already have theirs; a key of their own spreads them over the join's partitions
-    own = F.concat(F.lit("#"), F.xxhash64(F.col(id_col)).cast("string"))
-    rows = rows.withColumn("__k", F.when(F.col("__hot__csha").isNull(), F.col("__sha")).otherwise(own))
-    rows = rows.join(classes, F.col("__k") == F.col("__csha"), "left")
-    for c in ("__keep_id", "__group_size", "__n_min"):
-        rows = rows.withColumn(c, F.coalesce(f"__hot{c}", c))
-    rows = rows.withColumn("__kept", F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")))
-    if carry:
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__keep_id", "__group_size", "__kept", "__sha", "__n_min")
-    return rows.select(F.col(id_col).alias("doc_id"), F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"))
+    rows = decided(docs, id_col, text_col, rows=False)
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns; exactly one row per distinct text."""
-    rows = exact_dedup(docs, id_col, text_col, carry=True).where("__kept")
-    single = rows.where("__n_min = 1").select(docs.columns)
-    tied = rows.where("__n_min > 1").dropDuplicates(["__sha"]).select(docs.columns)
-    return single.unionByName(tied)
+    """The rows that stay, with their own columns, whatever these are named; exactly one row per distinct text.
+
+    Null text counts as empty and a null id is the largest; of rows that repeat the kept id with an equal text one
+    stays. An empty table gives no rows.
+    """
+    rows = decided(docs, id_col, text_col, rows=True).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    single = rows.where("n_min = 1").select("__row")
+    tied = rows.where("n_min > 1").dropDuplicates(["sha"]).select("__row")
+    return single.unionByName(tied).select("__row.*")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
