@@ -1,17 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary windows, one that adds the spans of
-toxic documents that ordinary text lacks (runs of byte 5-grams that several toxic training documents share
-and no ordinary one has). A whole text is cut into windows; each window is compressed with either
-dictionary, and the differences in length (their largest, sum, count and sum over the root of the windows)
-go through a logistic calibration fitted on training documents that the dictionaries have not seen.
+Two zstandard dictionaries are trained on labelled text: one on the windows of ordinary documents, one on the
+telling windows of toxic ones (runs of byte 5-grams that are RATIO times as frequent in toxic documents as in
+ordinary ones; the rest of a toxic document is ordinary text, which would drown them). A whole text is cut into
+windows; each window is compressed with the ordinary dictionary alone and with the toxic one before it, and the
+differences in length (their largest, sum, count and sum over the root of the windows) go through a logistic
+calibration fitted on training documents that the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
 import functools
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, table
+from .common import labelled_sample, packed, quoted, remainder, table
 
 #: Training rows taken of each class at most (about); half fit the dictionaries, half the calibration.
 PER_CLASS = 2000
-WINDOW, LEVEL, GRAM, BASE_BYTES, TOXIC_BYTES = 256, 16, 5, 4096, 12288
+WINDOW, LEVEL, GRAM, BASE_BYTES, TOXIC_BYTES = 256, 16, 5, 4096, 8192
+#: How much likelier a gram must be in toxic documents to be telling.
+RATIO = 30.0
 THRESHOLD = 0.7
 
 
@@ -55,27 +57,36 @@ def grams(text: bytes) -> np.ndarray:
     return out
 
 
-def toxic_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Spans that several toxic texts share and ordinary ones lack, the commonest first, none inside another."""
-    common = np.unique(np.concatenate([np.unique(grams(t)) for t in ordinary] or [grams(b"")]))
-    seen, count = np.unique(np.concatenate([np.unique(grams(t)) for t in toxic] or [grams(b"")]), return_counts=True)
-    novel = seen[(count >= max(2, len(toxic) // 200)) & ~np.isin(seen, common)]
-    spans: Counter[bytes] = Counter()
+def telling_windows(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Runs of grams (with at most a gram's length between them) that are RATIO times as frequent, by documents, in toxic
+    texts as in ordinary ones, from every toxic text; grams of a single toxic text tell nothing."""
+
+    def frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.unique(grams(t)) for t in texts] or [grams(b"")]), return_counts=True)
+
+    own, n_own = frequency(toxic)
+    other, n_other = frequency(ordinary)
+    at = np.minimum(np.searchsorted(other, own), max(0, len(other) - 1))
+    elsewhere = np.where(other[at] == own, n_other[at], 0) if len(other) else np.zeros(len(own))
+    ratio = (n_own + 0.5) / (len(toxic) + 1) / ((elsewhere + 0.5) / (len(ordinary) + 1))
+    telling = own[(ratio > RATIO) & (n_own > 1)]
+    out = []
     for t in toxic:
-        at = np.flatnonzero(np.isin(grams(t), novel))
+        at = np.flatnonzero(np.isin(grams(t), telling))
         if len(at):
-            breaks = np.flatnonzero(np.diff(at) > 1)
-            spans.update({t[a : b + GRAM] for a, b in zip(at[np.r_[0, breaks + 1]].tolist(), at[np.r_[breaks, len(at) - 1]].tolist())})
-    out, joined = [], b""
-    for s, c in sorted(spans.items(), key=lambda x: (-x[1], x[0])):
-        if c < (3 if len(toxic) >= 300 else 2) or len(joined) + len(s) > TOXIC_BYTES:
-            break
-        if s not in joined:
-            out.append(s)
-            joined += b"\n" + s
+            breaks = np.flatnonzero(np.diff(at) > GRAM)
+            out += [t[i : j + GRAM] for i, j in zip(at[np.r_[0, breaks + 1]].tolist(), at[np.r_[breaks, len(at) - 1]].tolist())]
     return out
 
 
+def dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A dictionary of `size` bytes trained by zstandard; the samples themselves where the trainer finds them too few."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 class CompressionModel:
     """The two dictionaries' contents and the calibration; picklable, a few tens of kB."""
 
@@ -119,12 +130,8 @@ def train(rows: list[tuple[bytes, int]]) -> CompressionModel:
     toxic, ordinary = ([t for t, label in part[0] if label == y] for y in (1, 0))
     if not toxic or not ordinary or len({y for _, y in part[1]}) < 2:
         return CompressionModel(b"", b"")
-    samples = [w for t in ordinary for w in windows(t)][:20000]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer
-        base = b"".join(samples)[-BASE_BYTES:]
-    model = CompressionModel(base, b"\n".join(toxic_spans(toxic, ordinary)))
+    base = dictionary([w for t in ordinary for w in windows(t)], BASE_BYTES, k=64, d=8)
+    model = CompressionModel(base, dictionary(telling_windows(toxic, ordinary), TOXIC_BYTES, k=16, d=6))
     pair = model.compressors()
     model.calibrate(np.array([model.features(t, pair) for t, _ in part[1]]), np.array([y for _, y in part[1]], float))
     return model
@@ -141,36 +148,40 @@ def score_texts(model: CompressionModel, texts: list) -> np.ndarray:
     return m.score(np.array([m.features(prepare(t), pair) for t in texts]).reshape(len(texts), -1))
 
 
-def score_column(docs: DataFrame, model: CompressionModel, text_col: str = "text", name: str = "__score") -> DataFrame:
-    """docs with one more column: the toxicity of each whole text. Null texts score as empty ones."""
+def scores(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """doc_id and score of each whole text, or with rows=True the packed rows (__row) and score."""
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m, pair = _loaded(blob.value)
-            x = np.array([m.features(prepare(t), pair) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(m.score(x), pa.float64())], names=[*cols, name])
+            x = np.array([m.features(prepare(t.as_py()), pair) for t in b.column(1)]).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(x), pa.float64())], names=[b.schema.names[0], "score"])
 
-    schema = docs.withColumn(name, F.lit(0.0)).schema
-    return docs.withColumn("__t", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    text = F.col(quoted(text_col)).cast("string")
+    given = packed(docs, t=text) if rows else docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("t"))
+    return given.mapInArrow(run, given.drop("t").withColumn("score", F.lit(0.0)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; fitted on labels.toxic of the other rows.
 
     Only rows whose crc32(doc_id) mod 3 is not 1 are learnt from. Null and empty texts get the score of a
-    text without windows; repeated rows get equal scores; without labels of both classes all scores are 0.
+    text without windows; repeated rows get equal scores; other columns are not read. Without labels of both
+    classes all scores are 0. An empty table gives no rows.
     """
     model = train(labelled_sample(docs, labels, "toxic", 3, 1, per_class))
-    rows = score_column(docs.select("doc_id", "text"), model).drop("text")
-    return rows.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scores(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
+    """The documents that are not predicted toxic, with their own columns, whatever these are named.
+
+    Null and empty texts score like a text without windows; of repeated rows all stay or none; without labels of
+    both classes all stay. An empty table gives no rows.
+    """
     model = train(labelled_sample(docs, labels, "toxic", 3, 1, per_class))
-    return score_column(docs, model).where(F.col("__score") < THRESHOLD).select(docs.columns)
+    return scores(docs, model, rows=True).where(F.col("score") < THRESHOLD).select("__row.*")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
