@@ -5,13 +5,13 @@ again by weight (water filling). A source's rate = target / size splits into who
 document gets and a fraction that the cube method samples: inclusion probabilities walk through the null
 space of the two constraints (documents, words) until at most two per group are fractional. Documents are
 dealt into blocks of bounded size inside their source, so a source that holds a third of all rows is many
-groups; what the blocks leave fractional is merged 1024 blocks at a time and walks on, and only the last
-one or two documents of a source are landed by trying each rounding.
+groups; what the blocks leave fractional is merged 1024 blocks at a time and walks on. Only the last one or
+two documents of a source land: the document total is given up first, so that the two walk on along the words
+until one is whole, and a draw by its probability decides the last.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_text, cut, table
+from .common import binary_text, cut, packed, quoted, table
 
 CAP = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -42,7 +42,7 @@ def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
             size = pa.array([len(t.as_py().split()) for t in b.column(3)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), size], names=["doc_id", "source", "k", "size"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("k"), binary_text(text_col).alias("t"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("k"), binary_text(text_col).alias("t"))
     return rows.mapInArrow(run, "doc_id long, source string, k long, size long")
 
 
@@ -100,26 +100,30 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
         active = [i for i in active if 0.0 < out[i] < 1.0]
 
 
-def land(p: np.ndarray, size: np.ndarray, wanted: float, free: np.ndarray) -> np.ndarray:
-    """Solve the landing problem: round the last fractional units, then flip the fewest of the free ones.
+def land(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Solve the landing problem of the one or two units that the walk left fractional; all others stay as they are.
 
-    The units that stay fractional can be long documents, so their rounding may leave a gap to the wanted
-    words; flipping the free unit that closes most of it, while one does, leaves less than a short document.
+    Two units walk along (size of the other, minus own size), which keeps the words and gives up the number of documents,
+    until one is whole; the last is drawn by its probability. Expectations stay the inclusion probabilities, and words
+    differ from the target by less than the last unit's.
     """
-    at = np.flatnonzero((p > 0) & (p < 1))
-    best = min(itertools.product((0.0, 1.0), repeat=len(at)), key=lambda z: (abs(float(((np.array(z) - p[at]) * size[at]).sum())), abs(sum(z) - p[at].sum()), z))
     p = p.copy()
-    p[at] = best
-    free = np.flatnonzero(free & (size > 0))
-    gap = wanted - float((p * size).sum())
-    while len(free):
-        change = np.where(p[free] > 0.5, -size[free], size[free])
-        i = int(np.argmin(np.abs(gap - change)))
-        if abs(gap - change[i]) >= abs(gap):
-            break
-        gap -= float(change[i])
-        p[free[i]] = 1.0 - p[free[i]]
-        free = np.delete(free, i)
+    at = np.flatnonzero((p > 0) & (p < 1))
+    if len(at) == 2:
+        (a, b), (u, v) = at, (size[at[1]], -size[at[0]])
+        if not u and not v:
+            u, v = 1.0, -1.0
+        ends = []
+        for sign in (1.0, -1.0):
+            room = [((1 - p[i]) if sign * d > 0 else p[i]) / abs(d) for i, d in ((a, u), (b, v)) if d]
+            ends.append(min(room))
+        step = ends[0] if rng.random() * sum(ends) < ends[1] else -ends[1]
+        for i, d in ((a, u), (b, v)):
+            x = p[i] + step * d
+            p[i] = 0.0 if x < EPS else 1.0 if x > 1 - EPS else x
+        at = np.flatnonzero((p > 0) & (p < 1))
+    for i in at:
+        p[i] = float(rng.random() < p[i])
     return p
 
 
@@ -127,10 +131,9 @@ def _walk(last: bool):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         # long documents walk first, so what stays fractional and must be landed is short
         g = g.sort_values(["size", "k", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        size = g["size"].to_numpy(np.float64)
-        start = g["p"].to_numpy(np.float64)
-        p = flight(start, size, np.random.default_rng([int(key[0]), int(key[1]), int(last), 7]))
-        g["p"] = land(p, size, float((start * size).sum()), (start > 0) & (start < 1)) if last else p
+        size, rng = g["size"].to_numpy(np.float64), np.random.default_rng([int(key[0]), int(key[1]), int(last), 7])
+        p = flight(g["p"].to_numpy(np.float64), size, rng)
+        g["p"] = land(p, size, rng) if last else p
         return g
 
     return run
@@ -176,16 +179,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: every document as often as the mix takes it, with its own columns."""
-    plan = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id"), F.col("k").alias("__k")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
-    rows = docs.withColumn("__j", F.xxhash64(text_col))
-    rows = rows.join(plan.where("__copies > 0"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__j") == F.col("__k")))
-    one = rows.where("__n = 1")
-    rest = rows.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__id", "__k").orderBy(F.lit(1))))
-    share = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__r") <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
-    rest = rest.withColumn("__copies", share.cast("long")).where("__copies > 0").drop("__r")
-    rows = one.unionByName(rest)
-    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    """The mixture itself: every document as often as the mix takes it, with its own columns, whatever these are named.
+
+    Rows that repeat both id and text share the copies that the mix gives them all. Null texts, ids and sources are as
+    in mix(); a document that the mix takes no copy of is left out. An empty table gives no rows.
+    """
+    plan = mix(docs, id_col, text_col, source_col).groupBy("doc_id", "k").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    plan = plan.where("copies > 0").select(F.col("doc_id").alias("id"), F.col("k").alias("own"), "copies", "n")
+    rows = packed(docs, doc_id=F.col(quoted(id_col)).cast("long"), k=F.xxhash64(F.col(quoted(text_col)).cast("string")))
+    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("own")))
+    one = rows.where("n = 1").select("__row", "copies")
+    rest = rows.where("n > 1").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "k").orderBy(F.lit(1))))
+    share = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("nth") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    rest = rest.select("__row", share.cast("long").alias("copies")).where("copies > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return one.unionByName(rest).select("__row", copies.alias("copy")).select("__row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
