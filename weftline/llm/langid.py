@@ -9,21 +9,23 @@ from __future__ import annotations
 
 import functools
 import pickle
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_text, remainder, table
 
-#: Bounds of the training sample: documents per language, documents in all, bytes in all.
+#: Bounds of the training sample: documents per language, documents in all, bytes in all. They bound the tables too: all its
+#: words and n-grams are kept.
 PER_LANG, SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8000, 32 << 20
-LONGEST, WORDS, GRAMS, UNSEEN = 5, 60_000, 60_000, 150_000
-letters = re.compile(r"[^\W\d_]+").findall
+#: Longest n-gram; rows of unseen words that a scorer holds at a time; words of a text that count as independent evidence.
+LONGEST, UNSEEN, EVIDENCE = 5, 150_000, 20
+letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 class BackoffModel:
@@ -33,7 +35,7 @@ class BackoffModel:
         words = [Counter() for _ in self.langs]
         for text, lang in rows:
             words[at[lang]].update(letters(text.lower()))
-        self.word = self.table(words, WORDS)
+        self.word = self.table(words)
         self.gram = {}
         for n in range(LONGEST, 0, -1):
             grams = [Counter() for _ in self.langs]
@@ -42,14 +44,14 @@ class BackoffModel:
                     w = f" {w} "
                     for i in range(len(w) - n + 1):
                         g[w[i : i + n]] += c
-            self.gram[n] = self.table(grams, GRAMS)
+            self.gram[n] = self.table(grams)
 
-    def table(self, counts: list[Counter], most: int) -> dict[str, np.ndarray]:
-        """Log frequency per language of the commonest entries that occur twice or more."""
+    def table(self, counts: list[Counter]) -> dict[str, np.ndarray]:
+        """Log frequency per language of every entry."""
         total = Counter()
         for c in counts:
             total.update(c)
-        kept = [w for w, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= 2]
+        kept = sorted(total)
         x = np.array([[c[w] for c in counts] for w in kept], float).reshape(len(kept), len(counts)) + 0.1
         x = np.log(x / (np.array([sum(c.values()) for c in counts]) + 0.1 * max(1, len(total))))
         return dict(zip(kept, x.astype(np.float32)))
@@ -83,7 +85,7 @@ class Scorer:
         total, n = np.zeros(len(langs)), len(words)
         for i in range(0, n, UNSEEN):
             total += self._sum(words[i : i + UNSEEN])
-        mean = total / n * min(n, 20)  # the words of a text depend on each other; more than 20 add no certainty
+        mean = total / n * min(n, EVIDENCE)  # the words of a text depend on each other; more add no certainty (nor change the choice)
         best = int(np.argmax(mean))
         p = np.exp(mean - mean[best])
         return langs[best], float(1 / p.sum())
@@ -129,8 +131,9 @@ def training_sample(docs: DataFrame, modulus: int = 5, held_out: int = 0) -> lis
 def language(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every whole text.
 
-    Learns from rows with a lang whose crc32(doc_id) mod 5 is not 0. Null texts and texts without letters are
-    `und` with score 0; ties go to the first language in order; without training rows everything is `und`.
+    Learns from rows with a lang whose crc32(doc_id) mod 5 is not 0. Null texts and texts without letters (Unicode
+    category L; numerals are none) are `und` with score 0; ties go to the first language in order; without training
+    rows everything is `und`. Repeated rows get equal rows; other columns are not read. An empty table gives no rows.
     """
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(BackoffModel(training_sample(docs))))
 

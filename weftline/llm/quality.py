@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import binary_text, labelled_sample, remainder, table
 
-#: Training rows taken of each class at most (about).
-PER_CLASS = 1500
+#: Training rows taken of each class at most (about), and chunks of each of them (evenly spaced). Scoring reads every chunk.
+PER_CLASS, TRAIN_CHUNKS = 1500, 8
 CHUNK, STEP, WIDTH, STRIDE, EMBED, FILTERS = 256, 224, 8, 2, 6, 16
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 THRESHOLD = 0.7
@@ -89,7 +89,7 @@ class ByteCnn:
         z = self.combine(self.pooled(x), owner) @ self.p["v"] + self.p["c"]
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def fit(self, rows: list[tuple[bytes, int]], epochs: int = 6, batch: int = 48, pick: int = 8, seed: int = 11) -> None:
+    def fit(self, rows: list[tuple[bytes, int]], epochs: int = 6, batch: int = 48, pick: int = TRAIN_CHUNKS, seed: int = 11) -> None:
         """Adam on the log loss; classes weigh the same in a batch's draw but keep their share in the loss."""
         y = np.array([label for _, label in rows], np.float32)
         if len(set(y.tolist())) < 2:
@@ -150,7 +150,8 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
     """doc_id, held_out, score, predicted for every document; fitted on labels.quality of the other rows.
 
     Only rows whose crc32(doc_id) mod 4 is not 2 are learnt from. Null texts score as empty ones (one chunk of
-    padding); repeated rows get equal scores; without labels of both classes all scores are 0.5.
+    padding); repeated rows get equal scores; other columns are not read. Without labels of both classes all scores
+    are 0.5. An empty table gives no rows.
     """
     model = train(labelled_sample(docs, labels, "quality", 4, 2, per_class))
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SpeculativeBpe, chunks, codec, default_path
-from .common import table
+from .common import quoted, table
 
 LEAF = 64
 
@@ -160,7 +160,8 @@ def count_tokens(docs: DataFrame, edits=standard_edits, path: str | None = None,
     """Counts before and after edits: doc_id, n_tokens, n_pieces, n_tokens_edited, n_reencoded. Narrow, no shuffle.
 
     edits(n_chars) lists (start, end, replacement), applied in turn; positions beyond the text are clipped.
-    Null text counts as empty (0 tokens before the edits); repeated rows give repeated rows.
+    Null text counts as empty (0 tokens before the edits); repeated rows give repeated rows; other columns are not
+    read. An empty table gives no rows.
     """
     at = path or default_path()
 
@@ -179,7 +180,7 @@ def count_tokens(docs: DataFrame, edits=standard_edits, path: str | None = None,
                         col.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in cols)], names=["doc_id", "n_tokens", "n_pieces", "n_tokens_edited", "n_reencoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_pieces long, n_tokens_edited long, n_reencoded long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_pieces long, n_tokens_edited long, n_reencoded long")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
