@@ -4,18 +4,20 @@ Every LENGTH-byte window of a document has an anchor: the leftmost smallest hash
 its content alone decides. Consecutive windows with one anchor form a run (about 1 in 40 bytes begins one),
 and equal windows sit at equal offsets in runs with equal anchors. So only the suffixes at anchors are sorted:
 
-1. Runs are keyed by (word of the anchor's head, word of the whole run's content, document, start). Splitters
-   sampled from the corpus range-partition them, a bucket sorts its keys by multikey quicksort and compares
-   neighbours, and the first key of a bucket is compared with the last one of the bucket before. A run whose
-   content has been seen is a repeat as a whole. The splitters contain document and start, so copies of one
-   content, however many, are divided between buckets. A head that only one content has is dropped here.
+1. Runs are keyed by (the suffix's leading bytes as a number, a hash of the anchor's whole head, a hash of the whole
+   run's content, document, start). Splitters sampled from the corpus range-partition them, a bucket sorts its keys by
+   multikey quicksort and compares neighbours, and the first key of a bucket is compared with the last one of the bucket
+   before. A run whose content has been seen is a repeat as a whole. The splitters contain document and start, so
+   copies of one content, however many, are divided between buckets. A head that only one content has is dropped here.
 2. Runs that are the first of their content, while others share the anchor (the ends of repeats), look at
    their documents again: for four ranges of offsets the bytes that all windows of the range share (81) are
-   hashed, with the 19 bytes on either side. Windows of runs that share those bytes are compared exactly in
-   that many bytes, earliest first, in buckets by that hash.
+   hashed (128 bits), with the 19 bytes on either side. Windows of runs that share those bytes are compared exactly in
+   the bytes on either side, earliest first, in buckets by that hash. The windows of heads that over HOT_ROWS such runs
+   share go one by one through a second partitioned sort instead, so that no bucket grows with a passage's copies.
 3. The spans found are brought to their documents, merged and cut out.
 
-Keys, spans and runs travel as packed arrays (30 bytes a run), texts twice by document.
+Equal hashes stand for equal content: of n runs with one head, two different contents meet in 64 bits with a
+probability below n^2 / 2^65. Keys, spans and runs travel as packed arrays (34 bytes a run), texts twice by document.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, cut, small_batches, table
+from .common import ARROW_ROWS, binary_text, cut, quoted, small_batches, table
 
 LENGTH, HEAD = 100, 24
 SPAN = LENGTH - HEAD + 1  # heads in a window
@@ -37,10 +39,15 @@ ZONE = 19  # offsets 0-18, 19-37, 38-56, 57-76
 PIECE = 1 << 19
 SAMPLE_DOCS, SAMPLE_KEYS = 400, 60_000
 FLUSH = 1 << 18
-#: Windows of more runs than this around the same bytes go through a second partitioned sort, window by window.
-HOT_ROWS = 50_000
-
-RUN = np.dtype([("k", "<u8"), ("c", "<u8"), ("did", "<i8"), ("lo", "<i4"), ("n", "u1"), ("oa", "u1")])
+#: Windows of heads that more runs than this share go through a second partitioned sort, window by window. The list of such
+#: heads, sent to all tasks, is shorter than the runs divided by this.
+HOT_ROWS = 200_000
+#: Text for which there is one partition at least.
+PART_BYTES = 64 << 20
+
+RUN = np.dtype([("k", "<u8"), ("r", "<u4"), ("c", "<u8"), ("did", "<i8"), ("lo", "<i4"), ("n", "u1"), ("oa", "u1")])
+KEY = ("k", "r", "c", "did", "lo")
+HEADS = np.dtype([("k", "<u8"), ("r", "<u4"), ("n", "<i8")])
 SPANS = np.dtype([("did", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 EDGE = np.dtype([("z1", "<u8"), ("z2", "<u8"), ("did", "<i8"), ("a", "<i4"), ("z", "u1"), ("olo", "u1"), ("ohi", "u1"), ("side", "u1", 2 * ZONE)])
 
@@ -76,7 +83,9 @@ def runs(text: bytes, did: int) -> np.ndarray:
         lo = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         hi = np.r_[lo[1:], len(anchor)] - 1
         out = np.zeros(len(lo), RUN)
-        out["k"], out["did"], out["lo"], out["n"], out["oa"] = h[anchor[lo]], did, lo + at, hi - lo, anchor[lo] - hi
+        at_head = anchor[lo]
+        lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(a, 8)[at_head]).view(">u8")[:, 0]
+        out["k"], out["r"], out["did"], out["lo"], out["n"], out["oa"] = lead, h[at_head].astype(np.uint32), did, lo + at, hi - lo, at_head - hi
         digest = xxhash.xxh3_64_intdigest
         out["c"] = np.array([digest(text[i:j]) for i, j in zip((lo + at).tolist(), (hi + at + LENGTH).tolist())], np.uint64)
         parts.append(out)
@@ -126,17 +135,26 @@ PACKET = "kind int, part int, did long, doc_id long, payload binary"
 
 
 def route(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """Number of splitters at or below each key (k, c, did, lo)."""
-    at = np.searchsorted(splitters["k"], rows["k"], "right")
+    """Number of splitters at or below each key."""
+    at = np.searchsorted(splitters["k"], rows["k"], "left")
     tied = np.flatnonzero(np.isin(rows["k"], splitters["k"]))
-    if len(tied):
-        keys = [tuple(s)[:4] for s in splitters.tolist()]
-        import bisect
-
-        at[tied] = [bisect.bisect_right(keys, tuple(r)[:4]) for r in rows[tied].tolist()]
+    tied = tied[np.argsort(rows["k"][tied], kind="stable")]
+    ks = rows["k"][tied]
+    for s in splitters if len(tied) else ():
+        same = tied[np.searchsorted(ks, s["k"], "left") : np.searchsorted(ks, s["k"], "right")]
+        if len(same):
+            over, equal = np.zeros(len(same), bool), np.ones(len(same), bool)
+            for c in KEY[1:]:
+                over |= equal & (rows[c][same] > s[c])
+                equal &= rows[c][same] == s[c]
+            at[same] += over | equal
     return at.astype(np.int32)
 
 
+def in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[multikey_quicksort([rows[c] for c in KEY])]
+
+
 def _runs(splitters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -161,8 +179,8 @@ def compare_neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     The first and last head of a bucket count as shared, as they may go on in the bucket before or behind.
     """
-    k, c = rows["k"], rows["c"]
-    new_k = np.r_[True, k[1:] != k[:-1]]
+    k, r, c = rows["k"], rows["r"], rows["c"]
+    new_k = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]
     new_c = new_k | np.r_[True, c[1:] != c[:-1]]
     group = np.cumsum(new_k) - 1
     contents = np.bincount(group, new_c)
@@ -171,21 +189,34 @@ def compare_neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ~new_c, shared
 
 
-def _bucket(parts: int):
+def heads_of(rows: np.ndarray, least: int) -> np.ndarray:
+    """Heads of sorted rows with how many rows have them: those with `least` or more, the first and the last."""
+    if not len(rows):
+        return np.zeros(0, HEADS)
+    at = np.flatnonzero(np.r_[True, (rows["k"][1:] != rows["k"][:-1]) | (rows["r"][1:] != rows["r"][:-1])])
+    out = np.zeros(len(at), HEADS)
+    out["k"], out["r"], out["n"] = rows["k"][at], rows["r"][at], np.diff(np.r_[at, len(rows)])
+    keep = out["n"] >= least
+    keep[[0, -1]] = True
+    return out[keep]
+
+
+def _bucket(parts: int, hot_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for b in batches:
             for part, x in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
                 blobs.setdefault(part, []).append(x)
         for part, xs in blobs.items():
-            rows = np.frombuffer(b"".join(xs), RUN)
-            rows = rows[multikey_quicksort([rows["k"], rows["c"], rows["did"], rows["lo"]])]
+            rows = in_order(np.frombuffer(b"".join(xs), RUN))
             repeated, shared = compare_neighbours(rows)
             yield packets(2, np.full(1, part, np.int32), np.array([rows[[0, -1]].tobytes()], dtype=f"V{2 * RUN.itemsize}"))
             spans = spans_of(rows[repeated])
             yield packets(0, _deal(spans["did"], parts), spans)
             firsts = rows[~repeated & shared]
             firsts = firsts[~((firsts["did"] == rows["did"][0]) & (firsts["lo"] == rows["lo"][0]))]  # the bucket's first row is decided at its boundary
+            heads = heads_of(firsts, hot_rows)
+            yield packets(4, np.full(len(heads), part, np.int32), heads)
             yield packets(1, _deal(firsts["did"], parts), firsts)
 
     return run
@@ -201,7 +232,7 @@ def boundaries(ends: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
     """Compare each bucket's first row with the last row before it: (repeats, firsts). One row per bucket."""
     repeats, firsts, last = [], [], None
     for _, two in sorted(ends, key=lambda x: x[0]):
-        same = last is not None and last["k"] == two[0]["k"] and last["c"] == two[0]["c"]
+        same = last is not None and all(last[c] == two[0][c] for c in ("k", "r", "c"))
         (repeats if same else firsts).append(two[0])
         last = two[1]
     return np.array(repeats, RUN), np.array(firsts, RUN)
@@ -244,23 +275,32 @@ def _with_documents(use):
     return run
 
 
-def _edges(parts: int):
+def _edges(parts: int, hot: np.ndarray):
+    """Packets of kind 0: edges by their shared bytes; of kind 3: the windows of hot heads."""
+
     def use(did, doc_id, text, rows):
         if len(rows):
-            yield edges(text, rows)
+            common = np.isin(rows["k"] ^ rows["r"], hot)
+            yield 0, edges(text, rows[~common])
+            if common.any():
+                yield 3, single_windows(edges(text, rows[common]))
 
     def run(batches):
-        held, n = [], 0
-        for e in _with_documents(use)(batches, RUN):
-            held.append(e)
-            n += len(e)
-            if n > FLUSH // 2:
-                rows = np.concatenate(held)
-                yield packets(0, (rows["z1"] % np.uint64(parts)).astype(np.int32), rows)
-                held, n = [], 0
-        if n:
-            rows = np.concatenate(held)
-            yield packets(0, (rows["z1"] % np.uint64(parts)).astype(np.int32), rows)
+        held, n = {0: [], 3: []}, {0: 0, 3: 0}
+
+        def out(kind):
+            rows = np.concatenate(held[kind])
+            held[kind], n[kind] = [], 0
+            return packets(kind, (rows["z1"] % np.uint64(parts)).astype(np.int32) if kind == 0 else np.zeros(len(rows), np.int32), rows)
+
+        for kind, e in _with_documents(use)(batches, RUN):
+            held[kind].append(e)
+            n[kind] += len(e)
+            if n[kind] > FLUSH // 2:
+                yield out(kind)
+        for kind in held:
+            if n[kind]:
+                yield out(kind)
 
     return run
 
@@ -323,21 +363,14 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(parts: int, hot_rows: int):
+def _compare(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for b in batches:
             for part, x in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
                 blobs.setdefault(part, []).append(x)
         for xs in blobs.values():
-            rows = np.frombuffer(b"".join(xs), EDGE)
-            _, group, n = np.unique(rows["z1"], return_inverse=True, return_counts=True)
-            hot = n[group] > hot_rows
-            if hot.any():
-                for part in np.array_split(rows[hot], max(1, int(hot.sum()) // FLUSH)):
-                    w = single_windows(part)
-                    yield packets(3, np.arange(len(w)) // FLUSH, w)
-            spans = compare_windows(rows[~hot])
+            spans = compare_windows(np.frombuffer(b"".join(xs), EDGE))
             yield packets(0, _deal(spans["did"], parts), spans)
 
     return run
@@ -373,17 +406,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(did, doc_id, t): did orders the documents. It is the id where ids are unique and not null; otherwise rows
-    are numbered by id (null last), then by text, and written once."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("t"))
+    are range-partitioned and sorted by id (null last), then by text, numbered partition by partition and written once."""
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), binary_text(text_col).alias("t"))
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
         return rows.select(F.col("doc_id").alias("did"), "doc_id", "t")
-    return cut(rows.select(F.row_number().over(Window.orderBy(F.col("doc_id").asc_nulls_last(), "t")).cast("long").alias("did"), "doc_id", "t"))
+    order = F.col("doc_id").asc_nulls_last(), F.col("t")
+    return cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("did"), "doc_id", "t"))
 
 
-def sample_splitters(docs: DataFrame, parts: int) -> np.ndarray:
+def sample_splitters(docs: DataFrame, total: int, parts: int) -> np.ndarray:
     """parts - 1 quantiles of the keys of about SAMPLE_DOCS documents (they balance buckets; results don't depend on them)."""
-    total = docs.count()
     if not total or parts < 2:
         return np.zeros(0, RUN)
     few = docs.where(F.pmod(F.xxhash64("did"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / total))).select("did", "t")
@@ -402,7 +435,7 @@ def sample_splitters(docs: DataFrame, parts: int) -> np.ndarray:
 def quantiles(keys: np.ndarray, parts: int) -> np.ndarray:
     if not len(keys) or parts < 2:
         return np.zeros(0, RUN)
-    keys = keys[multikey_quicksort([keys["k"], keys["c"], keys["did"], keys["lo"]])]
+    keys = in_order(keys)
     return keys[np.unique((np.arange(1, parts) * len(keys)) // parts)]
 
 
@@ -424,16 +457,19 @@ def _rerouted(splitters: np.ndarray):
     return run
 
 
-def _sorted(keyed: DataFrame, splitters: np.ndarray, parts: int) -> DataFrame:
+def _sorted(keyed: DataFrame, splitters: np.ndarray, parts: int, hot_rows: int) -> tuple[DataFrame, np.ndarray]:
     """Sort range-partitioned runs in their buckets and compare within and across buckets: packets of kind 0
-    (spans of repeats) and 1 (first of their content, with others at the same head)."""
-    found = cut(keyed.repartitionById(len(splitters) + 1, "part").mapInArrow(_bucket(parts), PACKET))
-    ends = [(r["part"], np.frombuffer(bytes(r["payload"]), RUN)) for r in found.where("kind = 2").select("part", "payload").collect()]
-    repeats, firsts = boundaries(ends)
+    (spans of repeats) and 1 (first of their content, with others at the same head); the hot heads of these."""
+    found = cut(keyed.repartitionById(len(splitters) + 1, "part").mapInArrow(_bucket(parts, hot_rows), PACKET))
+    told = found.where("kind in (2, 4)").select("kind", "part", "payload").collect()  # two keys and a few heads of each bucket
+    repeats, firsts = boundaries([(r["part"], np.frombuffer(bytes(r["payload"]), RUN)) for r in told if r["kind"] == 2])
+    heads = np.frombuffer(b"".join(bytes(r["payload"]) for r in told if r["kind"] == 4), HEADS)
+    name, at = np.unique(heads["k"] ^ heads["r"], return_inverse=True)
+    hot = name[np.bincount(at, heads["n"], len(name)) > hot_rows] if len(name) else name
     more = []
     for kind, rows in ((0, spans_of(repeats)), (1, firsts)):
         more += [tuple(x.values()) for x in packets(kind, _deal(rows["did"], parts), rows).to_pylist()]
-    return found.unionByName(keyed.sparkSession.createDataFrame(more, PACKET)) if more else found
+    return (found.unionByName(keyed.sparkSession.createDataFrame(more, PACKET)) if more else found), hot
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -441,25 +477,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if some LENGTH-byte string that covers it also starts earlier: in a document with a smaller id,
     or earlier in its own. Null texts are empty; shorter texts lose nothing. Rows that share an id, or have none,
-    are documents of their own, ordered by text. An empty table gives no rows.
+    are documents of their own, ordered by text. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    before = spark.conf.get(ARROW_ROWS)
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = numbered(docs, id_col, text_col)
-    splitters = sample_splitters(docs, parts)
-    found = _sorted(docs.select("did", "t").mapInArrow(_runs(splitters), PACKET), splitters, parts)
+    try:
+        return _remove_repeats(spark, numbered(docs, id_col, text_col), hot_rows)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def _remove_repeats(spark, docs: DataFrame, hot_rows: int) -> DataFrame:
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PART_BYTES))
+    splitters = sample_splitters(docs, total, parts)
+    found, hot = _sorted(docs.select("did", "t").mapInArrow(_runs(splitters), PACKET), splitters, parts, hot_rows)
     texts = docs.mapInArrow(_as_packets(parts), PACKET)
     together = found.where("kind = 1").unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind")
-    compared = cut(together.mapInArrow(_edges(parts), PACKET).repartitionById(parts, "part").mapInArrow(_compare(parts, hot_rows), PACKET))
-    windows = compared.where("kind = 3")
-    few = windows.mapInArrow(_thinned, PACKET).limit(4 * SAMPLE_DOCS).select("payload").collect()
-    compared = compared.where("kind = 0")
-    if few:
+    compared = together.mapInArrow(_edges(parts, hot), PACKET)
+    spans = found.where("kind = 0")
+    if len(hot):
+        compared = cut(compared)
+        windows = compared.where("kind = 3")
+        few = windows.mapInArrow(_thinned, PACKET).limit(4 * SAMPLE_DOCS).select("payload").collect()
         splitters = quantiles(np.frombuffer(b"".join(bytes(r["payload"]) for r in few), RUN), parts)
-        compared = compared.unionByName(_sorted(windows.mapInArrow(_rerouted(splitters), PACKET), splitters, parts).where("kind = 0"))
-    together = found.where("kind = 0").unionByName(compared).unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind")
-    return together.mapInArrow(_finish, FINAL)
+        spans = spans.unionByName(_sorted(windows.mapInArrow(_rerouted(splitters), PACKET), splitters, parts, hot_rows)[0].where("kind = 0"))
+    spans = spans.unionByName(compared.where("kind = 0").repartitionById(parts, "part").mapInArrow(_compare(parts), PACKET))
+    together = spans.unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind")
+    return cut(together.mapInArrow(_finish, FINAL))
 
 
 def _as_packets(parts: int):
