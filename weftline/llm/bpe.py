@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import quoted, table
 
 #: Pre-token pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for Latin-1 texts without characters that the two regex libraries class differently; re takes half the time.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 KNOWN_PAIRS = 2_000_000
 
 
@@ -262,14 +262,18 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every whole text; null counts as empty."""
+    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every whole text.
+
+    Null text counts as empty (no ids); repeated rows give repeated rows; other columns are not read. An empty table
+    gives no rows.
+    """
     at = path or default_path()
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec(at).encode_batch(_texts(b.column(1))), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -287,7 +291,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text in one pass and return digests of both; narrow, no shuffle.
 
-    Null text counts as empty (no tokens); repeated rows give repeated rows; other columns are not read.
+    Null text counts as empty (no tokens); repeated rows give repeated rows; other columns are not read. An empty
+    table gives no rows.
     """
     at = path or default_path()
 
@@ -300,7 +305,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 back.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
 
-from .common import binary_text, cut, lookup, release, table
+from .common import binary_text, cut, lookup, packed, quoted, release, table
 
 #: Generator polynomial of the (23,12) Golay code (fixed value).
 GOLAY = 0b101011100011
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), binary_text(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 @functools.cache
@@ -206,8 +206,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = cut(rows.groupBy("__fp").agg(F.min("__id").alias("first_id"), F.count("*").alias("n")).withColumnRenamed("__fp", "fp"))
     comp = connected_components(cut(links(distinct)))
     member = distinct.join(comp, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = member.groupBy("component").agg(F.min("first_id").alias("__component_id"))
-    side = cut(member.select("fp", "n", "component").join(ids, "component").select("fp", "n", "__component_id"))
+    ids = cut(member.groupBy("component").agg(F.min("first_id").alias("__component_id"), F.count("*").alias("prints")))
+    prints = distinct.count()
+    side = cut(lookup(member.select("fp", "n", "component"), "component", ids, "component", "prints", prints, F.col("fp")).select("fp", "n", "__component_id"))
     total = side.agg(F.sum("n")).first()[0] or 0
     out = lookup(rows, "__fp", side, "fp", "n", total, F.col("__id"))
     return out.select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component_id").alias("component_id"))
@@ -217,6 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Shingle length; similarity as a fraction; documents sampled for, and number of, shingles that count as common; rows in a
 #: bucket from which all pairs are no longer listed at once; least 64-bit words of a set's parity bits; bits of the filter of ids.
 SHINGLE, SIMILAR, COMMON_DOCS, COMMON, SMALL, PARITY, FILTER = 5, (4, 5), 10_000, 100_000, 16, 4, 1 << 24
+#: Partners that a row of a long bucket lists in the first round, and how many times more in each further one; pairs that a task
+#: looks at together (these bound its memory).
+FEW, MORE, PAIRS_AT_ONCE = 4, 8, 200_000
 _word_hash: dict[bytes, int] = {}
 
 
@@ -276,6 +280,12 @@ def sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return SIMILAR[1] * np.minimum(x, y) >= SIMILAR[0] * np.maximum(x, y)
 
 
+def reach(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether ordered sets of x and y elements whose first common one is the p-th and the q-th (from 0) can be similar. Of
+    similar sets this holds at their first common shingle, and they meet in its bucket."""
+    return (SIMILAR[0] + SIMILAR[1]) * np.minimum(x - p, y - q) >= SIMILAR[0] * (x + y)
+
+
 def similar(a: bytes, b: bytes) -> bool:
     """The exact test on two whole shingle sets."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -319,60 +329,72 @@ def _pairs(left: list, right: list) -> np.ndarray:
 
 def _first_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
     """All pairs of runs of up to SMALL rows; of longer ones some pairs, and the rows themselves (dst -1)."""
-    key, rid, n = (t.column(i).to_numpy() for i in range(3))
+    key, rid, n, pos = (t.column(i).to_numpy() for i in range(4))
     if not len(key):
         return
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     small = np.repeat(size <= SMALL, size)
     left, right = [], []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        ok = sizes_fit(n[i], n[j]) & reach(n[i], pos[i], n[j], pos[j])
+        left.append(rid[i[ok]])
+        right.append(rid[j[ok]])
+
     for lag in range(1, min(SMALL, int(size.max()))):
-        ok = np.flatnonzero((key[lag:] == key[:-lag]) & small[lag:])
-        ok = ok[sizes_fit(n[ok], n[ok + lag])]
-        left.append(rid[ok])
-        right.append(rid[ok + lag])
+        at = np.flatnonzero((key[lag:] == key[:-lag]) & small[lag:])
+        add(at, at + lag)
     for at, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
         # another order in every run, so that a document meets other neighbours in each
         order = at + np.argsort(_mix(rid[at : at + m].view(np.uint64) ^ np.uint64(int(key[at]) & (2**63 - 1)), 5))
-        for i, j in ((order[:-1], order[1:]), (order[:-2], order[2:])):
-            ok = sizes_fit(n[i], n[j])
-            left.append(rid[i[ok]])
-            right.append(rid[j[ok]])
+        add(order[:-1], order[1:])
+        add(order[:-2], order[2:])
     pair, hot = _pairs(left, right), np.flatnonzero(~small)
-    cols = np.concatenate([np.zeros(len(pair), np.int64), key[hot]]), np.concatenate([pair[:, 0], rid[hot]]), np.concatenate([pair[:, 1], np.full(len(hot), -1)])
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "src", "dst"])
-
-
-def _cross_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """All pairs of a run that are not yet in one component and that sizes and parity bits do not rule out."""
-    key, rid, comp, n = (t.column(i).to_numpy() for i in range(4))
-    if not len(key):
-        return
-    bits = np.array([fold(np.frombuffer(x, "<u8"), PARITY) for x in t.column(4).to_pylist()], np.uint64)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    left, right = [], []
-    for at, end in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
-        ids, which, members = np.unique(comp[at:end], return_inverse=True, return_counts=True)
-        if len(ids) < 2:
-            continue
-        order = at + np.argsort(which == members.argmax(), kind="stable")  # the largest component's rows last: they need no turn
-        turns, c, size = int(end - at - members.max()), comp[order], n[order]
-        step = max(1, 1_000_000 // (end - at))
-        for i in range(0, turns, step):
-            own = np.arange(i, min(i + step, turns))
-            ok = c[own, None] != c[None, i:]
-            ok &= np.arange(i, end - at)[None] > own[:, None]
-            ok &= sizes_fit(size[own, None], size[None, i:])
-            x, y = np.nonzero(ok)
-            x, y = own[x], y + i
-            total = size[x] + size[y]
-            least = -(-SIMILAR[0] * total // sum(SIMILAR))
-            differ = np.bitwise_count(bits[order[x]] ^ bits[order[y]]).sum(1)
-            fits = differ <= total - 2 * least
-            left.append(rid[order[x[fits]]])
-            right.append(rid[order[y[fits]]])
-    pair = _pairs(left, right)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["src", "dst"])
+    cols = np.concatenate([np.zeros(len(pair), np.int64), key[hot]]), np.concatenate([pair[:, 0], rid[hot]]), np.concatenate([pair[:, 1], np.full(len(hot), -1)]), np.concatenate([np.zeros(len(pair), np.int32), pos[hot]]).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "src", "dst", "pos"])
+
+
+def _cross_pairs(few: int):
+    """For each row of a run outside the run's largest component: of all rows that are in another component and that sizes, places
+    and parity bits do not rule out, the `few` that differ from it in the fewest parity bits; dst -1 where there are more."""
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, rid, comp, n, pos = (t.column(i).to_numpy() for i in range(5))
+        if not len(key):
+            return
+        bits = np.array([fold(np.frombuffer(x.as_py(), "<u8"), PARITY) for x in t.column(5)], np.uint64).reshape(-1, PARITY)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        left, right, more = [], [], []
+        for at, end in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+            ids, which, members = np.unique(comp[at:end], return_inverse=True, return_counts=True)
+            if len(ids) < 2:
+                continue
+            turns = at + np.flatnonzero(which != members.argmax())
+            every = slice(at, end)
+            step = max(1, PAIRS_AT_ONCE // (end - at))
+            for i in range(0, len(turns), step):
+                own = turns[i : i + step]
+                ok = (comp[own, None] != comp[None, every]) & sizes_fit(n[own, None], n[None, every]) & reach(n[own, None], pos[own, None], n[None, every], pos[None, every])
+                x, y = np.nonzero(ok)
+                total = n[own[x]] + n[at + y]
+                differ = np.zeros(len(x), np.int64)
+                for w in range(PARITY):
+                    differ += np.bitwise_count(bits[own[x], w] ^ bits[at + y, w])
+                ok = differ <= total - 2 * -(-SIMILAR[0] * total // sum(SIMILAR))
+                x, y, differ = x[ok], y[ok], differ[ok]
+                order = np.lexsort((rid[at + y], differ, x))
+                x, y = x[order], y[order]
+                start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
+                nth = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
+                left.append(rid[own[x[nth < few]]])
+                right.append(rid[at + y[nth < few]])
+                more.append(rid[own[x[nth == few]]])
+        pair, open_ = _pairs(left, right), np.unique(np.concatenate([np.zeros(0, np.int64), *more]))
+        cols = np.concatenate([pair[:, 0], open_]), np.concatenate([pair[:, 1], np.full(len(open_), -1)])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["src", "dst"])
+
+    return run
 
 
 def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -395,8 +417,10 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     (the whole set, its size and its parity bits).
 
     Every similar pair shares a key (see prefix), so it meets in a bucket. Short buckets list all their pairs, long ones
-    first some; once those are decided, long buckets list every pair that is not connected yet and that sizes and parity
-    bits allow. All links are decided on the whole sets.
+    first some. Once those are decided and connected, each row of a long bucket lists the likeliest partners in other
+    components, FEW in the first round and MORE times as many in each further one, until no row has a possible partner
+    left that was not decided: rows that find their group at once never list the others. All links are decided on the
+    whole sets.
     """
     spark = rows.sparkSession
     common = spark.sparkContext.broadcast(_common(rows, rows.count()))
@@ -409,7 +433,8 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
                 many, n = np.array([len(x) for x in found], np.int64), np.array([len(x) for x in sets], np.int64)
                 key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
                 rid = np.repeat(b.column(0).slice(at, 500).to_numpy(), many)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(np.repeat(n, many).astype(np.int32))], names=["key", "rid", "n"])
+                pos = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(np.repeat(n, many).astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "rid", "n", "pos"])
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FILTER // 8, np.uint8)
@@ -447,20 +472,30 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
         release(spark)
         return out
 
-    keyed = rows.select("rid", "s").mapInArrow(keys, "key long, rid long, n int")
-    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _first_pairs), "key long, src long, dst long").distinct())
+    keyed = rows.select("rid", "s").mapInArrow(keys, "key long, rid long, n int, pos int")
+    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _first_pairs), "key long, src long, dst long, pos int").distinct())
     release(spark)
-    links_ = decided(met.where("dst >= 0").select("src", "dst"))
-    hot = met.where("dst < 0").select("key", F.col("src").alias("rid"))
+    tried = met.where("dst >= 0").select("src", "dst")
+    found = decided(tried)
+    hot = met.where("dst < 0").select("key", F.col("src").alias("rid"), "pos")
     if hot.isEmpty():
-        return links_
-    comp = connected_components(links_)
-    side = rows.select("rid", "n", "bits").join(hot.select("rid").distinct(), "rid")
-    side = side.join(comp, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("component", "rid").alias("component"), "n", "bits")
-    hot = hot.join(cut(side), "rid").select("key", "rid", "component", "n", "bits")
-    rest = cut(hot.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _cross_pairs), "src long, dst long").distinct())
-    release(spark)
-    return links_.unionByName(decided(rest))
+        return found
+    side = cut(rows.select("rid", "n", "bits").join(hot.select("rid").distinct(), "rid"))
+    few, new, comp = FEW, found, None
+    while True:
+        # what is connected already counts as links to the component's smallest number
+        edges = new if comp is None else new.unionByName(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        comp = connected_components(edges)
+        now = side.join(comp, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("component", "rid").alias("component"), "n", "bits")
+        crowd = hot.join(cut(now), "rid").select("key", "rid", "component", "n", "pos", "bits")
+        listed = cut(crowd.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, f=_cross_pairs(few): _runs(b, f), "src long, dst long").distinct())
+        release(spark)
+        fresh = cut(listed.where("dst >= 0").join(tried, ["src", "dst"], "left_anti"))
+        new = decided(fresh)
+        found = found.unionByName(new)
+        if listed.where("dst < 0").isEmpty():
+            return found
+        tried, few = tried.unionByName(fresh), few * MORE
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,7 +503,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Near duplicates have a similarity (Jaccard, all distinct five-word shingles) of SIMILAR or more, found and decided
     exactly (similar_pairs); groups are connected components. Null and wordless texts are equal to each other. Null ids
-    count as largest; of repeated rows one stays. An empty table gives no rows.
+    count as largest; of repeated rows one stays. Columns may have any name. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,8 +513,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "n", "bits", "s"])
 
     spark = docs.sparkSession
-    textkey = F.xxhash64(F.col(text_col).cast("string"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), textkey.alias("k"), binary_text(text_col).alias("t"))
+    own = {"id": F.col(quoted(id_col)).cast("long"), "k": F.xxhash64(F.col(quoted(text_col)).cast("string"))}
+    rows = docs.select(*[c.alias(n) for n, c in own.items()], binary_text(text_col).alias("t"))
     release(spark)
     rows = cut(rows.mapInArrow(run, "id long, k long, n long, bits binary, s binary").withColumn("rid", F.monotonically_increasing_id()))
     release(spark)
@@ -488,14 +523,16 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = ids.where("not empty").join(comp, F.col("rid") == F.col("node")).select("id", "k", "rid", "component")
     member = cut(member.unionByName(ids.where("empty").select("id", "k", "rid", F.lit(-1).cast("long").alias("component"))))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
-    first = member.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o.rid").alias("stays"))
-    member = cut(member.join(first, "component").select("id", "k", (F.col("rid") == F.col("stays")).alias("stays")))
+    first = cut(member.groupBy("component").agg(F.min(order).alias("o"), F.count("*").alias("n")).select("component", "n", F.col("o.rid").alias("first")))
+    member = lookup(member, "component", first, "component", "n", first.agg(F.sum("n")).first()[0] or 0, F.col("rid"))
+    member = cut(member.select("id", "k", (F.col("rid") == F.col("first")).alias("stays")))
     release(spark)
-    fate = member.groupBy(F.col("id").alias("__id"), F.col("k").alias("__k")).agg(F.max("stays").alias("__stays"), F.count("*").alias("__n"))
-    out = docs.withColumn("__j", textkey).join(fate, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("__j").eqNullSafe(F.col("__k")), "left")
-    out = out.where(F.col("__stays").isNull() | F.col("__stays"))
-    once = out.where("__n is null or __n = 1")
-    return once.select(docs.columns).unionByName(out.where("__n > 1").dropDuplicates(["__id", "__k"]).select(docs.columns))
+    # rows in no link are in no component and stay; rows that repeat id and text are in one with each other
+    fate = member.groupBy(F.col("id").alias("its"), F.col("k").alias("own")).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    out = packed(docs, **own).join(fate, F.col("id").eqNullSafe(F.col("its")) & F.col("k").eqNullSafe(F.col("own")), "left")
+    out = out.where("stays is null or stays")
+    once = out.where("n is null or n = 1").select("__row")
+    return once.unionByName(out.where("n > 1").dropDuplicates(["its", "own"]).select("__row")).select("__row.*")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
