@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.runs import by_runs
 from weftline.model import LONG_READ_SD
 
 KEY = ["lib", "c1", "c2", "cons"]
@@ -37,14 +37,11 @@ def jump_clusters(obs: DataFrame, libraries: DataFrame, exact_band: bool = False
     band = (~F.col("one")) & (F.col("gap") >= wide / 2) & (F.col("gap") <= wide)
     o = o.withColumn("unclear", F.max(F.coalesce(band, F.lit(False))).over(w))
     clear = o.where(~F.col("unclear")).select(cols)
-    schema = clear.schema
 
-    def split(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("diff", kind="stable")
-        g["cluster"] = density_splits(g["diff"].to_numpy(float), float(max(10.0, g["sd"].iloc[0])))
-        return g[cols]
+    def split(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return g | {"cluster": density_splits(g["diff"], float(max(10.0, g["sd"][0])))}
 
-    return clear.unionByName(o.where("unclear").select(cols).groupBy(*KEY).applyInPandas(split, schema))
+    return clear.unionByName(by_runs(o.where("unclear").select(cols), KEY, ["diff"], split, clear.schema))
 
 
 def density_peaks(y: np.ndarray, distance: int = 3) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -12,13 +12,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, cut from its lineage in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def _signature(edges: DataFrame) -> tuple:
+def _signed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written once, with their number and a sum of hashes that the same job counts."""
+    seen = Observation()
     mod = F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 40))
-    return tuple(edges.agg(F.count("*"), F.sum(mod)).first())
+    out = checkpointed(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(mod).alias("h")))
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -30,16 +36,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     all_edges = edges.select(F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"))
     loops = all_edges.where("lo = hi").select(F.col("lo").alias("node")).distinct()
-    e = checkpointed(all_edges.where("lo < hi").distinct())
-    before = _signature(e)
+    e, before = _signed(all_edges.where("lo < hi").distinct())
     while before[0]:
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("m < v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(low, "hi").where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        e = checkpointed(moved.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct())
-        after = _signature(e)
+        e, after = _signed(moved.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct())
         if after == before:
             break
         before = after

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.runs import by_runs
+
 
 def by_place():
     """Window over a scaffold's fragments in layout order."""
@@ -55,6 +57,13 @@ def flip(direct: Column) -> Column:
     return F.when(direct == "F", "R").otherwise("F")
 
 
+def reversed_layout(layout: DataFrame) -> DataFrame:
+    """Each scaffold read from its other end: [end - until, end - from] with the orientation flipped."""
+    w = Window.partitionBy("scaffold_id")
+    last = F.max("end").over(w)
+    return layout.select(*[c for c in layout.columns if c not in ("start", "end", "direct")], (last - F.col("end")).alias("start"), (last - F.col("start")).alias("end"), flip(F.col("direct")).alias("direct")).select(layout.columns)
+
+
 def shift_flip(layout: DataFrame, placement: DataFrame) -> DataFrame:
     """Put layouts at solved places (scaffold_id, orient, pos): +pos, or mirrored to pos - end .. pos - start."""
     p = layout.join(placement, "scaffold_id")
@@ -75,15 +84,19 @@ def overlapping(s1: Column, e1: Column, s2: Column, e2: Column, sd: float) -> Co
 def neighbourhood(layout: DataFrame, reach: Column | float) -> DataFrame:
     """Pairs i before j of a scaffold with start_j < end_i + reach; joined by bins of starts, not all pairs.
 
-    Bins are as wide as the longest extent of the layout (one scalar), so a pair lies in the same or the next bins.
+    An interval goes to the one or two bins of the width (a power of two) that fits its own extent, and a start to its bin of
+    every width in use (at most 64, the one list the driver sees), so a long fragment widens no other's bins.
     """
     rows = layout.withColumn("ord", F.row_number().over(by_place())).withColumn("until", F.col("end") + reach)
-    width = float(rows.agg(F.max(F.col("until") - F.col("start"))).first()[0] or 1.0)
-    width = max(width, 1.0)
-    a = rows.select("scaffold_id", *[F.col(c).alias(f"{c}_i") for c in ("contig_id", "ord", "start", "end", "until")])
-    a = a.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_i") / width), F.floor(F.col("until_i") / width))))
-    b = rows.select("scaffold_id", F.floor(F.col("start") / width).alias("bin"), *[F.col(c).alias(f"{c}_j") for c in ("contig_id", "ord", "start", "end")])
-    return a.join(b, ["scaffold_id", "bin"]).where("ord_i < ord_j and start_j < until_i").drop("bin", "until_i")
+    extent = F.greatest(F.col("until") - F.col("start"), F.lit(1.0))
+    rows = rows.withColumn("level", F.ceil(F.log2(extent)).cast("int"))
+    used = sorted(r["level"] for r in rows.select("level").distinct().collect())
+    width = F.pow(F.lit(2.0), F.col("level"))
+    a = rows.select("scaffold_id", "level", *[F.col(c).alias(f"{c}_i") for c in ("contig_id", "ord", "start", "end", "until")])
+    a = a.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_i") / width), F.floor(F.greatest("start_i", "until_i") / width))))
+    b = rows.select("scaffold_id", F.explode(F.array(*map(F.lit, used or [0]))).alias("level"), *[F.col(c).alias(f"{c}_j") for c in ("contig_id", "ord", "start", "end")])
+    b = b.withColumn("bin", F.floor(F.col("start_j") / width))
+    return a.join(b, ["scaffold_id", "level", "bin"]).where("ord_i < ord_j and start_j < until_i").drop("level", "bin", "until_i")
 
 
 def overlap_conflicts(layout: DataFrame, sd: float) -> DataFrame:
@@ -105,54 +118,70 @@ def best_partner(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("scaffold_id", "contig_id_i").agg(best.alias("b")).select("scaffold_id", F.col("contig_id_i").alias("c1"), F.col("b.contig_id_j").alias("c2"), F.col("b.n").alias("n"))
 
 
-def strands_of(rows: pd.DataFrame, links: dict[tuple[int, int], int], reach: float, sd: float, min_links: int) -> list[list[int]]:
+def strands_of(ids: list[int], start: list[float], end: list[float], links: dict[int, dict[int, int]], reach: float, sd: float, min_links: int) -> list[list[int]]:
     """Greedy chains by most links inside the window, then single strands join where nothing overlaps.
 
-    rows are sorted by place. The first remaining fragment starts a chain; it goes on with the candidate that has
-    most links (over min_links; ties: nearer) until there is none; the rest is chained again. A chain of one then
-    joins the chain of its most-linked fragment, unless it overlaps a member by over 3 spreads.
+    Fragments are sorted by place; links: of each fragment, its linked ones and their number. The first remaining fragment
+    starts a chain; it goes on with the candidate that has most links (over min_links; ties: nearer) until there is none; the
+    rest is chained again. A chain of one then joins the chain of its most-linked fragment, unless it overlaps a member by
+    over 3 spreads. Only linked fragments are looked at, never the whole window.
     """
-    ids, start, end = rows["contig_id"].tolist(), rows["start"].tolist(), rows["end"].tolist()
-    left, chains = list(range(len(ids))), []
-    while left:
-        chain, at = [left[0]], left[0]
+    n = len(ids)
+    at = {c: k for k, c in enumerate(ids)}
+    near = [sorted((at[c], w) for c, w in links.get(k, {}).items() if c in at and c != k) for k in ids]
+    chain_of, chains = [-1] * n, []
+    for first in range(n):
+        if chain_of[first] >= 0:
+            continue
+        chain, now = [first], first
+        chain_of[first] = len(chains)
         while True:
             best, most = -1, min_links
-            for j in left:
-                if j > at and start[j] < end[at] + reach and (n := links.get((ids[at], ids[j]), 0)) > most:
-                    best, most = j, n
+            for j, w in near[now]:
+                if j > now and chain_of[j] < 0 and start[j] < end[now] + reach and w > most:
+                    best, most = j, w
             if best < 0:
                 break
             chain.append(best)
-            at = best
+            chain_of[best] = len(chains)
+            now = best
         chains.append(chain)
-        used = set(chain)
-        left = [j for j in left if j not in used]
-    clash = lambda i, j: (start[i] < start[j] and end[i] - start[j] > 3 * sd) or (start[j] < start[i] and end[j] - start[i] > 3 * sd)
-    out = [c for c in chains if len(c) > 1]
-    for (i,) in (c for c in chains if len(c) == 1):
-        linked = [(links.get((ids[i], ids[j]), 0), -j, c) for c in out for j in c]
-        n, _, target = max(linked, default=(0, 0, None), key=lambda x: x[:2])
-        if target is not None and n > min_links and not any(clash(i, j) for j in target):
-            target.append(i)
-        else:
-            out.append([i])
-    return [sorted(c) for c in out]
 
+    def clash(i: int, j: int) -> bool:
+        return (start[i] < start[j] and end[i] - start[j] > 3 * sd) or (start[j] < start[i] and end[j] - start[i] > 3 * sd)
 
-def split_strands(layout: DataFrame, counts: DataFrame, min_links: int, max_insert: float, max_sd: float) -> DataFrame:
-    """The layout with strand_id (smallest fragment) as scaffold_id: conflict-free chains of linked fragments."""
-    inner = layout.select(F.col("scaffold_id").alias("gid"), F.col("contig_id").alias("c1")).join(counts, "c1").join(layout.select(F.col("scaffold_id").alias("s2"), F.col("contig_id").alias("c2")), "c2").where("gid = s2").select("gid", "c1", "c2", "n")
-    reach, schema = float(max_insert + 3 * max_sd), layout.schema
+    for k, chain in enumerate(chains):
+        if len(chain) == 1 and near[chain[0]]:
+            (i,) = chain
+            j, w = max(near[i], key=lambda x: (x[1], -x[0]))
+            target = chain_of[j]
+            if w > min_links and not any(clash(i, m) for m in chains[target]):
+                chains[target].append(i)
+                chain_of[i], chains[k] = target, []
+    return [sorted(c) for c in chains if c]
 
-    def run(key, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end", "contig_id"], kind="stable").reset_index(drop=True)
-        n = {(int(a), int(b)): int(c) for a, b, c in zip(links["c1"], links["c2"], links["n"])}
-        for strand in strands_of(rows, n, reach, max_sd, min_links):
-            rows.loc[strand, "scaffold_id"] = int(rows.loc[strand, "contig_id"].min())
-        return rows
 
-    return layout.groupBy("scaffold_id").cogroup(inner.groupBy("gid")).applyInPandas(run, schema)
+def split_strands(layout: DataFrame, counts: DataFrame, min_links: int, max_insert: float, max_sd: float) -> DataFrame:
+    """The layout with strand_id (smallest fragment) as scaffold_id: conflict-free chains of linked fragments."""
+    own = layout.select("scaffold_id", "contig_id")
+    inner = counts.join(own.withColumnRenamed("contig_id", "c1"), "c1").join(own.select(F.col("scaffold_id").alias("s2"), F.col("contig_id").alias("c2")), "c2").where("scaffold_id = s2")
+    zero = F.lit(0.0)
+    rows = layout.select("scaffold_id", F.lit(0).alias("kind"), F.col("contig_id").alias("c1"), F.lit(0).cast("long").alias("c2"), "start", F.col("end").alias("until"), F.lit(0).cast("long").alias("n"))
+    rows = rows.unionByName(inner.select("scaffold_id", F.lit(1).alias("kind"), "c1", "c2", zero.alias("start"), zero.alias("until"), F.col("n").cast("long").alias("n")))
+    reach = float(max_insert + 3 * max_sd)
+
+    def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        node, link = g["kind"] == 0, g["kind"] == 1
+        ids, links = g["c1"][node], {}
+        for a, b, n in zip(g["c1"][link].tolist(), g["c2"][link].tolist(), g["n"][link].tolist()):
+            links.setdefault(a, {})[b] = n
+        strand = np.zeros(len(ids), np.int64)
+        for s in strands_of(ids.tolist(), g["start"][node].tolist(), g["until"][node].tolist(), links, reach, max_sd, min_links):
+            strand[s] = ids[s].min()
+        return {"contig_id": ids, "strand": strand}
+
+    found = by_runs(rows, ["scaffold_id"], ["kind", "start", "until", "c1"], run, "contig_id long, strand long")
+    return layout.join(found, "contig_id").withColumn("scaffold_id", F.col("strand")).select(layout.columns)
 
 
 def scaffold_ids(layout: DataFrame) -> DataFrame:

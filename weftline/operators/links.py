@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.ordering import percentile
 from weftline.model import LONG_READ_SD
 
 
@@ -95,7 +96,14 @@ def orientation_votes(obs: DataFrame) -> DataFrame:
 
 def auto_threshold(counts: DataFrame, p: float = 0.1) -> DataFrame:
     """One row: the exact percentile of the symmetric link counts other than 1, cut to an integer."""
-    return counts.where("n <> 1").agg(F.percentile("n", F.lit(p)).cast("long").alias("min_links"))
+    return percentile(counts.where("n <> 1"), "n", p).select(F.col("percentile").cast("long").alias("min_links"))
+
+
+def auto_threshold_sqrt(counts: DataFrame, contigs: DataFrame, least: float = 0.7) -> DataFrame:
+    """One row: the threshold that goes with the weighting 'sqrt': the exact percentile p of all symmetric counts, with
+    p = 1 - 2 fragments / pairs, at least `least`."""
+    p = max(1 - 2 * contigs.count() / max(1, counts.count()), least)
+    return percentile(counts, "n", p).select(F.col("percentile").alias("min_links"))
 
 
 def contig_edges(votes: DataFrame, contigs: DataFrame, min_links: int, min_len: int = 300) -> DataFrame:

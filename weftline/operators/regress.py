@@ -1,19 +1,24 @@
 """Orientation and robust regression of one component, and their grouped application.
 
 Only aggregated rows reach a component's task: cluster rows of both orientations (clusters do not depend on the
-orientation, so they are formed before it is known) and votes. Weights and variances stay vectors; the normal
-matrix is the weighted Laplacian with the first node held at 0.
+orientation, so they are formed before it is known) and votes. Components over the cap are cut into connected pieces
+by Spark first, so the cap bounds what a task holds. Weights and variances stay vectors; the normal matrix is the
+weighted Laplacian with the first node held at 0, factored by levels of distance from it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.runs import by_runs
+
+from .components import checkpointed
+
 
 def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_field: bool = False) -> np.ndarray:
     """+1 / -1 per node 0..n-1 from votes (i, j, pos, neg): heaviest-first search from node 0, then single flips.
@@ -22,20 +27,17 @@ def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_
     nodes it does not reach are +1. Flips follow the field d_i * sum over j > i of J_ij d_j (with full_field, over
     all j), the most negative first, while the sum of J d d grows. Ties: the smallest node.
     """
+    d = np.ones(n, int)
+    if not n:
+        return d
     near: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    upper: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    both: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    around: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for i, j, pos, neg in votes:
         weight, total = max(pos, neg), pos - neg
-        sign = (1 if total >= 0 else -1) if weight > min_links else 0
         for a, b in ((i, j), (j, i)):
-            if sign:
-                near[a].append((-weight, b, sign))
-            both[a].append((b, total))
-        upper[min(i, j)].append((max(i, j), total))
-    d = np.ones(n, int)
-    if not n:
-        return d
+            if weight > min_links:
+                near[a].append((-weight, b, 1 if total >= 0 else -1))
+            around[a].append((b, total))
     for x in near:
         x.sort()
     seen, stack = {0}, [(0, iter(near[0]))]
@@ -48,18 +50,17 @@ def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_
             seen.add(step[1])
             d[step[1]] = step[2] * d[node]
             stack.append((step[1], iter(near[step[1]])))
-    field = both if full_field else upper
-    energy = lambda: sum(d[i] * t * d[j] for i in range(n) for j, t in upper[i])
-    best = -math.inf
-    while (now := energy()) > best:
-        best = now
-        local = [d[i] * sum(t * d[j] for j, t in field[i]) for i in range(n)]
-        i = int(np.argmin(local))
+    counts = lambda i, j: full_field or j > i
+    field = np.array([d[i] * sum(t * d[j] for j, t in around[i] if counts(i, j)) for i in range(n)], float)
+    while True:
+        i = int(np.argmin(field))
+        if sum(t * d[i] * d[j] for j, t in around[i]) >= 0:  # what the sum loses twice by the flip
+            return d
         d[i] = -d[i]
-        if energy() <= best:
-            d[i] = -d[i]
-            break
-    return d
+        field[i] = -field[i]
+        for j, t in around[i]:
+            if counts(j, i):
+                field[j] += 2 * t * d[j] * d[i]
 
 
 def spanning_orient(n: int, votes: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -94,35 +95,106 @@ def spanning_orient(n: int, votes: list[tuple[int, int, int, int]]) -> np.ndarra
     return d
 
 
-def solve(n: int, i: np.ndarray, j: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted least squares of x_j - x_i = y with x_0 = 0, and the reduced normal matrix."""
-    a, b = np.zeros((n, n)), np.zeros(n)
-    np.add.at(a, (i, i), w)
-    np.add.at(a, (j, j), w)
-    np.add.at(a, (i, j), -w)
-    np.add.at(a, (j, i), -w)
-    np.add.at(b, j, w * y)
-    np.add.at(b, i, -w * y)
-    x = np.zeros(n)
-    if n > 1:
-        x[1:] = np.linalg.solve(a[1:, 1:], b[1:])
-    return x, a[1:, 1:]
-
-
-def covariance(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, v: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """A^-1 (X' W V W X) A^-1 for diagonal W and V; zero for node 0."""
-    out = np.zeros((n, n))
-    if n > 1:
-        m, s = np.zeros((n, n)), w * v * w
-        np.add.at(m, (i, i), s)
-        np.add.at(m, (j, j), s)
-        np.add.at(m, (i, j), -s)
-        np.add.at(m, (j, i), -s)
-        inv = np.linalg.inv(a)
-        out[1:, 1:] = inv @ m[1:, 1:] @ inv
+class NormalMatrix:
+    """X'WX of rows x_j - x_i with x_0 held at 0, for a connected graph.
+
+    Nodes are taken by their distance from node 0: rows join only nodes of one level or of neighbouring ones, so the
+    matrix is block tridiagonal. A chain of fragments has many small blocks; up to `dense` nodes are one block.
+    """
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, dense: int = 150):
+        self.n = n
+        level = np.ones(n, int)
+        level[0] = 0
+        if n > dense:
+            level = levels(n, i, j)
+        self.order = np.argsort(level, kind="stable")[1:]
+        ends = np.flatnonzero(np.diff(level[self.order])) + 1
+        self.cuts = [0, *ends.tolist(), n - 1]
+        at = np.full(n, -1)
+        at[self.order] = np.arange(n - 1)
+        a, b = at[i], at[j]
+        diagonal = np.bincount(np.r_[a, b][np.r_[a, b] >= 0], np.r_[w, w][np.r_[a, b] >= 0], n - 1)
+        both = (a >= 0) & (b >= 0)
+        low, high, w = np.minimum(a, b)[both], np.maximum(a, b)[both], w[both]
+        by = np.argsort(high, kind="stable")
+        low, high, w = low[by], high[by], w[by]
+        self.inverse, self.carry, self.below = [], [], []
+        for k, (lo, hi) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
+            r = slice(*np.searchsorted(high, [lo, hi]))
+            s = np.diag(diagonal[lo:hi])
+            own = low[r] >= lo
+            np.add.at(s, (high[r][own] - lo, low[r][own] - lo), -w[r][own])
+            np.add.at(s, (low[r][own] - lo, high[r][own] - lo), -w[r][own])
+            if k:
+                before = self.cuts[k - 1]
+                e = np.zeros((hi - lo, lo - before))
+                np.add.at(e, (high[r][~own] - lo, low[r][~own] - before), -w[r][~own])
+                self.below.append(e)
+                self.carry.append(e @ self.inverse[-1])
+                s = s - self.carry[-1] @ e.T
+            self.inverse.append(np.linalg.inv(s))
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        """A^-1 b with 0 for node 0, for one right side or several columns."""
+        x = b[self.order].astype(float)
+        spans = list(zip(self.cuts[:-1], self.cuts[1:]))
+        for k in range(1, len(spans)):
+            x[slice(*spans[k])] -= self.carry[k - 1] @ x[slice(*spans[k - 1])]
+        for k in range(len(spans) - 1, -1, -1):
+            own = slice(*spans[k])
+            rest = x[own] - self.below[k].T @ x[slice(*spans[k + 1])] if k + 1 < len(spans) else x[own]
+            x[own] = self.inverse[k] @ rest
+        out = np.zeros(b.shape)
+        out[self.order] = x
+        return out
+
+
+def levels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of steps from node 0 to each node."""
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b in zip(i.tolist(), j.tolist()):
+        near[a].append(b)
+        near[b].append(a)
+    level, now, depth = np.full(n, -1), [0], 0
+    level[0] = 0
+    while now:
+        depth += 1
+        now = [b for b in dict.fromkeys(b for a in now for b in near[a]) if level[b] < 0]
+        level[now] = depth
+    return level
+
+
+def solve(n: int, i: np.ndarray, j: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, NormalMatrix | None]:
+    """Weighted least squares of x_j - x_i = y with x_0 = 0, and the factored normal matrix."""
+    if n < 2:
+        return np.zeros(n), None
+    a = NormalMatrix(n, i, j, w)
+    return a.solve(np.bincount(j, w * y, n) - np.bincount(i, w * y, n)), a
+
+
+def difference_variance(a: NormalMatrix, i: np.ndarray, j: np.ndarray, w: np.ndarray, v: np.ndarray, p: np.ndarray, q: np.ndarray, step: int = 64) -> np.ndarray:
+    """Variance of x_q - x_p under the covariance A^-1 (X' W V W X) A^-1, a few columns at a time."""
+    out = np.zeros(len(p))
+    for at in range(0, len(p), step):
+        cols = np.arange(len(p[at : at + step]))
+        b = np.zeros((a.n, len(cols)))
+        b[p[at : at + step], cols] -= 1
+        b[q[at : at + step], cols] += 1
+        z = a.solve(b)
+        out[at : at + step] = ((w * w * v)[:, None] * (z[j] - z[i]) ** 2).sum(axis=0)
     return out
 
 
+def covariance(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, v: np.ndarray, a: NormalMatrix | None) -> np.ndarray:
+    """The whole covariance; zero for node 0."""
+    if a is None:
+        return np.zeros((n, n))
+    z = a.solve(np.eye(n) - np.eye(n)[:, :1] * (np.arange(n) == 0))
+    rows = np.sqrt(w * w * v)[:, None] * (z[j] - z[i])
+    return rows.T @ rows
+
+
 def parts_of(n: int, i: np.ndarray, j: np.ndarray) -> list[list[int]]:
     near: list[list[int]] = [[] for _ in range(n)]
     for a, b in zip(i.tolist(), j.tolist()):
@@ -141,47 +213,29 @@ def parts_of(n: int, i: np.ndarray, j: np.ndarray) -> list[list[int]]:
     return out
 
 
-def capped(nodes: list[int], near: dict[int, list[int]], cap: int) -> list[list[int]]:
-    """Pieces of at most cap nodes that stay connected: breadth-first search that starts anew when full."""
-    left, out = set(nodes), []
-    for r in nodes:
-        if r in left:
-            left.discard(r)
-            part = [r]
-            for a in part:
-                for b in near.get(a, ()):
-                    if b in left and len(part) < cap:
-                        left.discard(b)
-                        part.append(b)
-            out.append(sorted(part))
-    return out
-
-
-def fit(nodes: list[int], rows: pd.DataFrame, votes: pd.DataFrame, tolerance: float, min_links: int, strict: bool = True, max_fits: int = 299, cap: int = 3000) -> list[dict]:
-    """Layouts of one component: list of {scaffold, node, x, orient, std, last}.
+def fit(nodes: list[int], rows: Mapping, votes: Mapping, tolerance: float, min_links: int, strict: bool = True, max_fits: int = 299, lengths: Mapping[int, float] | None = None) -> list[dict]:
+    """Layouts of one component: list of {scaffold, node, x, orient, std}.
 
     Work list of node sets. A set is oriented, rows consistent with the orientation (cons = o1 o2) are taken, with
     y negated for a reversed first node; then fits alternate with trimming: k = 1 % of the rows (at least one) more
     go in each round, by the order statistic of the residuals of all rows, until the largest kept residual is within
     the tolerance. If the kept rows fall apart, the parts are put on the list instead; if the rows or rounds run
-    out, the nodes become single layouts. strict keeps residuals under the bound, otherwise up to it.
+    out, the nodes become single layouts. strict keeps residuals under the bound, otherwise up to it. std is that of
+    the gap to the next fragment, in order of the intervals that the lengths give.
     """
-    near: dict[int, list[int]] = {}
-    for a, b in zip(rows["c1"].tolist(), rows["c2"].tolist()):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    work = capped(sorted(nodes), {k: sorted(set(v)) for k, v in near.items()}, cap)
-    c1, c2 = rows["c1"].to_numpy(np.int64), rows["c2"].to_numpy(np.int64)
-    cons, y0, w0, v0 = (rows[c].to_numpy(float) for c in ("cons", "y", "w", "v"))
-    va, vb = votes["c1"].to_numpy(np.int64), votes["c2"].to_numpy(np.int64)
-    pos, neg = votes["n_pos"].to_numpy(np.int64), votes["n_neg"].to_numpy(np.int64)
+    column = lambda t, name, kind: np.asarray(t[name], kind)
+    c1, c2 = column(rows, "c1", np.int64), column(rows, "c2", np.int64)
+    cons, y0, w0, v0 = (column(rows, c, float) for c in ("cons", "y", "w", "v"))
+    va, vb, pos, neg = (column(votes, c, np.int64) for c in ("c1", "c2", "n_pos", "n_neg"))
     out: list[dict] = []
 
     def single(node: int) -> None:
         out.append({"scaffold": node, "node": node, "x": 0.0, "orient": 1, "std": 0.0})
 
+    everyone = np.array(sorted(nodes), np.int64)
+    work = [everyone[p] for p in parts_of(len(everyone), np.searchsorted(everyone, c1), np.searchsorted(everyone, c2))]
     while work:
-        own = np.array(work.pop(), np.int64)
+        own = np.asarray(work.pop(), np.int64)
         n = len(own)
         if n == 1:
             single(int(own[0]))
@@ -194,23 +248,24 @@ def fit(nodes: list[int], rows: pd.DataFrame, votes: pd.DataFrame, tolerance: fl
         take, i, j = take[ok], i[ok], j[ok]
         y, w, v = y0[take] * d[i], w0[take], v0[take]
         keep, m = np.ones(len(take), bool), len(take)
-        k, done = max(1, m // 100), False
+        pair = np.unique(np.minimum(i, j) * n + np.maximum(i, j), return_inverse=True)[1]
+        k, done, pairs = max(1, m // 100), False, -1
         for it in range(1, max_fits + 1):
-            parts = parts_of(n, i[keep], j[keep])
-            if len(parts) > 1:
-                work += parts
-                done = True
-                break
+            left = int((np.bincount(pair[keep], minlength=1) > 0).sum())
+            if left != pairs:  # only the loss of a pair's last row can disconnect
+                pairs, parts = left, parts_of(n, i[keep], j[keep])
+                if len(parts) > 1:
+                    work += [own[p] for p in parts]
+                    done = True
+                    break
             x, a = solve(n, i[keep], j[keep], y[keep], w[keep])
             r = np.abs(x[j] - x[i] - y)
             if r[keep].max() <= tolerance:
-                cov = covariance(n, i[keep], j[keep], w[keep], v[keep], a)
-                place = np.argsort(x, kind="stable")
+                length = np.array([lengths[int(c)] for c in own]) if lengths else np.zeros(n)
+                place = np.lexsort((own, np.where(d > 0, x + length, x), np.where(d > 0, x, x - length)))
                 std = np.zeros(n)
-                for p, q in zip(place[:-1], place[1:]):
-                    std[p] = math.sqrt(max(0.0, cov[p, p] + cov[q, q] - cov[p, q] - cov[q, p]))
-                for p in range(n):
-                    out.append({"scaffold": int(own[0]), "node": int(own[p]), "x": float(x[p]), "orient": int(d[p]), "std": float(std[p])})
+                std[place[:-1]] = np.sqrt(difference_variance(a, i[keep], j[keep], w[keep], v[keep], place[:-1], place[1:]))
+                out += [{"scaffold": int(own[0]), "node": int(own[p]), "x": float(x[p]), "orient": int(d[p]), "std": float(std[p])} for p in range(n)]
                 done = True
                 break
             if k * it >= m:
@@ -225,40 +280,86 @@ def fit(nodes: list[int], rows: pd.DataFrame, votes: pd.DataFrame, tolerance: fl
     return out
 
 
+def bounded_pieces(comp: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+    """comp (node, component), with components of over `cap` nodes cut into connected pieces of at most cap nodes.
+
+    Nodes begin as pieces of their own. In each round the pieces toss a coin; a tail joins the neighbouring head that it
+    has most edges with, and a head takes them in, the best linked first, while it stays within the cap. It ends when no
+    two neighbouring pieces fit together. A piece is named by its smallest node.
+    """
+    sizes = comp.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > cap)
+    big = checkpointed(comp.join(sizes.select("component"), "component", "left_semi"))
+    if big.isEmpty():
+        return comp
+    within = edges.select(F.col("c1").alias("src"), F.col("c2").alias("dst")).join(big.select(F.col("node").alias("src")), "src")
+    within = checkpointed(within.unionByName(within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    piece, toss = checkpointed(big.select("node", F.col("node").alias("piece"))), 0
+    while True:
+        toss += 1
+        size = piece.groupBy("piece").agg(F.count("*").alias("k"))
+        side = piece.join(size, "piece")
+        a = side.select(F.col("node").alias("src"), F.col("piece").alias("a"), F.col("k").alias("ka"))
+        b = side.select(F.col("node").alias("dst"), F.col("piece").alias("b"), F.col("k").alias("kb"))
+        fits = within.join(a, "src").join(b, "dst").where(F.col("a") != F.col("b")).where(F.col("ka") + F.col("kb") <= cap)
+        fits = checkpointed(fits.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("ka").alias("ka"), F.first("kb").alias("kb")))
+        if fits.isEmpty():
+            break
+        head = lambda c: F.pmod(F.xxhash64(c, F.lit(toss)), F.lit(2)) == 1
+        wish = fits.where(~head("a") & head("b")).groupBy("a").agg(F.max_by(F.struct("b", "n", "ka", "kb"), F.struct("n", -F.col("b"))).alias("w"))
+        wish = wish.select("a", "w.*").withColumn("room", F.sum("ka").over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) + F.col("kb"))
+        moves = wish.where(F.col("room") <= cap).select(F.col("a").alias("piece"), F.col("b").alias("to"))
+        piece = checkpointed(piece.join(moves, "piece", "left").select("node", F.coalesce("to", "piece").alias("piece")))
+    names = piece.groupBy("piece").agg(F.min("node").alias("component"))
+    cut = piece.join(names, "piece").select("node", "component")
+    return comp.join(sizes.select("component"), "component", "left_anti").select("node", "component").unionByName(cut)
+
+
 SOLVED = "scaffold_id long, contig_id long, x double, orient int, std double"
+NODE, ROW, VOTE = 0, 1, 2
 
 
-def regress(comp: DataFrame, rows: DataFrame, votes: DataFrame, tolerance: float, min_links: int, strict: bool = True, cap: int = 3000) -> DataFrame:
-    """Solve every component (node, component) from its cluster rows and votes: SOLVED."""
+def _gathered(comp: DataFrame, votes: DataFrame, rows: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
+    """Nodes (with their lengths as w), cluster rows and votes of each component in one table, without nulls."""
+    zero = lambda *names: [F.lit(0.0).alias(n) for n in names]
     a = comp.select(F.col("node").alias("c1"), "component")
     b = comp.select(F.col("node").alias("c2"), F.col("component").alias("k2"))
-    r = rows.join(a, "c1").join(b, "c2").where("component = k2").select("component", "c1", "c2", F.col("cons").cast("double").alias("cons"), "y", "w", "v")
-    v = votes.where("c1 < c2").join(a, "c1").join(b, "c2").where("component = k2").select("component", "c1", "c2", F.lit(None).cast("double").alias("cons"), F.lit(None).cast("double").alias("y"), F.col("n_pos").cast("double").alias("w"), F.col("n_neg").cast("double").alias("v"))
-    n = comp.select("component", F.col("node").alias("c1"), F.lit(None).cast("long").alias("c2"), *[F.lit(None).cast("double").alias(c) for c in ("cons", "y", "w", "v")])
+    nodes = comp.select("component", F.col("node").alias("contig_id"))
+    if contigs is None:
+        nodes = nodes.withColumn("len", F.lit(0.0))
+    else:
+        nodes = nodes.join(contigs.select("contig_id", F.col("len").cast("double").alias("len")), "contig_id", "left").fillna({"len": 0.0})
+    out = nodes.select("component", F.lit(NODE).alias("kind"), F.col("contig_id").alias("c1"), F.lit(0).cast("long").alias("c2"), *zero("cons", "y"), F.col("len").alias("w"), *zero("v"))
+    inside = lambda t: t.join(a, "c1").join(b, "c2").where("component = k2")
+    if rows is not None:
+        out = out.unionByName(inside(rows).select("component", F.lit(ROW).alias("kind"), "c1", "c2", F.col("cons").cast("double").alias("cons"), "y", "w", "v"))
+    v = inside(votes.where("c1 < c2")).select("component", F.lit(VOTE).alias("kind"), "c1", "c2", *zero("cons", "y"), F.col("n_pos").cast("double").alias("w"), F.col("n_neg").cast("double").alias("v"))
+    return out.unionByName(v)
+
+
+def regress(comp: DataFrame, rows: DataFrame, votes: DataFrame, tolerance: float, min_links: int, strict: bool = True, cap: int = 3000, contigs: DataFrame | None = None) -> DataFrame:
+    """Solve every component (node, component) from its cluster rows and votes: SOLVED."""
+    comp = bounded_pieces(comp, rows, cap)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes = g[g["c2"].isna()]["c1"].astype("int64").tolist()
-        rest = g[g["c2"].notna()].astype({"c1": "int64", "c2": "int64"})
-        obs = rest[rest["cons"].notna()].sort_values(["c1", "c2", "cons", "y", "w"], kind="stable")
-        vote = rest[rest["cons"].isna()].rename(columns={"w": "n_pos", "v": "n_neg"}).sort_values(["c1", "c2"], kind="stable")
-        got = pd.DataFrame(fit(nodes, obs, vote, tolerance, min_links, strict, cap=cap), columns=["scaffold", "node", "x", "orient", "std"])
-        return got.rename(columns={"scaffold": "scaffold_id", "node": "contig_id"})
+    def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        node, row, vote = (g["kind"] == k for k in (NODE, ROW, VOTE))
+        obs = {c: g[c][row] for c in ("c1", "c2", "cons", "y", "w", "v")}
+        said = {"c1": g["c1"][vote], "c2": g["c2"][vote], "n_pos": g["w"][vote], "n_neg": g["v"][vote]}
+        got = fit(g["c1"][node].tolist(), obs, said, tolerance, min_links, strict, lengths=dict(zip(g["c1"][node].tolist(), g["w"][node].tolist())))
+        col = lambda k, kind: np.array([r[k] for r in got], kind)
+        return {"scaffold_id": col("scaffold", np.int64), "contig_id": col("node", np.int64), "x": col("x", float), "orient": col("orient", np.int32), "std": col("std", float)}
 
-    return n.unionByName(r).unionByName(v).groupBy("component").applyInPandas(run, SOLVED)
+    return by_runs(_gathered(comp, votes, rows, contigs), ["component"], ["kind", "c1", "c2", "cons", "y", "w"], run, SOLVED)
 
 
-def orientations(comp: DataFrame, votes: DataFrame, min_links: int, tree: bool = False) -> DataFrame:
-    """(component, node, orient) of every component by `orient`, or along a spanning tree."""
-    a = comp.select(F.col("node").alias("c1"), "component")
-    b = comp.select(F.col("node").alias("c2"), F.col("component").alias("k2"))
-    v = votes.where("c1 < c2").join(a, "c1").join(b, "c2").where("component = k2").select("component", "c1", "c2", "n_pos", "n_neg")
-    n = comp.select("component", F.col("node").alias("c1"), *[F.lit(None).cast("long").alias(c) for c in ("c2", "n_pos", "n_neg")])
+def orientations(comp: DataFrame, votes: DataFrame, min_links: int, tree: bool = False, full_field: bool = False, cap: int = 3000) -> DataFrame:
+    """(component, node, orient) of every component (in pieces of at most cap nodes) by `orient`, or along a spanning tree."""
+    comp = bounded_pieces(comp, votes.where("c1 < c2").where(F.greatest("n_pos", "n_neg") > min_links), cap)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        own = np.sort(g[g["c2"].isna()]["c1"].to_numpy(np.int64))
-        e = g[g["c2"].notna()].astype("int64").sort_values(["c1", "c2"])
-        votes_ = list(zip(np.searchsorted(own, e["c1"]).tolist(), np.searchsorted(own, e["c2"]).tolist(), e["n_pos"].tolist(), e["n_neg"].tolist()))
-        d = spanning_orient(len(own), votes_) if tree else orient(len(own), votes_, min_links)
-        return pd.DataFrame({"component": g["component"].iloc[0], "node": own, "orient": d})
+    def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        node, vote = g["kind"] == NODE, g["kind"] == VOTE
+        own = np.sort(g["c1"][node])
+        votes_ = list(zip(np.searchsorted(own, g["c1"][vote]).tolist(), np.searchsorted(own, g["c2"][vote]).tolist(), g["w"][vote].astype(int).tolist(), g["v"][vote].astype(int).tolist()))
+        d = spanning_orient(len(own), votes_) if tree else orient(len(own), votes_, min_links, full_field)
+        return {"component": np.full(len(own), g["component"][0]), "node": own, "orient": d.astype(np.int32)}
 
-    return n.unionByName(v).groupBy("component").applyInPandas(run, "component long, node long, orient int")
+    return by_runs(_gathered(comp, votes), ["component"], ["kind", "c1", "c2"], run, "component long, node long, orient int")

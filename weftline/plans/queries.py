@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import fixtures as fx
-from weftline.functions import sequence, stats
+from weftline.functions import ordering, sequence, stats
+from weftline.functions.runs import by_runs
 from weftline.operators import assess, cluster, layout, links, longread, merge, regress, superscaffold
-from weftline.operators.components import connected_components
+from weftline.operators.components import checkpointed, connected_components
 from weftline.sources import readers, sinks
 
 from . import scaffolding
@@ -147,6 +150,13 @@ def auto_link_threshold(spark, sf_dir):
     return links.auto_threshold(links.link_counts(Data(spark, sf_dir).obs))
 
 
+@query(f"{CHAIN}, p as (select greatest(1 - 2.0 * (select count(*) from contigs) / (select count(*) from counts), 0.7) p), r as (select n, row_number() over (order by n) - 1 i, count(*) over () k from counts) select n + 0.0::double min_links from r, p where i = floor(p * (k - 1))")
+def auto_link_threshold_sqrt(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    t = links.auto_threshold_sqrt(links.link_counts(d.obs), d.contigs)
+    return t.select(F.floor("min_links").cast("double").alias("min_links"))
+
+
 @query(f"""with libs as ({fx.LIBRARIES}), pairs as ({fx.oracle(fx.SELF_PAIRS)}), x as (select lib, lib_type, insert_size, sd, greatest(p1,m1,p2,m2)-least(p1,m1,p2,m2) x from pairs join libs using(lib) where c1 = c2)
 select lib, lib_type, cast(trunc(median(x)) as bigint) insert_size, round(stddev_samp(x), 6) sd from x where abs(x - insert_size) <= 3*sd group by lib, lib_type having count(*) > 1""")
 def insert_size_recalibration(spark, sf_dir):
@@ -155,9 +165,32 @@ def insert_size_recalibration(spark, sf_dir):
     return links.recalibrate(d.self_pairs, d.libraries, long).withColumn("sd", F.round("sd", 6))
 
 
-@query(f"select lib_type, count(*) n, cast(max(insert_size) as bigint) max_insert, max(sd) max_sd from ({fx.LIBRARIES}) group by lib_type")
+#: A configuration in the format of both templates: a heading may list its fields or explain them.
+CONFIG = """# library_name, type, insert_size, insert_size_deviation, lib_path1, lib_path2
+short, PE,  800, 15, a1.fq, a2.fq
+2k, MP,  2000, 200, b1.fq, b2.fq
+3k, MP, 3000, 15, c1.fq, c2.fq
+Long1, 3GS, 0, 0, d.fa, NA
+
+# parameters (thread: the number of threads; reg_m: links that an edge needs)
+thread, 40
+reg_m, 14
+ScafIter, 3
+"""
+
+
+@query("select * from (values ('PE', 1::bigint, 800::bigint, 15.0::double), ('MP', 2, 3000, 200.0), ('3GS', 1, 0, 0.0)) t(lib_type, n, max_insert, max_sd)")
 def library_classes(spark, sf_dir):
-    return Data(spark, sf_dir).libraries.groupBy("lib_type").agg(F.count("*").alias("n"), F.max("insert_size").alias("max_insert"), F.max("sd").alias("max_sd"))
+    config = readers.parse_config(CONFIG)
+    rows = [(t, n) for t, names in config.classes().items() for n in names]
+    classes = spark.createDataFrame(rows, "lib_type string, lib string")
+    return classes.join(config.frame(spark).drop("lib_type"), "lib").groupBy("lib_type").agg(F.count("*").alias("n"), F.max("insert_size").alias("max_insert"), F.max("sd").alias("max_sd"))
+
+
+@query("select * from (values ('min_links', 14::bigint), ('rounds', 3)) t(name, value)")
+def config_options(spark, sf_dir):
+    o = scaffolding.Options.of(readers.parse_config(CONFIG))
+    return spark.createDataFrame([("min_links", o.min_links), ("rounds", o.rounds)], "name string, value long")
 
 
 @query(f"select greatest(max(case when lib_type='MP' then insert_size end), 1000) max_in, greatest(max(case when lib_type='MP' then sd end), 10) max_sd, greatest(max(sd), 1) any_sd from ({fx.LIBRARIES})")
@@ -190,12 +223,18 @@ def cluster_by_density(spark, sf_dir):
     return cluster.jump_clusters(d.obs, d.libraries, exact_band=True).select("lib", "c1", "c2", "cons", "diff", "cluster")
 
 
-@query(f"{CHAIN} select c1, c2, round(sum(w*y)/sum(w), 6) x from obs_rows where cons = 1 and c1 % 10 = 1 and c2 = c1 + 1 group by c1, c2")
+@query(f"{CHAIN} select c1, c2, round(sum(w*y)/sum(w), 6) x from obs_rows where cons = 1 group by c1, c2")
 def two_contig_wls(spark, sf_dir):
-    """Two-node components in closed form: the weighted mean of their rows."""
+    """Every linked pair as a component of two, by the solver; in closed form the weighted mean of its rows."""
     d = Data(spark, sf_dir)
-    r = cluster.observation_rows(d.clusters(d.obs)).where("cons = 1 and c1 % 10 = 1 and c2 = c1 + 1")
-    return r.groupBy("c1", "c2").agg(F.round(F.sum(F.col("w") * F.col("y")) / F.sum("w"), 6).alias("x"))
+    rows = cluster.observation_rows(d.clusters(d.obs)).where("cons = 1").select("c1", "c2", "y", "w")
+
+    def run(g):
+        first, second = np.zeros(len(g["y"]), int), np.ones(len(g["y"]), int)
+        x, _ = regress.solve(2, first, second, g["y"], g["w"])
+        return {"c1": g["c1"][:1], "c2": g["c2"][:1], "x": x[1:]}
+
+    return by_runs(rows, ["c1", "c2"], ["y", "w"], run, "c1 long, c2 long, x double").withColumn("x", F.round("x", 6))
 
 
 # ---- graph ----------------------------------------------------------------------------------------------------
@@ -225,22 +264,49 @@ def singleton_layouts(spark, sf_dir):
     return layout.unplaced(d.contigs.withColumn("len", 100 + F.col("contig_id") % 400), placed)[0]
 
 
-@query()
+#: Planted: every third fragment is turned round, so the votes of a pair of which one is turned change sides.
+TURNED = "c1 % 3 = 0 <> (c2 % 3 = 0)"
+TURNS = f"{rec(CHAIN)}, {COMPONENTS.format(e='edges')} select component, node, cast(case when (node % 3 = 0) = (component % 3 = 0) then 1 else -1 end as integer) orient from comp"
+
+
+def _turned_votes(d: Data) -> DataFrame:
+    turned = (F.col("c1") % 3 == 0) != (F.col("c2") % 3 == 0)
+    return d.votes.select("c1", "c2", F.when(turned, F.col("n_neg")).otherwise(F.col("n_pos")).alias("n_pos"), F.when(turned, F.col("n_pos")).otherwise(F.col("n_neg")).alias("n_neg"))
+
+
+@query(TURNS)
 def orient_components(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return regress.orientations(_components(d), d.votes, MIN_LINKS)
+    return regress.orientations(_components(d), _turned_votes(d), MIN_LINKS)
 
 
-@query()
+@query(TURNS)
+def orient_by_full_field(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    return regress.orientations(_components(d), _turned_votes(d), MIN_LINKS, full_field=True)
+
+
+@query(TURNS)
 def orient_by_spanning_tree(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return regress.orientations(_components(d), d.votes, MIN_LINKS, tree=True)
+    return regress.orientations(_components(d), _turned_votes(d), MIN_LINKS, tree=True)
 
 
-@query()
+def near_truth(laid: DataFrame) -> DataFrame:
+    """scaffold_id, contig_id, direct, and whether the start is within 60 of the planted one, seen from the scaffold's smallest
+    fragment (tolerance: the noise of 25 at most on two libraries)."""
+    first = laid.where("contig_id = scaffold_id").select("scaffold_id", F.col("start").alias("s0"))
+    away = F.col("start") - F.col("s0") - 1050 * (F.col("contig_id") - F.col("scaffold_id"))
+    return laid.join(first, "scaffold_id").select("scaffold_id", "contig_id", "direct", (F.abs(away) <= 60).alias("near"))
+
+
+SOLO = "whole as (select contig_id, coalesce(component, contig_id) scaffold_id from contigs left join comp on node = contig_id)"
+
+
+@query(f"{rec(CHAIN)}, {COMPONENTS.format(e='edges')}, {SOLO} select scaffold_id, contig_id, 'F' direct, true near from whole")
 def regress_layout(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return scaffolding.contig_layout(d.obs, d.libraries, d.contigs, scaffolding.Options())[0]
+    return near_truth(scaffolding.contig_layout(d.obs, d.libraries, d.contigs, scaffolding.Options())[0])
 
 
 # ---- assessment -----------------------------------------------------------------------------------------------
@@ -264,11 +330,31 @@ def assess_breaks(spark, sf_dir):
     return p.select("scaffold_id", "part_id", F.size("contigs").cast("long").alias("n_contigs"), F.aggregate("contigs", F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"), "broken")
 
 
-@query("select o_custkey scaffold_id, o_orderkey ord, cast(sum(l + g) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row) - l - g as bigint) pos from (select *, 300 + o_orderkey % 1000 l, o_orderkey % 7 * 10 g from orders)")
+ORDER_PARTS = "select *, 300 + o_orderkey % 1000 l, o_orderkey % 7 * 10 g from orders"
+
+
+@query(f"select dense_rank() over (order by o_custkey) scaffold_id, cast(row_number() over w - 1 as integer) ord, o_orderkey contig_id, l len, g n_gap, cast(sum(l + g) over (w rows unbounded preceding) - l - g as bigint) pos from ({ORDER_PARTS}) window w as (partition by o_custkey order by o_orderkey)")
 def evidence_positions(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    parts = o.select(F.col("o_custkey").alias("scaffold_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("contig_id"), (300 + F.col("o_orderkey") % 1000).alias("len"), (F.col("o_orderkey") % 7 * 10).alias("n_gap"))
-    return assess.positions(parts).select("scaffold_id", "ord", "pos")
+    """Evidence lines of all orders, a customer being a scaffold, through the parser."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("base", F.col("o_custkey") * 100_000_000)
+    head = o.select(F.col("base").alias("line_no"), F.concat(F.lit("s"), F.col("o_custkey"), F.lit("\t1\t1")).alias("value")).distinct()
+    rule = head.select(F.col("line_no") - 1, F.lit("~~~~~"))
+    body = o.select(F.col("base") + F.col("o_orderkey"), F.format_string("%d\tf\t%d\t0\t%d\t0", F.col("o_orderkey"), 300 + F.col("o_orderkey") % 1000, F.col("o_orderkey") % 7 * 10))
+    return readers.parse_evidence(head.union(rule).union(body)).select("scaffold_id", "ord", "contig_id", "len", "n_gap", "pos")
+
+
+VERDICTS = f"""{RESIDUALS}, kept as (select distinct c1, c2 from res where abs(residual) < 200), {COMPONENTS.format(e='kept')},
+parts as (select l.scaffold_id, coalesce(component, contig_id) part_id, '[' || string_agg(contig_id, ', ' order by contig_id) || ']' t from layout l left join comp on node = contig_id group by 1, 2)"""
+
+
+@query(f"""{rec(CHAIN)}, {VERDICTS} select scaffold_id + 1 scaffold_id, 'The scaffold ' || (scaffold_id + 1) || ' is broken? ' || case when count(*) > 1 then 'True, and is broken into ' || count(*) || ' scaffolds!' else 'False!' end || chr(10) || string_agg(t, chr(10) order by part_id) as value from parts group by scaffold_id""")
+def assessment_text(spark, sf_dir):
+    """From scaffolds as evidence lines and read pairs to the verdicts."""
+    d = Data(spark, sf_dir)
+    parts = layout.gaps(d.layout)
+    head = parts.groupBy("scaffold_id").agg(F.count("*").alias("k")).select((F.col("scaffold_id") * 1000).alias("line_no"), F.format_string("s%d\t0\t%d", "scaffold_id", "k").alias("value"))
+    body = parts.select(F.col("scaffold_id") * 1000 + F.col("ord") + 1, F.format_string("%d\tf\t%d\t0\t%d\t0", "contig_id", "len", "gap"))
+    return scaffolding.assess_text(d.pairs, d.libraries, d.contigs, head.union(body))
 
 
 # ---- layouts --------------------------------------------------------------------------------------------------
@@ -324,10 +410,36 @@ def best_link_partner(spark, sf_dir):
     return layout.best_partner(layout.window_candidates(d.layout, links.link_counts(d.obs), 3000, 15))
 
 
-@query()
+#: The greedy chains of each scaffold as a recursion over its fragments' list, then single chains that join others.
+STRANDS = """{x}g as (select scaffold_id, list(contig_id order by start, "end", contig_id) c, list(start order by start, "end", contig_id) s, list("end" order by start, "end", contig_id) e from {lay} group by scaffold_id),
+{x}p as (select scaffold_id, unnest(c) contig_id, unnest(range(1, len(c) + 1)) i from {x}g),
+{x}k as (select a.scaffold_id, list({{'i': a.i, 'j': b.i, 'n': n}}) l from counts join {x}p a on a.contig_id = c1 join {x}p b on b.contig_id = c2 and a.scaffold_id = b.scaffold_id where c1 <> c2 group by a.scaffold_id),
+{x}h as (select scaffold_id, c, s, e, coalesce(l, []) l from {x}g left join {x}k using (scaffold_id)),
+{x}walk as (select scaffold_id, c, s, e, l, 1::bigint cur, 1::bigint ch, list_transform(c, lambda x, i: case when i = 1 then 1 else 0 end) a, false done from {x}h
+ union all
+ select scaffold_id, c, s, e, l, coalesce(nxt, fresh, cur), case when nxt is null then ch + 1 else ch end,
+   list_transform(a, lambda x, i: case when i = coalesce(nxt, fresh) then case when nxt is null then ch + 1 else ch end else x end), nxt is null and fresh is null
+ from (select *, nullif(list_position(a, 0), 0) fresh, list_sort(list_transform(list_filter(l, lambda x: x.i = cur and x.j > cur and a[x.j] = 0 and s[x.j] < e[cur] + {reach} and x.n > {least}), lambda x: [-x.n, x.j]))[1][2] nxt from {x}walk where not done)),
+{x}joins as (select scaffold_id, c, s, e, l, a, 1::bigint k from {x}walk where done
+ union all
+ select scaffold_id, c, s, e, l, case when alone is not null and most[1] < -{least} and len(list_filter(range(1, len(c) + 1), lambda m: a[m] = a[most[2]] and (s[alone] < s[m] and e[alone] - s[m] > {apart} or s[m] < s[alone] and e[m] - s[alone] > {apart}))) = 0
+     then list_transform(a, lambda x, i: case when i = alone then a[most[2]] else x end) else a end, k + 1
+ from (select *, list_sort(list_transform(list_filter(l, lambda x: x.i = alone), lambda x: [-x.n, x.j]))[1] most
+   from (select *, case when len(list_filter(a, lambda x: x = k)) = 1 then list_position(a, k) end alone from {x}joins where k <= list_max(a)))),
+{x}named as (select scaffold_id, unnest(c) contig_id, unnest(a) ch from {x}joins where k > list_max(a)),
+{x}strands as (select contig_id, min(contig_id) over (partition by scaffold_id, ch) strand from {x}named)"""
+CHAINED = {"x": "", "reach": 3045, "least": 6, "apart": 45}
+
+
+@query(f"{rec(CHAIN)}, {STRANDS.format(lay='layout', **CHAINED)} select strand scaffold_id, contig_id, start from strands join layout using (contig_id)")
 def split_strands(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return layout.split_strands(d.layout.drop("ord"), links.link_counts(d.obs), 6, 3000, 15)
+    return layout.split_strands(d.layout.drop("ord"), links.link_counts(d.obs), 6, 3000, 15).select("scaffold_id", "contig_id", "start")
+
+
+@query(f'{CHAIN}, m as (select *, max("end") over (partition by scaffold_id) m from layout) select scaffold_id, contig_id, m - "end" as start, m - start as "end", case when direct = \'F\' then \'R\' else \'F\' end direct from m')
+def reversed_layout(spark, sf_dir):
+    return layout.reversed_layout(Data(spark, sf_dir).layout).select("scaffold_id", "contig_id", "start", "end", "direct")
 
 
 # ---- scaffolds of scaffolds -----------------------------------------------------------------------------------
@@ -365,17 +477,79 @@ def scaffold_observations(spark, sf_dir):
     return superscaffold.scaffold_observations(_offsets(Data(spark, sf_dir)), MIN_LINKS).select("c1", "c2", "cons", "diff")
 
 
-@query()
+@query(f"{CHAIN}, {HALVES}, {OFFSETS} select s1, s2, round(stddev_pop(diff), 4) sd from offsets group by s1, s2 having stddev_pop(diff) > 20")
+def wide_pairs(spark, sf_dir):
+    return superscaffold.wide_pairs(_offsets(Data(spark, sf_dir)), 20.0).withColumn("sd", F.round("sd", 4))
+
+
+#: Halves of the planted blocks with true places, so that they come together again.
+TRUE_HALVES = """halves as (select contig_id, cast(floor((contig_id-1)/5) as bigint) scaffold_id, ((contig_id-1) % 5) * 1050.0 as start, ((contig_id-1) % 5) * 1050.0 + 1000 as "end", 'F' direct from contigs)"""
+SUPER = f"{TRUE_HALVES}, {OFFSETS}, {SVOTES}, sedges as (select s1 c1, s2 c2 from svotes where s1 < s2 and greatest(n_pos, n_neg) > {MIN_LINKS}), {COMPONENTS.format(e='sedges')}"
+
+
+@query(f"{rec(CHAIN)}, {SUPER}, g as (select contig_id, coalesce(component, scaffold_id) k from halves left join comp on node = scaffold_id) select min(contig_id) over (partition by k) scaffold_id, contig_id, 'F' direct, true near from g")
 def superscaffold_layout(spark, sf_dir):
     d = Data(spark, sf_dir)
-    halves = d.layout.drop("ord").withColumn("scaffold_id", F.floor((F.col("contig_id") - 1) / 5)).withColumn("direct", F.lit("F"))
-    return scaffolding.superscaffold_round(d.obs, halves, 15.0, MIN_LINKS, 150.0, 500)
+    at = (F.col("contig_id") - 1) % 5 * 1050.0
+    halves = d.contigs.select(F.floor((F.col("contig_id") - 1) / 5).alias("scaffold_id"), "contig_id", at.alias("start"), (at + 1000).alias("end"), F.lit("F").alias("direct"), F.lit(0.0).alias("std"), "len")
+    return near_truth(scaffolding.superscaffold_round(d.obs, halves, 15.0, MIN_LINKS, 150.0, 500))
 
 
-@query()
+#: Planted truth of the whole run, at true places: strands of the components, strands that enough links join, their strands.
+PLACED = """((contig_id-1) % 10) * 1050.0 as start, ((contig_id-1) % 10) * 1050.0 + 1000 as "end" """
+RUN = f"""{rec(CHAIN)}, {COMPONENTS.format(e='edges')}, {SOLO}, laid as (select scaffold_id, contig_id, {PLACED} from whole), {STRANDS.format(lay='laid', **CHAINED | {'x': 'first_'})},
+halves as (select contig_id, strand scaffold_id, 'F' direct, {PLACED} from first_strands), {OFFSETS}, {SVOTES}, sedges as (select s1 c1, s2 c2 from svotes where s1 < s2 and greatest(n_pos, n_neg) > {MIN_LINKS}),
+{COMPONENTS.format(e='sedges').replace('both_ends', 'both_sides').replace('reach', 'reached').replace('comp as', 'joined as')},
+again as (select coalesce(component, scaffold_id) scaffold_id, contig_id, {PLACED} from halves left join joined on node = scaffold_id), {STRANDS.format(lay='again', **CHAINED)}"""
+
+
+@query(f"{RUN} select strand scaffold_id, contig_id, 'F' direct, true near from strands")
 def scaffold_pipeline(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return scaffolding.scaffold(d.pairs, d.libraries, d.contigs)["layout"]
+    return near_truth(scaffolding.scaffold(d.pairs, d.libraries, d.contigs)["layout"])
+
+
+# ---- the run to sequences -------------------------------------------------------------------------------------
+SHORT = "short as (select 1000000 + p_partkey contig_id from part where p_partkey % 50 = 0)"
+NUMBERED = "numbered as (select kind, id, row_number() over (order by kind, id) number from (select distinct 0 kind, strand id from strands union all select 1, contig_id from short))"
+
+
+def _run(d: Data) -> dict[str, DataFrame]:
+    """The whole run on made-up sequences: all fragments of the fixture, and short ones that no pair touches."""
+    part = d.spark.read.parquet(f"{d.sf_dir}/part.parquet")
+    short = part.where("p_partkey % 50 = 0").select((F.col("p_partkey") + 1_000_000).alias("contig_id"), F.lit(200).cast("long").alias("len"))
+    letters = F.translate(F.repeat(F.md5(F.col("contig_id").cast("string")), 32), "0123456789abcdef", "ACGTACGTACGTACGT")
+    contigs = d.contigs.unionByName(short)
+    seqs = contigs.select("contig_id", F.substring(letters, 1, 1000).alias("seq")).join(contigs, "contig_id").select("contig_id", F.expr("substring(seq, 1, cast(len as int))").alias("seq"))
+    config = readers.parse_config("# library_name, type\nPE, PE, 800, 15, a, b\nMP, MP, 3000, 15, c, d\n# parameters\nreg_m, 12\nScafIter, 2\n")
+    return scaffolding.run(d.pairs, config, seqs)
+
+
+@query(f"""{RUN}, {SHORT}, {NUMBERED}, sized as (select strand id, count(*) n, max(contig_id) - min(contig_id) d from strands group by strand)
+select 'scaffold' || number as name, case when kind = 1 then 200 else 1000 * n end bases, case when kind = 1 then 0 else n - 1 end runs, true near from numbered left join sized using (id)""")
+def scaffold_fasta(spark, sf_dir):
+    """Name, bases, runs of N, and whether the length is within 60 of the planted one (known from the first and last fragment)."""
+    got = _run(Data(spark, sf_dir))
+    text = got["fasta"].select("name", F.length("seq").alias("size"), F.length(F.regexp_replace("seq", "N", "")).cast("long").alias("bases"), F.size(F.regexp_extract_all("seq", F.lit("(N+)"), 1)).cast("long").alias("runs"))
+    ends = got["units"].groupBy("name").agg(F.max("contig_id").alias("hi"), F.min("contig_id").alias("lo"))
+    away = F.col("size") - 1000 - 1050 * (F.col("hi") - F.col("lo"))
+    return text.join(ends, "name", "left").select("name", "bases", "runs", F.coalesce(F.abs(away) <= 60, F.col("size") == 200).alias("near"))
+
+
+@query(f"{RUN}, {SHORT}, {NUMBERED} select number scaffold_id, 'contig' kind, coalesce(contig_id, id) contig_id from numbered left join strands on kind = 0 and strand = id")
+def scaffold_log(spark, sf_dir):
+    """The run's log, read back by the log reader."""
+    log = _run(Data(spark, sf_dir))["log"].withColumn("scaffold", F.substring("name", 9, 20).cast("long"))
+    lines = ordering.numbered(log, "scaffold", "ord", name="line_no").select("line_no", "value")
+    return readers.parse_scaffold_log(lines).select("scaffold_id", "kind", "contig_id")
+
+
+@query(f"""{RUN}, {SHORT}, {NUMBERED}, e as (select number, contig_id, row_number() over (partition by number order by contig_id) ord, count(*) over (partition by number) k from numbered join strands on kind = 0 and strand = id union all select number, id, 1, 1 from numbered where kind = 1)
+select number scaffold_id, ord, 'f_tig' || contig_id || '|size' || case when contig_id >= 1000000 then 200 else 1000 end as value from e union all select distinct number, 0, '>scaffold' || number || '|tigs' || k from e""")
+def scaffold_evidence(spark, sf_dir):
+    """The run's evidence without what is estimated (sizes of scaffolds, gaps)."""
+    e = _run(Data(spark, sf_dir))["evidence"]
+    return e.select("scaffold_id", "ord", F.when(F.col("ord") == 0, F.regexp_replace("value", "\\|size[0-9]+", "")).otherwise(F.regexp_replace("value", "\\|links.*", "")).alias("value"))
 
 
 # ---- long reads -----------------------------------------------------------------------------------------------
@@ -415,11 +589,30 @@ def longread_observations(spark, sf_dir):
     return obs.select(F.col("lib").cast("long").alias("qname"), "c1", "c2", "cons", "diff")
 
 
-@query()
+#: Pruning as a recursion over each read's alignments in order of their starts: {t} gives {o}.
+PRUNE = """lists as (select qname, list(a order by qstart, qend, tname, tstart) a from {t} a group by qname),
+prune as (select qname, a, 1::bigint i, list_transform(a, lambda x: true) keep from lists
+ union all select qname, a, i + 1, case when not keep[i] then keep else list_transform(keep, lambda k, j: case
+   when j > i then k and not (a[j].qstart < a[i].qend and a[j].tlength < 1000)
+   when j = i then not (a[i].tlength < 1000 and len(list_filter(range(i + 1, len(a) + 1), lambda m: keep[m] and a[m].qstart < a[i].qend)) > 0) else k end) end from prune where i <= len(a)),
+{o} as (select r.* from (select unnest(list_filter(a, lambda x, j: keep[j])) r from prune where i > len(a)) qualify count(*) over (partition by r.qname) >= 2)"""
+
+
+@query(f"{rec(WITH)}, many as (select * from align qualify count(*) over (partition by qname) >= 2), {PRUNE.format(t='many', o='pruned')} select * from pruned")
 def longread_overlap_prune(spark, sf_dir):
     return longread.several(longread.prune_overlaps(longread.several(Data(spark, sf_dir).alignments)))
 
 
+@query(f"""{rec(WITH)}, anchored as (select * from align where (tstart < 200 or qstart < 200) and (tlength - tend < 200 or qlength - qend < 200)),
+cov as (select tname contig_id, sum(tend-tstart)/max(tlength) cov from anchored group by tname),
+usual as (select a.* from anchored a join cov on tname = contig_id where cov <= (select quantile_cont(cov, 0.8) from cov) + 1e-12 qualify count(*) over (partition by qname) >= 2),
+{PRUNE.format(t='usual', o='pruned')}, r as (select *, row_number() over (partition by qname order by qstart, qend, tname, tstart) rn, case when tstrand = 0 then qstart - tstart else qstart + tlength - tstart end x from pruned)
+select 'L' lib, a.tname c1, b.tname c2, cast(a.tstrand <> b.tstrand as integer) dir, case when a.tstrand = 1 then a.x - b.x else b.x - a.x end diff, -a.score s1, -b.score s2 from r a join r b on a.qname = b.qname and a.rn < b.rn and a.tname <> b.tname""")
+def longread_links(spark, sf_dir):
+    """The whole way from alignments to links."""
+    return longread.read_links(Data(spark, sf_dir).alignments, "L")
+
+
 # ---- sequences ------------------------------------------------------------------------------------------------
 SEQ = "seqs as (select doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGTN]', '', 'g') seq from documents)"
 PIECES = "pieces as (select doc_id scaffold_id, unnest(generate_series(1, len(p))) - 1 ord, unnest(p) seq, unnest(list_concat([len(x) for x in r], [0])) n_gap from (select doc_id, regexp_split_to_array(seq, 'N+') p, regexp_extract_all(seq, 'N+') r from seqs))"
@@ -462,7 +655,7 @@ def renumbered_headers(spark, sf_dir):
     return sinks.renumbered(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
 
 
-@query(f"""{CHAIN}, {GAPS}, b as (select scaffold_id, row_number() over ({ORD}) ord, lower(direct) || '_tig' || contig_id || '|size' || len || '|links10|gaps' || gap || '-' || greatest(cast(trunc(std) as bigint), 300) || '+' || greatest(cast(trunc(std) as bigint), 300) as value from gaps)
+@query(f"""{CHAIN}, {GAPS}, b as (select scaffold_id, row_number() over ({ORD}) ord, lower(direct) || '_tig' || contig_id || '|size' || len || '|links10|gaps' || gap || 'p' || (gap - greatest(cast(trunc(std) as bigint), 300)) || 'P' || (gap + greatest(cast(trunc(std) as bigint), 300)) as value from gaps)
 select * from b union all select scaffold_id, 0, '>scaffold' || scaffold_id || '|size' || cast(trunc(max("end") - min(start)) as bigint) || '|tigs' || count(*) from gaps group by scaffold_id""")
 def evidence_lines(spark, sf_dir):
     return sinks.evidence_lines(layout.gaps(Data(spark, sf_dir).layout))
@@ -473,12 +666,78 @@ def layout_lines(spark, sf_dir):
     return sinks.layout_lines(layout.gaps(Data(spark, sf_dir).layout)).select("scaffold_id", "value")
 
 
-@query("select 1 + o_orderkey // 3 - (select min(o_orderkey // 3) from orders) g, o_orderkey contig_id from orders where o_orderkey // 3 < 1000 and o_orderkey % 3 <> 0")
+@query(f"""{CHAIN} select scaffold_id, 'longest position is ' || format('{{:.1f}}', max("end") - min(start)) as value from layout group by scaffold_id""")
+def layout_heads(spark, sf_dir):
+    return sinks.layout_heads(Data(spark, sf_dir).layout)
+
+
+LOGGED = "b as (select *, dense_rank() over (order by o_orderkey // 3) g from orders)"
+
+
+@query(f"""with {LOGGED} select g scaffold_id, case when o_orderkey % 5 = 0 then 'merged' else 'contig' end kind, unnest(case when o_orderkey % 5 = 0 then [o_orderkey, o_orderkey + 1000000] else [o_orderkey] end) contig_id from b where o_orderkey % 3 <> 0""")
 def scaffold_log_scan(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey div 3 < 1000")
-    head = o.select(F.expr("o_orderkey div 3").alias("b")).distinct().select((F.col("b") * 3).alias("line_no"), F.lit(">s").alias("value"))
-    body = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("line_no"), F.concat(F.lit("contig"), F.col("o_orderkey").cast("string")).alias("value"))
-    return readers.parse_scaffold_log(head.unionByName(body)).select(F.col("scaffold_id").alias("g"), "contig_id")
+    """A log with merged fragments, one scaffold for every three orders' numbers, through the reader."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    head = o.select(F.expr("o_orderkey div 3").alias("b")).distinct().select((F.col("b") * 12).alias("line_no"), F.lit(">scaffold1").alias("value"))
+    k, own = F.col("o_orderkey"), o.where("o_orderkey % 3 <> 0")
+    name = F.when(k % 5 == 0, F.concat(F.lit("NewCtg"), k, F.lit("+"), k + 1_000_000)).otherwise(F.concat(F.lit("contig"), k))
+    lines = head.union(own.select(k * 4, name)).union(own.select(k * 4 + 1, F.when(k % 7 == 0, "too long gap").otherwise("N* 50")))
+    return readers.parse_scaffold_log(lines).select("scaffold_id", "kind", "contig_id")
+
+
+@query(f"{CHAIN}, log as (select contig_id, scaffold_id * 2 + (contig_id % 10 > 5)::int g from layout where contig_id % 4 <> 0) select g scaffold_id, contig_id, start from log join layout using (contig_id)")
+def layout_of_log(spark, sf_dir):
+    """Layouts cut to what a log places, under the log's scaffolds."""
+    d = Data(spark, sf_dir)
+    log = d.layout.where("contig_id % 4 <> 0").select((F.col("scaffold_id") * 2 + (F.col("contig_id") % 10 > 5).cast("int")).alias("scaffold_id"), "contig_id")
+    return readers.of_log(d.layout, log).select("scaffold_id", "contig_id", "start")
+
+
+# ---- text files -----------------------------------------------------------------------------------------------
+def _written(lines: DataFrame, by: str | None = None) -> str:
+    """A folder with the lines (value) as text, in the shared checkpoint folder."""
+    checkpointed(lines.sparkSession.range(0))
+    path = f"{lines.sparkSession.sparkContext.getCheckpointDir()}/text-{uuid.uuid4().hex}"
+    (lines.write.partitionBy(by) if by else lines.write).text(path)
+    return path
+
+
+@query(f"{WITH} select * from contigs")
+def contig_scan(spark, sf_dir):
+    c = Data(spark, sf_dir).contigs
+    return readers.read_contigs(spark, _written(c.select(F.format_string("contig%d\t1\t%d", "contig_id", "len").alias("value"))))
+
+
+@query(f"{WITH} select lib, lib_type, insert_size, sd + 0.13 sd from libs")
+def library_scan(spark, sf_dir):
+    c = Data(spark, sf_dir).libraries
+    return readers.read_libraries(spark, _written(c.select(F.concat_ws(" ", "lib", "lib_type", F.lit("tab.txt"), "insert_size", (F.col("sd") + 0.1299)).alias("value"))))
+
+
+@query(f"{WITH} select * from pairs where lib = 'PE'")
+def pair_scan(spark, sf_dir):
+    p = Data(spark, sf_dir).pairs.where("lib = 'PE'")
+    return readers.read_pairs(spark, _written(p.select(F.format_string("contig%d\t%d\t%d\tcontig%d\t%d\t%d", "c1", "p1", "m1", "c2", "p2", "m2").alias("value"))), "PE")
+
+
+@query(f"{WITH} select * replace ('r' || qname as qname) from align")
+def alignment_scan(spark, sf_dir):
+    a = Data(spark, sf_dir).alignments
+    named = a.withColumn("qname", F.concat(F.lit("r"), "qname")).withColumn("tname", F.concat(F.lit("contig"), "tname"))
+    return readers.read_alignments(spark, _written(named.select(F.concat_ws(" ", *named.columns).alias("value"))))
+
+
+@query(f"{WITH} select 'L' lib, tname c1, tname + 1 c2, tstrand dir, qstart - tstart diff, -score s1, -score s2 from align")
+def long_link_scan(spark, sf_dir):
+    a = Data(spark, sf_dir).alignments
+    return readers.read_long_links(spark, _written(a.select(F.concat_ws(" ", "tname", F.col("tname") + 1, "tstrand", F.col("qstart") - F.col("tstart"), -F.col("score"), -F.col("score")).alias("value"))), "L")
+
+
+@query(f"{CHAIN} select min(contig_id) over (partition by scaffold_id) scaffold_id, contig_id, start, \"end\", direct, std, len from layout")
+def layout_scan(spark, sf_dir):
+    lay = layout.gaps(Data(spark, sf_dir).layout)
+    lines = sinks.layout_lines(lay).select("scaffold_id", "value").unionByName(sinks.layout_heads(lay))
+    return readers.read_layouts(spark, _written(lines.repartition("scaffold_id"), by="scaffold_id") + "/*")
 
 
 BOUNDS = f"""pairs_ as (select scaffold_id, contig_id c1, lead(contig_id) over ({ORD}) c2, len len1, lead(len) over ({ORD}) len2, "end" - lead(start) over ({ORD}) overlap, greatest(std, lead(std) over ({ORD}), 15) spread from layout),
@@ -495,13 +754,17 @@ def merge_eligibility(spark, sf_dir):
     return merge.eligible(merge.overlap_bounds(Data(spark, sf_dir).layout, 15)).select("c1", "c2", "truncate")
 
 
-@query()
+@query(f"with {SEQ} select doc_id scaffold_id, doc_id * 1000 contig_id, sha256(seq) sha, len(seq) len from seqs where len(seq) >= 1")
 def overlap_merge(spark, sf_dir):
-    """Fragments cut from document sequences so that neighbours share 60 bases."""
-    d = Data(spark, sf_dir).documents().where(F.length("seq") >= 400)
-    seqs = d.select(F.explode(F.array(F.struct((2 * F.col("doc_id")).alias("contig_id"), F.substring("seq", 1, 200).alias("seq")), F.struct((2 * F.col("doc_id") + 1).alias("contig_id"), F.substring("seq", 141, 200).alias("seq")))).alias("s")).select("s.*")
-    pairs = d.select(F.col("doc_id").alias("scaffold_id"), (2 * F.col("doc_id")).alias("c1"), (2 * F.col("doc_id") + 1).alias("c2"), F.lit(100).alias("truncate"), F.lit(45).alias("low"), F.lit(75).alias("up"))
-    return merge.overlap_merges(pairs, seqs)
+    """Every whole sequence cut into fragments of 200 bases that share 60 with the next, every second one turned round: merged,
+    it is the sequence again. Places are exact, as repeats in a text would fit other overlaps as well."""
+    d = Data(spark, sf_dir).documents().where(F.length("seq") >= 1)
+    last = F.greatest(F.ceil((F.length("seq") - 200) / 140), F.lit(0)).cast("int")
+    cut = d.select(F.col("doc_id").alias("scaffold_id"), "seq", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    cut = cut.select("scaffold_id", (F.col("scaffold_id") * 1000 + F.col("i")).alias("contig_id"), (F.col("i") * 140.0).alias("start"), F.when(F.col("i") % 2 == 1, "R").otherwise("F").alias("direct"), F.expr("substring(seq, i * 140 + 1, 200)").alias("text"))
+    seqs = cut.select("contig_id", F.when(F.col("direct") == "R", sequence.revcomp(F.col("text"))).otherwise(F.col("text")).alias("seq"))
+    lay = cut.select("scaffold_id", "contig_id", "start", (F.col("start") + F.length("text")).alias("end"), "direct", F.lit(0.0).alias("std"))
+    return merge.merged_units(lay, seqs, 0.0).select("scaffold_id", "contig_id", F.sha2("seq", 256).alias("sha"), F.length("seq").cast("long").alias("len"))
 
 
 # ---- robust statistics ----------------------------------------------------------------------------------------

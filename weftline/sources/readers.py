@@ -7,27 +7,42 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.ordering import numbered, running_sum
 from weftline.model import ALIGNMENTS, LIBRARIES
 
 
+#: Names of a configuration's parameters that the engine uses, and of its options (fixed values).
+PARAMETERS = {"reg_m": "min_links", "ScafIter": "rounds", "thread": "threads"}
+
+
 @dataclass
 class Config:
-    """Libraries (name, type PE / MP / 3GS, insert size, deviation, paths) and parameters of a run."""
+    """Libraries (name, type PE / MP / 3GS, insert size, deviation, paths) and parameters of a run, as they are named there."""
 
     libraries: list[tuple] = field(default_factory=list)
-    parameters: dict[str, str] = field(default_factory=lambda: {"threads": "4", "min_links": "12", "scaffold_rounds": "2"})
+    parameters: dict[str, str] = field(default_factory=lambda: {"thread": "4", "reg_m": "12", "ScafIter": "2"})
 
     def frame(self, spark: SparkSession) -> DataFrame:
+        """The library table. Long-read libraries carry neither size nor deviation."""
         return spark.createDataFrame([(n, t, int(float(i)), float(d)) for n, t, i, d, *_ in self.libraries], LIBRARIES)
 
+    def classes(self) -> dict[str, list[str]]:
+        """Names of the libraries of each type."""
+        return {t: [x[0] for x in self.libraries if x[1] == t] for t in ("PE", "MP", "3GS")}
+
+    def options(self) -> dict[str, int]:
+        """The parameters that are options of a run, by their names there."""
+        return {PARAMETERS[k]: int(float(v)) for k, v in self.parameters.items() if k in PARAMETERS}
+
 
 def parse_config(text: str) -> Config:
-    """Two sections, headed by lines that begin with '# library_name' and '# parameters'; fields are trimmed."""
+    """Two sections, headed by lines whose second word is 'library_name' or 'parameters', whatever follows it (a list of
+    fields, an explanation); fields are separated by commas and trimmed, empty lines are left out."""
     out, section = Config(), ""
-    for line in text.splitlines():
+    for line in map(str.strip, text.splitlines()):
         fields = [f.strip() for f in line.split(",")]
         if line.startswith("#"):
-            section = fields[0].lstrip("# ").strip()
+            section = (line.lstrip("#").split() or [""])[0].rstrip(",")
         elif fields[0] and section == "library_name":
             out.libraries.append(tuple(fields))
         elif fields[0] and section == "parameters":
@@ -96,18 +111,29 @@ def parse_evidence(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("~") & (F.trim("value") != "")).select("line_no", f.alias("f"))
     rows = rows.withColumn("head", (F.size("f") < 6).cast("int"))
-    rows = rows.withColumn("scaffold_id", F.sum("head").over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where("head = 0").select("scaffold_id", "line_no", F.col("f")[0].cast("long").alias("contig_id"), F.col("f")[2].cast("long").alias("len"), F.col("f")[4].cast("long").alias("n_gap"))
+    rows = running_sum(rows, "head", "line_no", "scaffold_id").where("head = 0").select("scaffold_id", "line_no", F.col("f")[0].cast("long").alias("contig_id"), F.col("f")[2].cast("long").alias("len"), F.col("f")[4].cast("long").alias("n_gap"))
     w = Window.partitionBy("scaffold_id").orderBy("line_no")
     before = F.coalesce(F.sum(F.col("len") + F.col("n_gap")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("pos", before).withColumn("ord", F.row_number().over(w) - 1).drop("line_no")
 
 
 def parse_scaffold_log(lines: DataFrame) -> DataFrame:
-    """Log lines (line_no, value): '>' heads a scaffold, 'contigN' or 'NewCtga+b' places fragments, 'N* gap' a gap."""
+    """Log lines (line_no, value): '>' heads a scaffold, 'contigN' or 'NewCtga+b' places fragments, 'N* gap' a gap. One row
+    per fragment: scaffold_id (from 1), line_no, kind ('contig' or 'merged'), contig_id."""
     rows = lines.withColumn("head", F.col("value").startswith(">").cast("int"))
-    rows = rows.withColumn("scaffold_id", F.sum("head").over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     kind = F.when(F.col("value").startswith("contig"), "contig").when(F.col("value").startswith("NewCtg"), "merged")
-    rows = rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    ids = F.explode(F.split(F.regexp_replace("value", "^(contig|NewCtg)", ""), "\\+"))
+    rows = running_sum(rows, "head", "line_no", "scaffold_id").withColumn("kind", kind).where(F.col("kind").isNotNull())
+    ids = F.explode(F.split(F.regexp_replace(F.trim("value"), "^(contig|NewCtg)", ""), "\\+"))
     return rows.select("scaffold_id", "line_no", "kind", ids.alias("id")).select("scaffold_id", "line_no", "kind", F.col("id").cast("long").alias("contig_id"))
+
+
+def of_log(layout: DataFrame, log: DataFrame) -> DataFrame:
+    """The layout's fragments that a scaffold log places, under the log's scaffolds (a broken scaffold has several there)."""
+    return layout.join(log.select("contig_id", F.col("scaffold_id").alias("log_id")).distinct(), "contig_id").withColumn("scaffold_id", F.col("log_id")).select(layout.columns)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 1, in order of files and of places in them) and value of text files."""
+    at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(at[0].alias("file"), at[1].alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    return numbered(lines, "file", "block", "nth", name="line_no").select("line_no", "value")
