@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, binary_text, cut, quoted, small_batches, table
+from .common import ARROW_ROWS, binary_text, cut, quoted, release, small_batches, table
 
 LENGTH, HEAD = 100, 24
 SPAN = LENGTH - HEAD + 1  # heads in a window
@@ -493,6 +493,7 @@ def _remove_repeats(spark, docs: DataFrame, hot_rows: int) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PART_BYTES))
     splitters = sample_splitters(docs, total, parts)
     found, hot = _sorted(docs.select("did", "t").mapInArrow(_runs(splitters), PACKET), splitters, parts, hot_rows)
+    release(spark)  # each step's shuffle files go before the next deals out texts
     texts = docs.mapInArrow(_as_packets(parts), PACKET)
     together = found.where("kind = 1").unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind")
     compared = together.mapInArrow(_edges(parts, hot), PACKET)
@@ -503,7 +504,8 @@ def _remove_repeats(spark, docs: DataFrame, hot_rows: int) -> DataFrame:
         few = windows.mapInArrow(_thinned, PACKET).limit(4 * SAMPLE_DOCS).select("payload").collect()
         splitters = quantiles(np.frombuffer(b"".join(bytes(r["payload"]) for r in few), RUN), parts)
         spans = spans.unionByName(_sorted(windows.mapInArrow(_rerouted(splitters), PACKET), splitters, parts, hot_rows)[0].where("kind = 0"))
-    spans = spans.unionByName(compared.where("kind = 0").repartitionById(parts, "part").mapInArrow(_compare(parts), PACKET))
+    spans = spans.unionByName(cut(compared.where("kind = 0").repartitionById(parts, "part").mapInArrow(_compare(parts), PACKET)))
+    release(spark)
     together = spans.unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind")
     return cut(together.mapInArrow(_finish, FINAL))
 
