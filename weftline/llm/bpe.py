@@ -233,7 +233,7 @@ def pack(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def chunks(texts: list[str], size: int = 1 << 21) -> Iterator[list[str]]:
+def chunks(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
     out, held = [], 0
     for t in texts:
         out.append(t)

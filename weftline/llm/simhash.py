@@ -24,12 +24,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
 
-from .common import binary_text, cut, lookup, packed, quoted, release, table
+from .common import ARROW_ROWS, binary_text, cut, lookup, packed, quoted, release, small_batches, table
 
 #: Generator polynomial of the (23,12) Golay code (fixed value).
 GOLAY = 0b101011100011
@@ -215,9 +215,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 # ---- the pipeline's stage: similarity of five-word shingles ------------------------------------------------------
-#: Shingle length; similarity as a fraction; documents sampled for, and number of, shingles that count as common; rows in a
-#: bucket from which all pairs are no longer listed at once; least 64-bit words of a set's parity bits; bits of the filter of ids.
-SHINGLE, SIMILAR, COMMON_DOCS, COMMON, SMALL, PARITY, FILTER = 5, (4, 5), 10_000, 100_000, 16, 4, 1 << 24
+#: Shingle length; similarity as a fraction; rows in a bucket from which all pairs are no longer listed at once; least 64-bit
+#: words of a set's parity bits; bits of a filter of ids or shingles.
+SHINGLE, SIMILAR, SMALL, PARITY, FILTER = 5, (4, 5), 16, 4, 1 << 24
+#: Only shingles with hashes below this (40 %) are counted: the others come after the uncommon ones of these, of which a set has
+#: enough as a rule. From how many documents on a shingle is common, and very common.
+COUNTED, OFTEN = int(0.4 * 2**64), (SMALL, 512)
 #: Partners that a row of a long bucket lists in the first round, and how many times more in each further one; pairs that a task
 #: looks at together (these bound its memory).
 FEW, MORE, PAIRS_AT_ONCE = 4, 8, 200_000
@@ -293,15 +296,29 @@ def similar(a: bytes, b: bytes) -> bool:
     return bool(alike_enough(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
 
 
-def prefix(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, in an order that all sets share (uncommon ones first, then by hash), one of which every
-    similar set has among its own first ones: the others are too few for the similarity."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        often = np.where(common[at] == h, count[at], 0)
-        if often.any():
-            h = h[np.argsort(often, kind="stable")]
+def _bit(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte of a filter and the bit in it."""
+    at = _mix(h, 7) & np.uint64(FILTER - 1)
+    return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+
+def marked(h: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Whether the filter has h (and rarely so if it was not put in)."""
+    byte, bit = _bit(h)
+    return (seen[byte] & bit) > 0
+
+
+def prefix(h: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets share, one of which every similar set has among its own first
+    ones: the others are too few for the similarity. Counted shingles that are not common come first, then those not counted,
+    then common and very common ones (filters, so some others too), each by hash."""
     n = len(h)
+    counted = h[: np.searchsorted(h, np.uint64(COUNTED))]
+    rank = np.ones(n, np.int8)
+    rank[: len(counted)] = 0
+    for k, seen in enumerate(often):
+        rank[: len(counted)][marked(counted, seen)] = 2 + k
+    h = h[np.argsort(rank, kind="stable")]
     return h[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1] if n else h
 
 
@@ -397,19 +414,49 @@ def _cross_pairs(few: int):
     return run
 
 
-def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur more than once in a bounded sample, and how often. They only order the shingles: any choice
-    gives the same result, a good one short buckets."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's filters of the first column, one for each level (second column)."""
+    seen: dict[int, np.ndarray] = {}
+    for b in batches:
+        h, level = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+        for k in np.unique(level).tolist():
+            byte, bit = _bit(h[level == k])
+            np.bitwise_or.at(seen.setdefault(k, np.zeros(FILTER // 8, np.uint8)), byte, bit)
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["level", "seen"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One filter for each level from those of several tasks."""
+    seen: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+            seen.setdefault(k, np.zeros(FILTER // 8, np.uint8))
+            seen[k] |= np.frombuffer(x.as_py(), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["level", "seen"])
+
+
+def filters(rows: DataFrame, n: int) -> np.ndarray:
+    """n filters of FILTER bits of (h long, level int); six tasks unite those of all tasks, the driver theirs."""
+    parts = rows.select("h", F.col("level").cast("int").alias("level")).mapInArrow(_marks, "level int, seen binary")
+    out = np.zeros((n, FILTER // 8), np.uint8)
+    for r in parts.repartition(6).mapInArrow(_united, "level int, seen binary").toLocalIterator():
+        out[r["level"]] |= np.frombuffer(r["seen"], np.uint8)
+    return out
+
+
+def _common(rows: DataFrame) -> np.ndarray:
+    """Filters of the counted shingles that are common and very common, over all documents. They only order the shingles:
+    any choice gives the same result, a good one short buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").view(np.int64))], names=["h"])
+            h = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(h[h < np.uint64(COUNTED)].view(np.int64))], names=["h"])
 
-    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, COMMON_DOCS / max(1, total)))).select("s")
-    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    h = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], found["n"].to_numpy(np.int64)[order]
+    counts = rows.select("s").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN[0])
+    found = filters(counts.select("h", (F.col("n") > OFTEN[1]).cast("int").alias("level")), len(OFTEN))
+    release(rows.sparkSession)
+    return found
 
 
 def similar_pairs(rows: DataFrame) -> DataFrame:
@@ -423,26 +470,19 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     whole sets.
     """
     spark = rows.sparkSession
-    common = spark.sparkContext.broadcast(_common(rows, rows.count()))
+    common = spark.sparkContext.broadcast(_common(rows))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 sets = [np.frombuffer(x, "<u8") for x in b.column(1).slice(at, 500).to_pylist()]
-                found = [prefix(h, *common.value) for h in sets]
+                found = [prefix(h, common.value) for h in sets]
                 many, n = np.array([len(x) for x in found], np.int64), np.array([len(x) for x in sets], np.int64)
                 key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
                 rid = np.repeat(b.column(0).slice(at, 500).to_numpy(), many)
                 pos = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(np.repeat(n, many).astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "rid", "n", "pos"])
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER // 8, np.uint8)
-        for b in batches:
-            at = _mix(b.column(0).to_numpy().view(np.uint64), 7) & np.uint64(FILTER - 1)
-            np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
-
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([possible(*v) for v in zip(a, b, x.tolist(), y.tolist())], dtype=bool)
@@ -456,15 +496,11 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
         pairs = cut(pairs.join(a, "src").join(b, "dst").where(may("b_src", "b_dst", "n_src", "n_dst")).select("src", "dst"))
         release(spark)
         # only sets that take part are dealt out: a filter of fixed size, whose false hits cost a row each
-        seen = np.zeros(FILTER // 8, np.uint8)
-        for r in pairs.select(F.explode(F.array("src", "dst")).alias("rid")).coalesce(6).mapInArrow(marks, "seen binary").toLocalIterator():
-            seen |= np.frombuffer(r["seen"], np.uint8)
-        wanted = spark.sparkContext.broadcast(seen)
+        wanted = spark.sparkContext.broadcast(filters(pairs.select(F.explode(F.array("src", "dst")).alias("h"), F.lit(0).alias("level")), 1)[0])
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = _mix(b.column(0).to_numpy().view(np.uint64), 7) & np.uint64(FILTER - 1)
-                yield b.filter(pa.array((wanted.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+                yield b.filter(pa.array(marked(b.column(0).to_numpy().view(np.uint64), wanted.value)))
 
         used = cut(rows.select("rid", "s").mapInArrow(chosen, "rid long, s binary"))
         a, b = (used.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
@@ -506,6 +542,28 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count as largest; of repeated rows one stays. Columns may have any name. An empty table gives no rows.
     """
 
+    spark = docs.sparkSession
+    before = spark.conf.get(ARROW_ROWS)
+    small_batches(spark, 1000)  # sets travel to Python and back; only the join with the documents is left for later
+    try:
+        member = _members(docs, id_col, text_col)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    # rows in no link are in no component and stay; rows that repeat id and text are in one with each other
+    fate = member.groupBy(F.col("id").alias("its"), F.col("k").alias("own")).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    out = packed(docs, **_own(id_col, text_col)).join(fate, F.col("id").eqNullSafe(F.col("its")) & F.col("k").eqNullSafe(F.col("own")), "left")
+    out = out.where("stays is null or stays")
+    once = out.where("n is null or n = 1").select("__row")
+    return once.unionByName(out.where("n > 1").dropDuplicates(["its", "own"]).select("__row")).select("__row.*")
+
+
+def _own(id_col: str, text_col: str) -> dict[str, Column]:
+    return {"id": F.col(quoted(id_col)).cast("long"), "k": F.xxhash64(F.col(quoted(text_col)).cast("string"))}
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, k (a hash of the text) and whether it stays, of every row that is in a component."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(2)]
@@ -513,8 +571,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "n", "bits", "s"])
 
     spark = docs.sparkSession
-    own = {"id": F.col(quoted(id_col)).cast("long"), "k": F.xxhash64(F.col(quoted(text_col)).cast("string"))}
-    rows = docs.select(*[c.alias(n) for n, c in own.items()], binary_text(text_col).alias("t"))
+    rows = docs.select(*[c.alias(n) for n, c in _own(id_col, text_col).items()], binary_text(text_col).alias("t"))
     release(spark)
     rows = cut(rows.mapInArrow(run, "id long, k long, n long, bits binary, s binary").withColumn("rid", F.monotonically_increasing_id()))
     release(spark)
@@ -527,12 +584,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = lookup(member, "component", first, "component", "n", first.agg(F.sum("n")).first()[0] or 0, F.col("rid"))
     member = cut(member.select("id", "k", (F.col("rid") == F.col("first")).alias("stays")))
     release(spark)
-    # rows in no link are in no component and stay; rows that repeat id and text are in one with each other
-    fate = member.groupBy(F.col("id").alias("its"), F.col("k").alias("own")).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
-    out = packed(docs, **own).join(fate, F.col("id").eqNullSafe(F.col("its")) & F.col("k").eqNullSafe(F.col("own")), "left")
-    out = out.where("stays is null or stays")
-    once = out.where("n is null or n = 1").select("__row")
-    return once.unionByName(out.where("n > 1").dropDuplicates(["its", "own"]).select("__row")).select("__row.*")
+    return member
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
