@@ -5,10 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import sequence
+from weftline.functions import ordering, sequence, stats
+from weftline.functions.runs import by_runs
 from weftline.model import CONTIGS, LIBRARIES, PAIRS
 from weftline.operators import cluster, layout, links, longread, merge, regress
 from weftline.operators.components import connected_components
+from weftline.plans import scaffolding
 from weftline.sources import readers, sinks
 
 LIBS = [("PE", "PE", 800, 15.0), ("MP", "MP", 3000, 15.0)]
@@ -102,30 +104,140 @@ def test_fit_recovers_flips_and_drops_outliers():
     assert np.allclose([r["x"] for r in got], 1050 * np.arange(12), atol=60)
 
 
-def test_capped_pieces_are_connected_and_small():
-    near = {i: [i - 1, i + 1] for i in range(1, 49)} | {0: [1], 49: [48]}
-    parts = regress.capped(list(range(50)), near, 8)
-    assert max(map(len, parts)) <= 8 and sorted(x for p in parts for x in p) == list(range(50))
-
-
-def test_planted_layout_end_to_end(spark):
-    from weftline.plans.queries import QUERIES
-
-    rows = QUERIES["scaffold_pipeline"](spark, "/root/testdata/sf0.001").collect()
+def test_levelled_matrix_solves_like_one_block():
+    r = np.random.default_rng(2)
+    n = 400
+    i = np.r_[np.arange(n - 1), np.arange(n - 2), r.integers(0, n - 9, 50)]
+    j = np.r_[np.arange(1, n), np.arange(2, n), i[-50:] + r.integers(1, 9, 50)]
+    w, v, y = r.random(len(i)) + 0.1, r.random(len(i)), r.normal(size=len(i))
+    one, many = regress.NormalMatrix(n, i, j, w, dense=n), regress.NormalMatrix(n, i, j, w, dense=10)
+    assert len(one.inverse) == 1 and len(many.inverse) > 30
+    b = r.normal(size=(n, 3))
+    assert np.allclose(one.solve(b), many.solve(b)) and np.allclose(one.solve(b[:, 0]), many.solve(b)[:, 0])
+    cov = regress.covariance(n, i, j, w, v, many)
+    p, q = np.arange(n - 1), np.arange(1, n)
+    assert np.allclose(regress.difference_variance(many, i, j, w, v, p, q), cov[p, p] + cov[q, q] - 2 * cov[p, q])
+
+
+def no_votes():
+    return pd.DataFrame({"c1": [], "c2": [], "n_pos": [], "n_neg": []})
+
+
+def test_fit_splits_where_support_ends():
+    d = planted(12)
+    d = d[~((d.c1 < 6) & (d.c2 >= 6))]
+    bad = pd.DataFrame([(5, 6, -1, 1050.0, 1.0, 4.0), (4, 7, -1, 3150.0, 1.0, 4.0)], columns=d.columns)  # against the orientation
+    got = regress.fit(list(range(12)), pd.concat([d, bad]), no_votes(), 100.0, 5)
+    assert {(r["scaffold"], r["node"]) for r in got} == {(0 if i < 6 else 6, i) for i in range(12)}
+    assert all(abs(r["x"] - 1050 * (r["node"] - r["scaffold"])) < 60 for r in got)
+
+
+def test_fit_gives_up_as_single_fragments():
+    d = pd.DataFrame([(0, 1, 1, 100.0, 1.0, 1.0), (1, 2, 1, 100.0, 1.0, 1.0), (0, 2, 1, 9000.0, 1.0, 1.0)], columns=["c1", "c2", "cons", "y", "w", "v"])
+    got = regress.fit([0, 1, 2], d, no_votes(), 1.0, 5, max_fits=1)
+    assert sorted(r["scaffold"] for r in got) == [0, 1, 2] and all(r["x"] == 0 for r in got)
+
+
+def test_trimming_up_to_the_bound_keeps_ties():
+    # four rows of one pair: two agree, two are off by the same residual
+    d = pd.DataFrame([(0, 1, 1, y, 1.0, 1.0) for y in (100.0, 100.0, 400.0, 400.0)], columns=["c1", "c2", "cons", "y", "w", "v"])
+    strict, loose = (regress.fit([0, 1], d, no_votes(), 10.0, 5, strict=s, max_fits=3) for s in (True, False))
+    assert sorted(r["scaffold"] for r in strict) == [0, 1]  # every residual is the bound: nothing is under it
+    assert sorted(r["scaffold"] for r in loose) == [0, 1] and len(loose) == 2
+
+
+def test_std_follows_the_intervals_of_reversed_fragments():
+    d = planted(3, flips={1})
+    votes = pd.DataFrame([(0, 1, 0, 9), (1, 2, 0, 9), (0, 2, 9, 0)], columns=["c1", "c2", "n_pos", "n_neg"])
+    got = {r["node"]: r for r in regress.fit([0, 1, 2], d, votes, 100.0, 5, lengths={0: 1000, 1: 2500, 2: 1000})}
+    # the reversed fragment reaches from -1450 to 1050, so it is the first one and the last has no gap behind it
+    assert got[1]["orient"] == -1 and got[1]["std"] > 0 and got[2]["std"] == 0
+
+
+def test_spanning_tree_takes_the_heavier_votes():
+    votes = [(0, 1, 0, 30), (1, 2, 20, 0), (0, 2, 5, 0), (3, 4, 0, 2)]
+    assert regress.spanning_orient(5, votes).tolist() == [1, -1, -1, 1, -1]
+    assert regress.spanning_orient(2, [(0, 1, 0, 0)]).tolist() == [1, 1]
+
+
+def brute_energy(n, votes, d):
+    return sum(d[i] * d[j] * (p - m) for i, j, p, m in votes)
+
+
+def test_flips_never_lower_the_sum():
+    r = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(r.integers(2, 9))
+        votes = [(i, j, int(r.integers(0, 9)), int(r.integers(0, 9))) for i in range(n) for j in range(i + 1, n) if r.random() < 0.7]
+        for full in (False, True):
+            d = regress.orient(n, votes, 3, full)
+            assert set(d.tolist()) <= {1, -1}
+            if full:  # the field is the real gain then, so no flip is left that would raise the sum
+                best = brute_energy(n, votes, d)
+                for i in range(n):
+                    e = d.copy()
+                    e[i] = -e[i]
+                    assert brute_energy(n, votes, e) <= best
+
+
+def test_pieces_are_connected_and_within_the_cap(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(i, i + 2) for i in range(0, 299, 3)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5000, 5001)]
+    frame = spark.createDataFrame(edges, "c1 long, c2 long")
+    comp = connected_components(frame, "c1", "c2")
+    got = {x.node: x.component for x in regress.bounded_pieces(comp, frame, 16).collect()}
+    assert set(got) == {x for e in edges for x in e} and got[5001] == got[5000] == 5000
+    parts = {}
+    for node, c in got.items():
+        parts.setdefault(c, set()).add(node)
+    for c, nodes in parts.items():
+        assert min(nodes) == c and len(nodes) <= 16
+        reached, todo = {c}, [c]
+        while todo:
+            a = todo.pop()
+            for x, y in edges:
+                for p, q in ((x, y), (y, x)):
+                    if p == a and q in nodes and q not in reached:
+                        reached.add(q)
+                        todo.append(q)
+        assert reached == nodes
+    assert sum(len(p) > 4 for p in parts.values() if min(p) < 1000) >= 15  # pieces grow, they do not stay single
+
+
+def test_components_over_the_cap_are_solved_in_pieces(spark):
+    from weftline.plans.queries import Data
+
+    d = Data(spark, "/root/testdata/sf0.001")
+    laid = scaffolding.contig_layout(d.obs, d.libraries, d.contigs, scaffolding.Options(component_cap=4))[0].collect()
     by = {}
-    for r in rows:
-        by.setdefault(r.scaffold_id, []).append(r)
-    assert len(rows) == len({r.contig_id for r in rows})
+    for x in laid:
+        by.setdefault(x.scaffold_id, []).append(x)
+    assert len(laid) == 200 and max(map(len, by.values())) == 4
     for rs in by.values():
-        rs.sort(key=lambda r: r.contig_id)
-        for a, b in zip(rs, rs[1:]):
-            assert abs(abs(b.start - a.start) - 1050 * (b.contig_id - a.contig_id)) <= 60
+        first = min(rs, key=lambda x: x.contig_id)
+        assert all(abs(x.start - first.start - 1050 * (x.contig_id - first.contig_id)) <= 60 for x in rs)
 
 
 def test_strands_split_conflicts_and_rejoin_singles():
-    rows = pd.DataFrame({"contig_id": [1, 2, 3, 4], "start": [0.0, 10.0, 1000.0, 2050.0], "end": [900.0, 910.0, 2000.0, 3000.0]})
-    got = layout.strands_of(rows, {(1, 3): 9, (3, 1): 9, (3, 4): 8, (4, 3): 8}, 3000, 15, 6)
-    assert sorted(got) == [[0, 2, 3], [1]]
+    start, end = [0.0, 10.0, 1000.0, 2050.0, 3100.0], [900.0, 910.0, 2000.0, 3000.0, 4000.0]
+    links = {1: {3: 9}, 3: {1: 9, 4: 8}, 4: {3: 8, 5: 7}, 5: {4: 7}}
+    assert sorted(layout.strands_of([1, 2, 3, 4, 5], start, end, links, 3000, 15, 6)) == [[0, 2, 3, 4], [1]]
+    # 2 is passed over but joins the chain of its most-linked fragment where it overlaps nothing
+    start[1], end[1] = 4100.0, 4900.0
+    order = [0, 2, 3, 4, 1]
+    ids = [[1, 2, 3, 4, 5][k] for k in order]
+    far = links | {2: {1: 7}, 1: {3: 9, 2: 7}}
+    got = layout.strands_of(ids, [start[k] for k in order], [end[k] for k in order], far, 3000, 15, 6)
+    assert got == [[0, 1, 2, 3, 4]]
+
+
+def test_neighbourhood_with_one_very_long_fragment(spark):
+    r = np.random.default_rng(4)
+    at = r.integers(0, 20_000, 60).tolist()
+    rows = [(1, i, float(s), float(s + r.integers(50, 400))) for i, s in enumerate(at)] + [(1, 100, -500.0, 90_000.0), (2, 101, 0.0, 10.0), (2, 102, 5.0, 8.0)]
+    lay = spark.createDataFrame(rows, "scaffold_id long, contig_id long, start double, end double")
+    got = {(x.contig_id_i, x.contig_id_j) for x in layout.neighbourhood(lay, F.lit(300.0)).collect()}
+    order = sorted(rows, key=lambda x: (x[0], x[2], x[3], x[1]))
+    assert got == {(a[1], b[1]) for k, a in enumerate(order) for b in order[k + 1 :] if a[0] == b[0] and b[2] < a[3] + 300}
 
 
 def test_prune_read():
@@ -146,6 +258,20 @@ def test_merge_pair():
     s = "".join(r.choice(list("ACGT"), 400))
     assert merge.merge_pair(s[:230], s[170:], 200, 40, 80) == s
     assert merge.merge_pair(s[:200], s[200:], 150, 0, 80) is None
+    gap = s[:200] + s[201:230]  # one base of the overlap lost
+    assert merge.banded(gap, s[170:], 40, 80)[0] == 59 - 5
+
+
+def test_merge_chain_joins_from_left_to_right():
+    r = np.random.default_rng(6)
+    s = "".join(r.choice(list("ACGT"), 700))
+    seq = [s[:300], s[240:520], s[460:]]
+    got = merge.merge_chain([1, 2, 3], [0.0, 240.0, 460.0], [300.0, 520.0, 700.0], [3.0, 4.0, 5.0], ["F", "R", "F"], seq, 15)
+    assert got == [([1, 2, 3], 0.0, 700.0, pytest.approx(np.sqrt(((9 + 16) / 2 + 25) / 2)), "F", s)]
+    other = "".join(r.choice(list("ACGT"), 280))
+    got = merge.merge_chain([1, 2, 3], [0.0, 240.0, 460.0], [300.0, 520.0, 740.0], [3.0, 4.0, 5.0], ["F", "R", "F"], [s[:300], other, other[220:] + s[:200]], 15)
+    assert [u[0] for u in got] == [[1], [2, 3]] and got[1][5] == other + s[:200]
+    assert len(merge.merge_chain([1, 2], [0.0, 900.0], [300.0, 1200.0], [1.0, 1.0], ["F", "F"], [s[:300], s[240:]], 15)) == 2
 
 
 def brute_local(a, b, low, high):
@@ -170,6 +296,13 @@ def test_banded_alignment_scores_like_the_full_table():
 def test_config_and_evidence(spark):
     c = readers.parse_config("# library_name, type\nfrag, PE, 800, 10, a.fq, b.fq\nlong, 3GS, 0, 0, c.fa, -\n# parameters\nthreads, 8\n")
     assert [x[:3] for x in c.libraries] == [("frag", "PE", "800"), ("long", "3GS", "0")] and c.parameters["threads"] == "8"
+    # headings list their fields or explain them; names are those of the templates
+    for heading in ("# parameters", "# parameters (thread: the number of threads; reg_m: links; ScafIter: rounds)"):
+        c = readers.parse_config(f"# library_name, type, insert_size\n2k, MP,  2000, 200, a, b\nP1, 3GS, 0, 0, c, NA\n\n{heading}\nthread, 40\nreg_m, 15\nScafIter, 3\n")
+        o = scaffolding.Options.of(c, max_error=80.0)
+        assert c.classes() == {"PE": [], "MP": ["2k"], "3GS": ["P1"]} and (o.min_links, o.rounds, o.max_error) == (15, 3, 80.0)
+    assert scaffolding.Options.of(readers.parse_config("")).min_links == 12
+    assert [tuple(r) for r in c.frame(spark).collect()] == [("2k", "MP", 2000, 200.0), ("P1", "3GS", 0, 0.0)]
     lines = ["s1\t900\t2", "1\tf\t300\t0\t50\t0", "2\tf\t400\t0\t0\t0", "~~~~~", "s2\t10\t1", "3\tf\t10\t0\t0\t0"]
     got = readers.parse_evidence(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")).orderBy("contig_id").collect()
     assert [(r.scaffold_id, r.ord, r.contig_id, r.pos) for r in got] == [(1, 0, 1, 0), (1, 1, 2, 350), (2, 0, 3, 0)]
@@ -195,3 +328,69 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.sql("select * from counts").collect()}
     q.stop()
     assert got == {tuple(r) for r in links.link_counts(links.link_observations(spark.createDataFrame(rows, PAIRS), libs)).collect()}
+
+
+# ---- places, runs, texts of a run ----
+def test_numbers_and_running_sums_agree_with_one_window(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(x), float(v)) for x, v in zip(r.permutation(5000), r.random(5000))]
+    df = spark.createDataFrame(rows, "line long, v double").repartition(7)
+    got = {x.line: x.n for x in ordering.numbered(df, "line").collect()}
+    assert got == {i: i + 1 for i in range(5000)}
+    flags = df.withColumn("f", (F.col("line") % 7 == 0).cast("int"))
+    assert {x.line: x.s for x in ordering.running_sum(flags, "f", "line", "s", block=64).collect()} == {i: i // 7 + 1 for i in range(5000)}
+    assert ordering.numbered(df.limit(0), "line").count() == 0
+
+
+def test_percentiles_of_groups_of_any_size(spark):
+    r = np.random.default_rng(9)
+    rows = [("a", float(x)) for x in r.integers(0, 40, 3000)] + [("b", 5.0), ("c", 1.0), ("c", 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ranks = ordering.ranked(df, "g", "x")
+    for p in (0.0, 0.1, 0.5, 0.75, 1.0):
+        got = {q.g: q.v for q in ordering.percentile_of(ranks, "g", "x", p, "v").collect()}
+        want = {g: np.percentile([v for k, v in rows if k == g], p * 100) for g in "abc"}
+        assert got == pytest.approx(want)
+    assert ordering.percentile(df, "x", 0.5).first()[0] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    assert {q.g: q.madn for q in stats.madn(df, "g", "x").collect()}["c"] == pytest.approx(0.5 / 0.675)
+
+
+def test_runs_cross_batches_and_keep_their_order(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(500).select((F.col("id") % 9).alias("g"), F.col("id").alias("v"), F.col("id").cast("string").alias("t"))
+        seen = lambda g: {"g": g["g"][:1], "n": np.array([len(g["v"])]), "ok": np.array([bool((np.diff(g["v"]) < 0).all())]), "t": g["t"][:1]}
+        got = by_runs(df.withColumn("w", -F.col("v")), ["g"], ["w"], seen, "g long, n long, ok boolean, t string").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.g: (r.n, r.ok, int(r.t) % 9) for r in got} == {g: (len(range(g, 500, 9)), True, g) for g in range(9)}
+
+
+def test_cut_without_empty_pieces_and_with_text_names(spark):
+    d = spark.createDataFrame([("b", "NNACNNGTN"), ("a", "ACGT"), ("c", "NNN")], "scaffold_id string, seq string")
+    got = [(r.scaffold_id, r.seq, r.n_gap, r.contig_id) for r in sequence.cut_at_n(d, drop_empty=True).orderBy("contig_id").collect()]
+    assert got == [("a", "ACGT", 0, 1), ("b", "AC", 2, 2), ("b", "GT", 1, 3)]
+
+
+def test_run_writes_merged_fragments_gaps_and_breaks(spark, tmp_path):
+    r = np.random.default_rng(10)
+    s = "".join(r.choice(list("ACGT"), 900))
+    seqs = spark.createDataFrame([(1, s[:500]), (2, sequence_reversed(s[440:900])), (3, "A" * 350), (4, "C" * 320), (9, "G" * 120)], "contig_id long, seq string")
+    lay = spark.createDataFrame([(1, 1, 0.0, 500.0, "F", 5.0, 500), (1, 2, 440.0, 900.0, "R", 5.0, 460), (1, 3, 930.0, 1280.0, "F", 5.0, 350), (1, 4, 9000.0, 9320.0, "F", 5.0, 320)], "scaffold_id long, contig_id long, start double, end double, direct string, std double, len long")
+    small = spark.createDataFrame([(9, 120)], CONTIGS)
+    got = scaffolding.sequences(lay, small, seqs, 3000, 15, scaffolding.Options())
+    text = {x.name: x.seq for x in got["fasta"].collect()}
+    assert text == {"scaffold1": s + "N" * 30 + "A" * 350, "scaffold2": "C" * 320, "scaffold3": "G" * 120}
+    scaffolding.write_run(got | {"layout": lay}, str(tmp_path / "out"))
+    lines = lambda name: [x.value for x in readers.read_lines(spark, str(tmp_path / "out" / name)).orderBy("line_no").collect()]
+    assert lines("log") == [">scaffold1", "NewCtg1+2", "N* 30", "contig3", "too long gap", ">scaffold2", "contig4", "N* 0", ">scaffold3", "contig9"]
+    assert lines("evidence") == [">scaffold1|size1280|tigs3", "f_tig1|size500|links10|gaps-60p-360P240", "r_tig2|size460|links10|gaps30p-270P330", "f_tig3|size350|links10|gaps0p-300P300", ">scaffold2|size320|tigs1", "f_tig4|size320|links10|gaps0p-300P300", ">scaffold3|size120|tigs1", "f_tig9|size120|links10|gaps0p0P0"]
+    log = readers.parse_scaffold_log(readers.read_lines(spark, str(tmp_path / "out" / "log"))).collect()
+    assert sorted((x.scaffold_id, x.kind, x.contig_id) for x in log) == [(1, "contig", 3), (1, "merged", 1), (1, "merged", 2), (2, "contig", 4), (3, "contig", 9)]
+    back = {x.name: x.seq for x in readers.read_fasta(spark, str(tmp_path / "out" / "fasta")).collect()}
+    assert back == text
+
+
+def sequence_reversed(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
