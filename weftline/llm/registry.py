@@ -3,7 +3,7 @@
 from . import ann, bpe, exact_dedup, langid, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
 
 OPS = [mixing.op1_mixing, token_counts.op2_token_counts, simhash.op3_simhash, toxicity.op4_toxicity, exact_dedup.op5_exact_dedup, ann.op6_ann, bpe.op7_bpe, langid.op8_langid, suffix_dedup.op9_suffix_dedup, quality.op10_quality]
-SQL = {"op5_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_exact_dedup": exact_dedup.SQL, "op9_suffix_dedup": suffix_dedup.SQL}
 
 
 def queries():

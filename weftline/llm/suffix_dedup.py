@@ -521,3 +521,21 @@ def _as_packets(parts: int):
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Every 100-byte string of every document, by its place; hexadecimal digits stand for bytes.
+SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS did, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT did, x, unnest(range(0, greatest(length(x) // 2 - 99, 0))) AS p FROM d),
+strings AS (SELECT did, p, md5_number(substr(x, 2 * p + 1, 200)) AS k FROM places),
+again AS (SELECT did, p FROM strings QUALIFY row_number() OVER (PARTITION BY k ORDER BY did, p) > 1),
+starts AS (SELECT did, p, CASE WHEN p > lag(p) OVER (PARTITION BY did ORDER BY p) + 100 THEN 1 ELSE 0 END AS fresh FROM again),
+runs AS (SELECT did, p, sum(fresh) OVER (PARTITION BY did ORDER BY p) AS run FROM starts),
+spans AS (SELECT did, min(p) AS lo, max(p) + 100 AS hi FROM runs GROUP BY did, run),
+bounds AS (SELECT did, lo, hi FROM spans UNION ALL SELECT did, length(x) // 2, length(x) // 2 FROM d),
+kept AS (SELECT did, coalesce(lag(hi) OVER (PARTITION BY did ORDER BY lo, hi), 0) AS a, lo AS b FROM bounds),
+texts AS (SELECT did, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS y FROM kept JOIN d USING (did) GROUP BY did),
+cut AS (SELECT did, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY did)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(y)) AS kept_sha256
+FROM d JOIN texts USING (did) LEFT JOIN cut USING (did)
+"""
