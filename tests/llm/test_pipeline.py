@@ -1,29 +1,89 @@
-"""The pipeline's stages keep the columns of documents, and what stays agrees with a plain version."""
+"""The pipeline's stages keep the columns of documents, and what stays agrees with a plain version of each stage."""
 
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
+from weftline.llm import bpe, toxicity
+from weftline.llm.common import labelled_sample
+
+from .test_ops import water_fill
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_toxicity(spark, before, rows):
+    model = toxicity.train(labelled_sample(before, spark.read.parquet(f"{SF}/labels.parquet"), "toxic", 3, 1, toxicity.PER_CLASS))
+    score = toxicity.score_texts(model, [r.text for r in rows])
+    return sorted(r.doc_id for r, s in zip(rows, score) if s < toxicity.THRESHOLD)
+
+
+def plain_exact(rows):
+    first = {}
+    for r in rows:
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
+        first[key] = min(first.get(key, r.doc_id), r.doc_id)
+    return sorted(first.values())
+
+
+def plain_near(rows):
+    """The smallest id of each component of documents whose five-word shingles have a similarity of 0.8 or more."""
+    sets = {}
+    for r in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(r.text or "")]
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    comp = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if comp[j] < comp[i] and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                    comp[i], changed = comp[j], True
+    return sorted({c for c in comp.values()})
 
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, SF).cache()
-        ids = [r.doc_id for r in docs.select("doc_id").collect()]
-        assert set(ids) <= {r.doc_id for r in before.select("doc_id").collect()}
+        rows, ids = before.collect(), [r.doc_id for r in docs.select("doc_id").collect()]
+        assert set(ids) <= {r.doc_id for r in rows}
+        if name == "toxicity":
+            assert sorted(ids) == plain_toxicity(spark, before, rows)
         if name == "exact_dedup":
-            first = {}
-            for r in before.collect():
-                key = re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
-                first[key] = min(first.get(key, r.doc_id), r.doc_id)
-            assert sorted(ids) == sorted(first.values())
+            assert sorted(ids) == plain_exact(rows)
+        if name == "near_dedup":
+            assert sorted(ids) == plain_near(rows)
+        if name == "mixing":
+            copies, size, total, taken = Counter(ids), {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}, Counter(), Counter()
+            for r in rows:
+                total[r.source] += size[r.doc_id]
+                taken[r.source] += copies[r.doc_id] * size[r.doc_id]
+            order = sorted(total, key=lambda s: (s is None, s))
+            want = water_fill(dict(total), {s: k % 3 + 1.0 for k, s in enumerate(order)})
+            assert max(copies.values()) <= 3
+            for s in total:
+                assert abs(taken[s] - want[s]) < max(size[r.doc_id] for r in rows if r.source == s)
         if name != "bpe":
             assert docs.columns == before.columns
+        else:
+            text = {r.doc_id: r.text or "" for r in rows}
+            c = bpe.codec(bpe.default_path())
+            for r in docs.collect():
+                assert c.decode(bytes(r.ids)) == text[r.doc_id] and r.n_tokens == len(np.frombuffer(bytes(r.ids), "<u4"))
     assert docs.columns == ["doc_id", "n_tokens", "ids"]
-    assert docs.where("length(ids) <> 4 * n_tokens").count() == 0
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0, name
 
 
 def test_run_and_entry(spark):
