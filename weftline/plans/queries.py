@@ -217,7 +217,19 @@ def edge_observations_sqrt(spark, sf_dir):
     return cluster.observation_rows(d.clusters(d.obs), weighting="sqrt").withColumn("v", F.round("v", 6)).withColumn("w", F.round("w", 6))
 
 
-@query()
+#: Density at each sorted offset, its peaks (middles of plateaus, the higher of two closer than 3), borders, splits.
+DENSITY = """sorted_ as (select lib, c1, c2, cons, list(diff order by diff) x, greatest(max(l.sd), 10.0) sd, sqrt(var_pop(diff)) < max(l.sd) one from obs o join libs l using (lib) group by lib, c1, c2, cons),
+dense as (select *, case when one then [] else list_transform(x, lambda v: list_sum(list_transform(x, lambda u: exp(-0.5 * ((u - v) / least(sd / 2, 100)) ^ 2)))) end y from sorted_),
+tops as (select *, list_filter(list_transform(range(2, len(y)), lambda i: [i - 1, coalesce(list_filter(range(i, len(y) + 1), lambda k: y[k] <> y[i])[1], 0)]), lambda t: y[t[1] + 1] > y[t[1]] and t[2] > 0 and y[t[2]] < y[t[1] + 1]) t from dense),
+middle as (select *, list_transform(t, lambda t: ((t[1] + t[2] - 2) // 2)::bigint) p from tops),
+high as (select *, list_transform(list_sort(list_transform(p, lambda p: {'h': -y[p + 1], 'p': p})), lambda s: s.p) q from middle),
+kept as (select *, list_sort(list_reduce(list_transform(q, lambda v: [v]), lambda a, b: case when len(list_filter(a, lambda k: abs(k - b[1]) < 3)) > 0 then a else list_concat(a, b) end, []::bigint[])) k from high),
+borders as (select *, list_concat(list_transform(range(1, len(k)), lambda i: (x[k[i] + 1] + x[k[i + 1] + 1]) / 2), list_transform(list_filter(range(1, len(x)), lambda i: not one and x[i + 1] - x[i] > sd), lambda i: x[i] + sd / 2)) b from kept),
+splits as (select *, list_transform(range(1, len(x) + 1), lambda i: case when not one and i > 1 and x[i] - x[i - 1] >= sd / 2 and len(list_filter(b, lambda v: v >= x[i - 1] and v < x[i])) > 0 then 1 else 0 end) s from borders),
+numbered_ as (select lib, c1, c2, cons, unnest(x) diff, unnest(list_transform(range(1, len(x) + 1), lambda i: list_sum(s[1:i])::bigint)) cluster from splits)"""
+
+
+@query(f"{CHAIN}, {DENSITY} select lib, c1, c2, cons, diff, cluster from numbered_")
 def cluster_by_density(spark, sf_dir):
     d = Data(spark, sf_dir)
     return cluster.jump_clusters(d.obs, d.libraries, exact_band=True).select("lib", "c1", "c2", "cons", "diff", "cluster")
