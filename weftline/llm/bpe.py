@@ -31,7 +31,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for Latin-1 texts without characters that the two regex libraries class differently; re takes half the time.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 200_000
-KNOWN_PAIRS = 2_000_000
+KNOWN_PAIRS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -272,6 +272,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec(at).encode_batch(_texts(b.column(1))), pa.binary())], names=["doc_id", "ids"])
+        codec(at).cache.clear()  # a worker goes on to other work; the next task's words fill it again
 
     return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -266,6 +266,32 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+class ParityTable:
+    """Parity bits of many sets, folded to every width in use, for comparing many pairs at once."""
+
+    def __init__(self, bits: list[bytes], most: int = 64):
+        full = [fold(np.frombuffer(x, "<u8"), most) for x in bits]
+        self.width = np.array([len(x) for x in full], np.int64)
+        self.at: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist() + [PARITY]:
+            table = np.zeros((len(full), w), np.uint64)
+            for i in np.flatnonzero(self.width >= w).tolist():
+                table[i] = fold(full[i], w)
+            self.at[w] = table
+
+    def differ(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bits in which the sets of each pair differ: in PARITY words, and where these leave it possible, in as many as both have."""
+        out = np.bitwise_count(self.at[PARITY][x] ^ self.at[PARITY][y]).sum(axis=1, dtype=np.int64)
+        width = np.minimum(self.width[x], self.width[y])
+        left = (out <= most) & (width > PARITY)
+        for w in np.unique(width[left]).tolist():
+            pick = np.flatnonzero(left & (width == w))
+            for i in range(0, len(pick), PAIRS_AT_ONCE // w):
+                p = pick[i : i + PAIRS_AT_ONCE // w]
+                out[p] = np.bitwise_count(self.at[w][x[p]] ^ self.at[w][y[p]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def possible(a: bytes, b: bytes, x: int, y: int) -> bool:
     """False only if the parity bits of sets of x and y elements prove that they are not similar."""
     p, q = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -380,7 +406,7 @@ def _cross_pairs(few: int):
         key, rid, comp, n, pos = (t.column(i).to_numpy() for i in range(5))
         if not len(key):
             return
-        bits = np.array([fold(np.frombuffer(x.as_py(), "<u8"), PARITY) for x in t.column(5)], np.uint64).reshape(-1, PARITY)
+        bits = ParityTable([x.as_py() for x in t.column(5)])
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         left, right, more = [], [], []
         for at, end in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
@@ -395,10 +421,9 @@ def _cross_pairs(few: int):
                 ok = (comp[own, None] != comp[None, every]) & sizes_fit(n[own, None], n[None, every]) & reach(n[own, None], pos[own, None], n[None, every], pos[None, every])
                 x, y = np.nonzero(ok)
                 total = n[own[x]] + n[at + y]
-                differ = np.zeros(len(x), np.int64)
-                for w in range(PARITY):
-                    differ += np.bitwise_count(bits[own[x], w] ^ bits[at + y, w])
-                ok = differ <= total - 2 * -(-SIMILAR[0] * total // sum(SIMILAR))
+                most = total - 2 * -(-SIMILAR[0] * total // sum(SIMILAR))
+                differ = bits.differ(own[x], at + y, most)
+                ok = differ <= most
                 x, y, differ = x[ok], y[ok], differ[ok]
                 order = np.lexsort((rid[at + y], differ, x))
                 x, y = x[order], y[order]
@@ -569,6 +594,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(2)]
             cols = pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "n", "bits", "s"])
+        _word_hash.clear()  # a worker goes on to other work
 
     spark = docs.sparkSession
     rows = docs.select(*[c.alias(n) for n, c in _own(id_col, text_col).items()], binary_text(text_col).alias("t"))
