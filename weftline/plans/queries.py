@@ -573,9 +573,9 @@ def longread_end_anchored(spark, sf_dir):
 COVER = "cov as (select tname contig_id, cast(sum(tend-tstart) as bigint) covered, max(tlength) len, sum(tend-tstart)/max(tlength) cov from align group by tname)"
 
 
-@query(f"{WITH}, {COVER} select contig_id, covered, len, round(cov, 6) cov from cov")
+@query(f"{WITH}, {COVER} select contig_id, covered, len, cov from cov")
 def longread_coverage(spark, sf_dir):
-    return longread.coverage(Data(spark, sf_dir).alignments).withColumn("cov", F.round("cov", 6))
+    return longread.coverage(Data(spark, sf_dir).alignments)
 
 
 @query(f"{WITH}, {COVER} select a.* from align a join cov on tname = contig_id where cov <= (select quantile_cont(cov, 0.8) from cov)")
