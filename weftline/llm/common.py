@@ -40,8 +40,10 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and continue from there (survives lost executors)."""
+    """Write df to the shared checkpoint folder and continue from there (survives lost executors). The files go once nothing
+    on the driver refers to them any more, like shuffle files (see release)."""
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 

@@ -547,6 +547,7 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
         # what is connected already counts as links to the component's smallest number
         edges = new if comp is None else new.unionByName(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")))
         comp = connected_components(edges)
+        release(spark)
         now = side.join(comp, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("component", "rid").alias("component"), "n", "bits")
         crowd = hot.join(cut(now), "rid").select("key", "rid", "component", "n", "pos", "bits")
         listed = cut(crowd.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, f=_cross_pairs(few): _runs(b, f), "src long, dst long").distinct())
