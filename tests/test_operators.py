@@ -262,35 +262,100 @@ def test_merge_pair():
     assert merge.banded(gap, s[170:], 40, 80)[0] == 59 - 5
 
 
-def test_merge_chain_joins_from_left_to_right():
+def plain_chain(seq, start, end, std, max_sd):
+    """One pair after the other on whole texts: (fragments, start, end, std, text) of each unit."""
+    out, left = [], ([0], start[0], end[0], std[0], seq[0])
+    for k in range(1, len(seq)):
+        overlap, spread, merged = left[2] - start[k], max(left[3], std[k], max_sd), None
+        low, up = max(int(overlap - spread), 0), int(overlap + spread)
+        if overlap <= 10_000 and up > 0:
+            merged = merge.merge_pair(left[4], seq[k], int(overlap) + max(500, int(overlap) - low, up - int(overlap)), low, up)
+        if merged is None:
+            out.append(left)
+            left = ([k], start[k], end[k], std[k], seq[k])
+        else:
+            left = (left[0] + [k], left[1], end[k], float(np.sqrt((left[3] ** 2 + std[k] ** 2) / 2)), merged)
+    return [*out, left]
+
+
+def test_chains_merge_from_left_to_right_like_whole_texts(spark):
     r = np.random.default_rng(6)
-    s = "".join(r.choice(list("ACGT"), 700))
-    seq = [s[:300], s[240:520], s[460:]]
-    got = merge.merge_chain([1, 2, 3], [0.0, 240.0, 460.0], [300.0, 520.0, 700.0], [3.0, 4.0, 5.0], ["F", "R", "F"], seq, 15)
-    assert got == [([1, 2, 3], 0.0, 700.0, pytest.approx(np.sqrt(((9 + 16) / 2 + 25) / 2)), "F", s)]
-    other = "".join(r.choice(list("ACGT"), 280))
-    got = merge.merge_chain([1, 2, 3], [0.0, 240.0, 460.0], [300.0, 520.0, 740.0], [3.0, 4.0, 5.0], ["F", "R", "F"], [s[:300], other, other[220:] + s[:200]], 15)
-    assert [u[0] for u in got] == [[1], [2, 3]] and got[1][5] == other + s[:200]
-    assert len(merge.merge_chain([1, 2], [0.0, 900.0], [300.0, 1200.0], [1.0, 1.0], ["F", "F"], [s[:300], s[240:]], 15)) == 2
-
-
-def brute_local(a, b, low, high):
-    n, m, best = len(a), len(b), 0
+    letters = list("ACGT")
+    seqs, rows, want = [], [], []
+    for s in range(30):
+        text = "".join(r.choice(letters, 3000))
+        at, seq, start = 0, [], []
+        while at < 2600:
+            size = int(r.integers(60, 700))
+            piece = list(text[at : at + size])
+            for _ in range(int(r.integers(0, 4))):  # mismatches, lost and added bases, mostly near the ends
+                place = int(r.choice([r.integers(0, 60), len(piece) - 1 - r.integers(0, 40)]))
+                if 0 <= place < len(piece):
+                    piece[place : place + int(r.integers(0, 3))] = r.choice(letters, int(r.integers(0, 4))).tolist()
+            seq.append("".join(piece))
+            start.append(float(at + r.integers(-9, 10)))
+            at += max(size - int(r.integers(0, 130)), 20)
+        std = r.choice([0.0, 3.5, 12.0, 40.0], len(seq)).tolist()
+        end = [a + len(x) for a, x in zip(start, seq)]
+        order = sorted(range(len(seq)), key=lambda k: (start[k], end[k], k))
+        seq, start, end, std = ([x[k] for k in order] for x in (seq, start, end, std))
+        direct = r.choice(["F", "R"], len(seq)).tolist()
+        turn = str.maketrans("ACGT", "TGCA")
+        for k, x in enumerate(seq):
+            rows.append((s, s * 1000 + k, start[k], end[k], std[k], direct[k], len(x)))
+            seqs.append((s * 1000 + k, x if direct[k] == "F" else x[::-1].translate(turn)))
+        for u in plain_chain(seq, start, end, std, 15.0):
+            want.append((s, "+".join(str(s * 1000 + k) for k in u[0]), u[1], u[2], round(u[3], 9), direct[u[0][0]] if len(u[0]) == 1 else "F", u[4]))
+    lay = spark.createDataFrame(rows, "scaffold_id long, contig_id long, start double, end double, std double, direct string, len long")
+    got = merge.merged_units(lay, spark.createDataFrame(seqs, "contig_id long, seq string"), 15.0).collect()
+    assert sorted((x.scaffold_id, x.ids, x.start, x.end, round(x.std, 9), x.direct, x.seq) for x in got) == sorted(want)
+    assert any(len(x.ids.split("+")) > 3 for x in got) and len(got) < len(rows)
+
+
+def table_of(a, b, low, high):
+    """The full table of best local scores that end at each cell of the band."""
+    n, m = len(a), len(b)
     h = np.zeros((n + 1, m + 1), int)
+    ok = lambda p, q: n - high <= p - q <= n - low
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            if n - high <= i - j <= n - low:
-                ok = lambda p, q: n - high <= p - q <= n - low
+            if ok(i, j):
                 h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -2), (h[i - 1, j] - 5) if ok(i - 1, j) else 0, (h[i, j - 1] - 5) if ok(i, j - 1) else 0)
-                best = max(best, h[i, j])
-    return best
+    return h
 
 
-def test_banded_alignment_scores_like_the_full_table():
+def end_to_end(a, b):
+    """Best score of a and b aligned from end to end."""
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    h[0], h[:, 0] = -5 * np.arange(len(b) + 1), -5 * np.arange(len(a) + 1)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -2), h[i - 1, j] - 5, h[i, j - 1] - 5)
+    return h[-1, -1]
+
+
+def test_banded_alignments_like_the_full_table():
     r = np.random.default_rng(5)
-    for _ in range(40):
-        a, b = ("".join(r.choice(list("ACGT"), r.integers(5, 25))) for _ in range(2))
-        assert merge.banded(a, b, 3, 12)[0] == brute_local(a, b, 3, 12)
+    pairs = []
+    for k in range(150):
+        a, b = ("".join(r.choice(list("ACGT"), r.integers(1, 45))) for _ in range(2))
+        if k % 2:  # an overlap with an edit
+            shared = list("".join(r.choice(list("ACGT"), 30)))
+            other = shared[:14] + [["", "A", "AC", "GTA"][k % 4]] + shared[14 + k % 3 :]
+            a, b = a + "".join(shared), "".join(other) + b
+        low = int(r.integers(0, 20))
+        pairs.append((a, b, low, low + int(r.integers(0, 40))))
+    pairs += [("A", "A", 0, 5), ("ACGT", "", 0, 4), ("ACGT", "ACGT", 9, 4), ("ACGTACGT", "ACGT", 30, 40)]
+    got = merge.aligned([(a.encode(), b.encode(), lo, hi) for a, b, lo, hi in pairs])
+    for (a, b, low, high), (score, i0, i1, j0, j1) in zip(pairs, got.tolist()):
+        assert merge.banded(a, b, low, high) == (score, i0, i1, j0, j1)  # alone as among others
+        h = table_of(a, b, low, high) if a and b else np.zeros((1, 1), int)
+        assert score == h.max()
+        if score:
+            i, j = min(zip(*np.nonzero(h == score)))
+            assert (i1, j1) == (i, j) and end_to_end(a[i0:i1], b[j0:j1]) >= score
+        else:
+            assert (i0, i1, j0, j1) == (0, 0, 0, 0)
 
 
 def test_config_and_evidence(spark):

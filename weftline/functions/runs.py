@@ -25,10 +25,11 @@ def _starts(c: Columns, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def by_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[Columns], Columns], schema: str | StructType, rows_out: int = 20_000) -> DataFrame:
+def by_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable, schema: str | StructType, rows_out: int = 20_000, together: int = 0) -> DataFrame:
     """f on every group of equal keys, its rows in `order`; like a grouped map, but without a data frame per group.
 
-    Columns reach f as numpy arrays; key and number columns must not be null. A group is held in one task.
+    Columns reach f as numpy arrays; key and number columns must not be null. A group is held in one task. With `together`,
+    f takes a list of groups, which have about that many rows in all, and gives a list of results.
     """
     struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
@@ -62,9 +63,24 @@ def by_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[Colum
             if held:
                 yield from groups(pa.Table.from_batches(held))
 
-        for g in whole():
-            parts.append(f(g))
-            n += len(parts[-1][arrow.names[0]])
+        def results() -> Iterator[Columns]:
+            if not together:
+                yield from map(f, whole())
+                return
+            some: list[Columns] = []
+            held_rows = 0
+            for g in whole():
+                some.append(g)
+                held_rows += len(g[keys[0]])
+                if held_rows >= together:
+                    yield from f(some)
+                    some, held_rows = [], 0
+            if some:
+                yield from f(some)
+
+        for part in results():
+            parts.append(part)
+            n += len(part[arrow.names[0]])
             if n >= rows_out:
                 yield batch(parts)
                 parts, n = [], 0

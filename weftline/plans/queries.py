@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline import fixtures as fx
@@ -766,17 +766,49 @@ def merge_eligibility(spark, sf_dir):
     return merge.eligible(merge.overlap_bounds(Data(spark, sf_dir).layout, 15)).select("c1", "c2", "truncate")
 
 
-@query(f"with {SEQ} select doc_id scaffold_id, doc_id * 1000 contig_id, sha256(seq) sha, len(seq) len from seqs where len(seq) >= 1")
+#: Sequences without repeats, as long as a document, made from its text's hash; cut every 200 bases into fragments of 300 (the
+#: last takes the rest). Between neighbours something is planted, by a hash of the place:
+#: 0 nothing; 1 three mismatches; 2 one to three bases lost; 3 one to three added; 4 the left one's last 12 bases lost to N;
+#: 5 the same with 30 (refused); 6 the right one's first 12 lost; 7 the same with 30 (refused); 8 no base in common (refused);
+#: 9 places 40 bases off, beyond the band (refused). All other places are off by up to 10 bases, within the band of 15.
+MERGE_SQL = """
+with hashed as (select doc_id, strlen(coalesce(text, '')) size, sha256(coalesce(text, '')) h from documents where strlen(coalesce(text, '')) > 0),
+texts as (select doc_id, size, left(translate(array_to_string(list_transform(range(0, (size + 63) // 64), lambda i: sha256(h || ':' || i)), ''), '0123456789abcdef', 'ACGTACGTACGTACGT'), size) seq from hashed),
+cuts as (select *, unnest(range(0, greatest((size - 100) // 200, 1))) i, greatest((size - 100) // 200, 1) n from texts),
+kinds as (select *, case when i < n - 1 then ('0x' || left(sha256(doc_id || ':' || i), 6))::bigint % 10 else -1 end kind from cuts),
+placed as (select *, case when i < n - 1 then 300 else size - 200 * i end len, coalesce(lag(kind) over (partition by doc_id order by i), -1) before from kinds),
+units as (select *, sum(case when before in (0, 1, 2, 3, 4, 6) then 0 else 1 end) over (partition by doc_id order by i) unit from placed),
+given as (select *, case before when 6 then repeat('W', 12) || substr(seq, 200 * i + 13, 88) when 7 then repeat('W', 30) || substr(seq, 200 * i + 31, 70) else substr(seq, 200 * i + 1, 100) end first100,
+  case kind when 5 then substr(seq, 200 * i + 201, 70) || repeat('N', 30) when 8 then repeat('N', 100) else substr(seq, 200 * i + len - 99, 100) end last100 from units)
+select doc_id scaffold_id, cast(doc_id * 1000000 + min(i) as bigint) contig_id, count(*) fragments, cast(200 * (max(i) - min(i)) + arg_max(len, i) as bigint) len,
+  sha256(case when max(n) = 1 then any_value(seq) else arg_min(first100, i) || substr(any_value(seq), 200 * min(i) + 101, 200 * (max(i) - min(i)) + arg_max(len, i) - 200) || arg_max(last100, i) end) sha
+from given group by doc_id, unit"""
+
+
+@query(MERGE_SQL)
 def overlap_merge(spark, sf_dir):
-    """Every whole sequence cut into fragments of 200 bases that share 60 with the next, every second one turned round: merged,
-    it is the sequence again. Places are exact, as repeats in a text would fit other overlaps as well."""
-    d = Data(spark, sf_dir).documents().where(F.length("seq") >= 1)
-    last = F.greatest(F.ceil((F.length("seq") - 200) / 140), F.lit(0)).cast("int")
-    cut = d.select(F.col("doc_id").alias("scaffold_id"), "seq", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    cut = cut.select("scaffold_id", (F.col("scaffold_id") * 1000 + F.col("i")).alias("contig_id"), (F.col("i") * 140.0).alias("start"), F.when(F.col("i") % 2 == 1, "R").otherwise("F").alias("direct"), F.expr("substring(seq, i * 140 + 1, 200)").alias("text"))
-    seqs = cut.select("contig_id", F.when(F.col("direct") == "R", sequence.revcomp(F.col("text"))).otherwise(F.col("text")).alias("seq"))
-    lay = cut.select("scaffold_id", "contig_id", "start", (F.col("start") + F.length("text")).alias("end"), "direct", F.lit(0.0).alias("std"))
-    return merge.merged_units(lay, seqs, 0.0).select("scaffold_id", "contig_id", F.sha2("seq", 256).alias("sha"), F.length("seq").cast("long").alias("len"))
+    """Fragments of every document's sequence with planted edits, merged; every second one is turned round."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("octet_length(text) > 0")
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", F.expr("octet_length(text) size"), F.sha2("text", 256).alias("h"))
+    blocks = "array_join(transform(sequence(0, div(size + 63, 64) - 1), i -> sha2(concat(h, ':', i), 256)), '')"
+    d = d.select("doc_id", "size", F.expr(f"left(translate({blocks}, '0123456789abcdef', 'ACGTACGTACGTACGT'), size)").alias("seq"), F.expr("greatest(div(size - 100, 200), 1)").alias("n"))
+    kind = lambda i: f"case when {i} between 0 and n - 2 then cast(conv(left(sha2(concat(doc_id, ':', {i}), 256), 6), 16, 10) as bigint) % 10 else -1 end"
+    jitter = lambda i: f"cast(conv(substring(sha2(concat(doc_id, ':', {i}), 256), 7, 6), 16, 10) as bigint) % 11 - 5"
+    cut = d.select("*", F.expr("explode(sequence(0, cast(n as int) - 1)) i")).withColumn("kind", F.expr(kind("i"))).withColumn("prior", F.expr(kind("(i - 1)")))
+    cut = cut.withColumn("part", F.expr("substring(seq, 200 * i + 1, cast(if(i < n - 1, 300, size - 200 * i) as int))")).withColumn("k", F.expr("cast(1 + i % 3 as int)"))
+    first = "case prior when 6 then concat(repeat('W', 12), substring(part, 13)) when 7 then concat(repeat('W', 30), substring(part, 31)) else part end"
+    last = """case kind when 1 then concat(left(part, 235), 'N', substring(part, 237, 9), 'N', substring(part, 247, 9), 'N', substring(part, 257))
+      when 2 then concat(left(part, 250), substring(part, 251 + k)) when 3 then concat(left(part, 250), repeat('N', k), substring(part, 251))
+      when 4 then concat(left(part, 288), repeat('N', 12)) when 5 then concat(left(part, 270), repeat('N', 30)) when 8 then concat(left(part, 200), repeat('N', 100)) else part end"""
+    cut = cut.withColumn("part", F.expr(first)).withColumn("part", F.expr(last))
+    # fragments lie where they are, off by some bases, and by 40 more from one that its left neighbour must not reach
+    moved = F.sum(F.when(F.col("prior") == 9, 40).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("i"))
+    cut = cut.select(F.col("doc_id").alias("scaffold_id"), F.expr("doc_id * 1000000 + i").alias("contig_id"), (F.col("i") * 200.0 + F.expr(jitter("i")) + moved).alias("start"), F.when(F.col("i") % 2 == 1, "R").otherwise("F").alias("direct"), F.lit(0.0).alias("std"), "part")
+    cut = checkpointed(cut)
+    seqs = cut.select("contig_id", F.when(F.col("direct") == "R", sequence.revcomp(F.col("part"))).otherwise(F.col("part")).alias("seq"))
+    lay = cut.select("scaffold_id", "contig_id", "start", (F.col("start") + F.length("part")).alias("end"), "direct", "std")
+    units = merge.merged_units(lay, seqs, 15.0)
+    return units.select("scaffold_id", "contig_id", F.size(F.split("ids", "\\+")).cast("long").alias("fragments"), F.length("seq").cast("long").alias("len"), F.sha2("seq", 256).alias("sha"))
 
 
 # ---- robust statistics ----------------------------------------------------------------------------------------
