@@ -224,8 +224,6 @@ COUNTED, OFTEN = int(0.4 * 2**64), (SMALL, 512)
 #: Partners that a row of a long bucket lists in the first round, and how many times more in each further one; pairs that a task
 #: looks at together (these bound its memory).
 FEW, MORE, PAIRS_AT_ONCE = 4, 8, 200_000
-#: Listed pairs that one task decides: a few pairs take a few tasks, whatever the number of shuffle partitions.
-TASK_PAIRS = 50_000
 _word_hash: dict[bytes, int] = {}
 
 
@@ -524,8 +522,7 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
             a, b = (rows.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}")) for c in ("src", "dst"))
             pairs = cut(pairs.join(a, "src").join(b, "dst").where(may("b_src", "b_dst", "n_src", "n_dst")).select("src", "dst"))
             release(spark)
-        many = pairs.count()
-        pairs = narrowed(pairs, many, TASK_PAIRS)
+        pairs = narrowed(pairs, pairs.count())
         # only sets that take part are dealt out: a filter of fixed size, whose false hits cost a row each
         wanted = spark.sparkContext.broadcast(filters(pairs.select(F.explode(F.array("src", "dst")).alias("h"), F.lit(0).alias("level")), 1)[0])
 
@@ -535,7 +532,7 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
 
         used = cut(rows.select("rid", "s").mapInArrow(chosen, "rid long, s binary"))
         a, b = (used.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
-        out = cut(narrowed(pairs.join(a, "src").join(b, "dst").where(same("s_src", "s_dst")).select("src", "dst"), many, TASK_PAIRS))
+        out = cut(pairs.join(a, "src").join(b, "dst").where(same("s_src", "s_dst")).select("src", "dst"))
         release(spark)
         return out
 
@@ -547,9 +544,8 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     hot = met.where("dst < 0").select("key", F.col("src").alias("rid"), "pos")
     if hot.isEmpty():
         return found
-    crowded = hot.count()
-    hot = narrowed(hot, crowded)
-    side = cut(narrowed(rows.select("rid", "n", "bits").join(hot.select("rid").distinct(), "rid"), crowded, TASK_PAIRS))
+    hot = narrowed(hot, hot.count())
+    side = cut(rows.select("rid", "n", "bits").join(hot.select("rid").distinct(), "rid"))
     few, new, comp = FEW, found, None
     while True:
         # what is connected already counts as links to the component's smallest number
@@ -557,7 +553,7 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
         comp = connected_components(edges)
         release(spark)
         now = side.join(comp, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("component", "rid").alias("component"), "n", "bits")
-        crowd = hot.join(cut(narrowed(now, crowded, TASK_PAIRS)), "rid").select("key", "rid", "component", "n", "pos", "bits")
+        crowd = hot.join(cut(now), "rid").select("key", "rid", "component", "n", "pos", "bits")
         listed = cut(crowd.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, f=_cross_pairs(few): _runs(b, f), "src long, dst long").distinct())
         release(spark)
         fresh = cut(listed.where("dst >= 0").join(tried, ["src", "dst"], "left_anti"))
