@@ -24,7 +24,8 @@ TASK_EDGES = 250_000
 
 
 def narrowed(df: DataFrame, rows: int, per_task: int = TASK_EDGES) -> DataFrame:
-    """df, known to have at most so many rows, in no more partitions than these fill."""
+    """A written df of so many rows, read in no more partitions than these fill. (Not for what a shuffle gives: the sorts of
+    all merged partitions would share one task's memory.)"""
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
@@ -45,13 +46,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     loops = all_edges.where("lo = hi").select(F.col("lo").alias("node")).distinct()
     e, before = _signed(all_edges.where("lo < hi").distinct())
     while before[0]:
-        e = narrowed(e, before[0])  # no round has more edges than the one before it
+        e = narrowed(e, before[0])
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("m < v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(low, "hi").where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        e, after = _signed(narrowed(moved.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct(), before[0]))
+        e, after = _signed(moved.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct())
         if after == before:
             break
         before = after
