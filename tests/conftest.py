@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+# BLAS threads do not live through the fork that starts the JVM: a large product would wait for them for ever.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")

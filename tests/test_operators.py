@@ -119,6 +119,116 @@ def test_levelled_matrix_solves_like_one_block():
     assert np.allclose(regress.difference_variance(many, i, j, w, v, p, q), cov[p, p] + cov[q, q] - 2 * cov[p, q])
 
 
+def literal_fit(nodes, rows, votes, tolerance, min_links, strict=True):
+    """Trimming by its definition on dense matrices: a design matrix with a first row that holds node 0, pseudo-inverses, the order
+    statistic of all residuals, and a new start for every part that falls off. {node: (scaffold, x, orient)} and kept rows."""
+    out, kept = {}, []
+
+    def go(own):
+        own = sorted(own)
+        if len(own) == 1:
+            out[own[0]] = (own[0], 0.0, 1)
+            return
+        inside = [(own.index(a), own.index(b), p, q) for a, b, p, q in votes if a in own and b in own]
+        d = regress.orient(len(own), inside, min_links)
+        lines = [(own.index(a), own.index(b), y * d[own.index(a)], w, r) for r, (a, b, c, y, w, _) in enumerate(rows) if a in own and b in own and c == d[own.index(a)] * d[own.index(b)]]
+        x = np.zeros((len(lines) + 1, len(own)))
+        x[0, 0] = 1
+        for k, (i, j, *_) in enumerate(lines, 1):
+            x[k, i], x[k, j] = -1, 1
+        y, w = np.array([0.0, *(t[2] for t in lines)]), np.array([100.0, *(t[3] for t in lines)])
+        keep, step = np.ones(len(y), bool), max(1, int(np.floor(len(y) * 0.01)))
+        for it in range(1, 300):
+            parts = regress.parts_of(len(own), np.array([t[0] for t, k in zip(lines, keep[1:]) if k], int), np.array([t[1] for t, k in zip(lines, keep[1:]) if k], int))
+            if len(parts) > 1:
+                for p in parts:
+                    go([own[q] for q in p])
+                return
+            m = x[keep]
+            sol = np.linalg.pinv(m.T @ (w[keep, None] * m)) @ m.T @ (w[keep] * y[keep])
+            err = np.abs(x @ sol - y)
+            if err[keep].max() <= tolerance:
+                out.update({n: (own[0], s, int(o)) for n, s, o in zip(own, sol, d)})
+                kept.extend(t[4] for t, k in zip(lines, keep[1:]) if k)
+                return
+            if step * it >= len(lines):
+                break
+            bound = np.sort(err)[len(y) - step * it]
+            keep = err < bound if strict else err <= bound
+            keep[0] = True
+            if not keep[1:].any():
+                break
+        out.update({n: (n, 0.0, 1) for n in own})
+
+    for p in regress.parts_of(len(nodes), np.array([nodes.index(r[0]) for r in rows], int), np.array([nodes.index(r[1]) for r in rows], int)):
+        go([nodes[q] for q in p])
+    return out
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_trimming_follows_its_definition(strict):
+    r = np.random.default_rng(8)
+    seen = set()
+    for case in range(25):
+        n, turn = 14, r.choice([-1, 1], 14)
+        rows, votes = [], []
+        for a in range(n):
+            for b in (a + 1, a + 2):
+                if b < n and not (case % 3 == 1 and a < 7 <= b):
+                    for _ in range(int(r.integers(2, 9))):
+                        away = 9000.0 * r.random() if r.random() < 0.06 else 0.0
+                        rows.append((a, b, int(turn[a] * turn[b]), float(turn[a] * (700.0 * (b - a) + r.normal() * 20 + away)), float(r.uniform(1, 9)), float(r.uniform(1, 5))))
+                    votes.append((a, b, *((9, 0) if turn[a] * turn[b] > 0 else (0, 9))))
+        if case % 3 == 1:  # two halves that only conflicting rows join
+            rows += [(5, 8, int(turn[5] * turn[8]), float(turn[5] * (2100.0 + off)), w, 2.0) for off, w in ((0.0, 2.0), (6000.0, 1.0))]
+            votes.append((5, 8, *((9, 0) if turn[5] * turn[8] > 0 else (0, 9))))
+        if case % 5 == 4:  # nothing fits
+            rows = [(a, b, c, float(r.uniform(-9e4, 9e4)), w, v) for a, b, c, _, w, v in rows]
+        table = pd.DataFrame(rows, columns=["c1", "c2", "cons", "y", "w", "v"])
+        said = pd.DataFrame(votes, columns=["c1", "c2", "n_pos", "n_neg"])
+        got = {x["node"]: x for x in regress.fit(list(range(n)), table, said, 100.0, 5, strict)}
+        want = literal_fit(list(range(n)), rows, votes, 100.0, 5, strict)
+        assert {k: (v["scaffold"], v["orient"]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()}
+        assert all(abs(got[k]["x"] - want[k][1]) < 1e-6 for k in want)
+        seen.add(len({v[0] for v in want.values()}))
+    assert len(seen) > 1  # whole ones and parts
+
+
+def test_refits_with_few_changes_equal_new_factors():
+    r = np.random.default_rng(3)
+    n = 300
+    i, j = np.arange(n - 1), np.arange(1, n)
+    a = r.integers(0, n - 7, 400)
+    i, j = np.r_[i, a], np.r_[j, a + r.integers(1, 7, 400)]
+    y, w = r.normal(size=len(i)) * 9, r.uniform(0.5, 4, len(i))
+    fits, keep = regress.Refit(n, i, j, y, w), np.ones(len(i), bool)
+    for step in range(30):
+        x = regress.solve(n, i[keep], j[keep], y[keep], w[keep])[0]
+        assert np.abs(fits.solve(keep) - x).max() < 1e-8
+        keep = keep.copy()
+        keep[r.integers(n - 1, len(i), 4)] ^= True
+    assert 1 < fits.factored < 10
+
+
+def test_spread_of_gaps_on_chains_and_far_pairs():
+    r = np.random.default_rng(4)
+    n = 400
+    i, j = np.repeat(np.arange(n - 1), 3), np.repeat(np.arange(1, n), 3)
+    w, v = r.uniform(0.5, 3, len(i)), r.uniform(1, 9, len(i))
+    a = regress.NormalMatrix(n, i, j, w)
+    by = lambda t: t.reshape(-1, 3).sum(axis=1)
+    assert np.allclose(regress.difference_variance(a, i, j, w, v, np.arange(n - 1), np.arange(1, n)), by(w * w * v) / by(w) ** 2)
+    p, q = np.array([0, 10, 300]), np.array([7, 399, 302])  # no row joins these
+    cov = regress.covariance(n, i, j, w, v, a)
+    assert np.allclose(regress.difference_variance(a, i, j, w, v, p, q), cov[p, p] + cov[q, q] - 2 * cov[p, q])
+
+
+def test_draws_are_followed_between_fragments_only():
+    votes = [(0, 1, 9, 9), (1, 2, 0, 9), (0, 3, 0, 9)]
+    assert regress.orient(4, votes, 5).tolist() == [1, 1, -1, -1]
+    assert regress.orient(4, votes, 5, draws=False).tolist() == [1, 1, 1, -1] or regress.orient(4, votes, 5, draws=False).tolist() == [1, -1, 1, -1]
+
+
 def no_votes():
     return pd.DataFrame({"c1": [], "c2": [], "n_pos": [], "n_neg": []})
 

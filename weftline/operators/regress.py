@@ -20,11 +20,11 @@ from weftline.functions.runs import by_runs
 from .components import checkpointed
 
 
-def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_field: bool = False) -> np.ndarray:
+def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_field: bool = False, draws: bool = True) -> np.ndarray:
     """+1 / -1 per node 0..n-1 from votes (i, j, pos, neg): heaviest-first search from node 0, then single flips.
 
-    A vote's sign counts in the search when its stronger side has over min_links votes (a draw counts as +1);
-    nodes it does not reach are +1. Flips follow the field d_i * sum over j > i of J_ij d_j (with full_field, over
+    A vote's sign counts in the search when its stronger side has over min_links votes; a draw counts as +1 with `draws`
+    (between fragments), and is not followed without (between scaffolds). Nodes it does not reach are +1. Flips follow the field d_i * sum over j > i of J_ij d_j (with full_field, over
     all j), the most negative first, while the sum of J d d grows. Ties: the smallest node.
     """
     d = np.ones(n, int)
@@ -35,7 +35,7 @@ def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_
     for i, j, pos, neg in votes:
         weight, total = max(pos, neg), pos - neg
         for a, b in ((i, j), (j, i)):
-            if weight > min_links:
+            if weight > min_links and (total or draws):
                 near[a].append((-weight, b, 1 if total >= 0 else -1))
             around[a].append((b, total))
     for x in near:
@@ -111,29 +111,63 @@ class NormalMatrix:
         self.order = np.argsort(level, kind="stable")[1:]
         ends = np.flatnonzero(np.diff(level[self.order])) + 1
         self.cuts = [0, *ends.tolist(), n - 1]
-        at = np.full(n, -1)
-        at[self.order] = np.arange(n - 1)
-        a, b = at[i], at[j]
-        diagonal = np.bincount(np.r_[a, b][np.r_[a, b] >= 0], np.r_[w, w][np.r_[a, b] >= 0], n - 1)
+        self.place = np.full(n, -1)
+        self.place[self.order] = np.arange(n - 1)
+        own, self.below = self.blocks(i, j, w)
+        self.inverse, self.carry = [], []
+        for k, s in enumerate(own):
+            if k:
+                self.carry.append(self.below[k - 1] @ self.inverse[-1])
+                s = s - self.carry[-1] @ self.below[k - 1].T
+            self.inverse.append(np.linalg.inv(s))
+
+    def blocks(self, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """X'WX of any rows between these levels: the blocks on the diagonal, and those below."""
+        a, b = self.place[i], self.place[j]
+        diagonal = np.bincount(np.r_[a, b][np.r_[a, b] >= 0], np.r_[w, w][np.r_[a, b] >= 0], self.n - 1)
         both = (a >= 0) & (b >= 0)
         low, high, w = np.minimum(a, b)[both], np.maximum(a, b)[both], w[both]
         by = np.argsort(high, kind="stable")
         low, high, w = low[by], high[by], w[by]
-        self.inverse, self.carry, self.below = [], [], []
+        on, below = [], []
         for k, (lo, hi) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
             r = slice(*np.searchsorted(high, [lo, hi]))
             s = np.diag(diagonal[lo:hi])
             own = low[r] >= lo
             np.add.at(s, (high[r][own] - lo, low[r][own] - lo), -w[r][own])
             np.add.at(s, (low[r][own] - lo, high[r][own] - lo), -w[r][own])
+            on.append(s)
             if k:
                 before = self.cuts[k - 1]
                 e = np.zeros((hi - lo, lo - before))
                 np.add.at(e, (high[r][~own] - lo, low[r][~own] - before), -w[r][~own])
-                self.below.append(e)
-                self.carry.append(e @ self.inverse[-1])
-                s = s - self.carry[-1] @ e.T
-            self.inverse.append(np.linalg.inv(s))
+                below.append(e)
+        return on, below
+
+    def sandwich(self, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The blocks on and below the diagonal of A^-1 (X'WX) A^-1 for any rows between these levels.
+
+        It is minus the derivative of (A + t X'WX)^-1 at t = 0, so the recursions for the inverse's own blocks (forward
+        for the factors, backward for the inverse) are carried on with their derivatives; no other entry is formed.
+        """
+        d_on, d_below = self.blocks(i, j, w)
+        p, e, count = self.inverse, self.below, len(self.inverse)
+        dp = []
+        for k in range(count):
+            ds = d_on[k]
+            if k:
+                f = d_below[k - 1] @ p[k - 1] @ e[k - 1].T
+                ds = ds - f - f.T - e[k - 1] @ dp[k - 1] @ e[k - 1].T
+            dp.append(-p[k] @ ds @ p[k])
+        g, dg = p[-1], dp[-1]
+        on, below = [-dg], []
+        for k in range(count - 2, -1, -1):
+            m, dm = e[k] @ p[k], d_below[k] @ p[k] + e[k] @ dp[k]
+            below.append(dg @ m + g @ dm)
+            dg = dp[k] + dm.T @ g @ m + m.T @ dg @ m + m.T @ g @ dm
+            g = p[k] + m.T @ g @ m
+            on.append(-dg)
+        return on[::-1], below[::-1]
 
     def solve(self, b: np.ndarray) -> np.ndarray:
         """A^-1 b with 0 for node 0, for one right side or several columns."""
@@ -173,17 +207,93 @@ def solve(n: int, i: np.ndarray, j: np.ndarray, y: np.ndarray, w: np.ndarray) ->
     return a.solve(np.bincount(j, w * y, n) - np.bincount(i, w * y, n)), a
 
 
+class Refit:
+    """Solutions for a set of rows that changes a little from one to the next.
+
+    The matrix is factored once; rows that have come or gone since are corrections of rank one, of which each needs one
+    more solution with the factor, kept while the factor is (Woodbury's formula, and one step of refinement). With more than
+    MOST changes the matrix is factored anew.
+    """
+
+    MOST = 64
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, y: np.ndarray, w: np.ndarray):
+        self.n, self.i, self.j, self.y, self.w = n, i, j, y, w
+        self.base: np.ndarray | None = None
+        self.factored = 0
+
+    def factor(self, keep: np.ndarray) -> NormalMatrix:
+        """The factor of exactly these rows."""
+        if self.base is None or (keep != self.base).any():
+            self.base, self.a = keep.copy(), NormalMatrix(self.n, self.i[keep], self.j[keep], self.w[keep])
+            self.at, self.z = {}, np.zeros((self.n, 0))
+            self.factored += 1
+        return self.a
+
+    def solve(self, keep: np.ndarray) -> np.ndarray:
+        i, j = self.i, self.j
+        wy = np.where(keep, self.w * self.y, 0.0)
+        b = np.bincount(j, wy, self.n) - np.bincount(i, wy, self.n)
+        changed = np.flatnonzero(keep != self.base) if self.base is not None else np.zeros(0, int)
+        if self.base is None or len(changed) > self.MOST:
+            return self.factor(keep).solve(b)
+        if not len(changed):
+            return self.a.solve(b)
+        new = [r for r in changed.tolist() if r not in self.at]
+        if new:
+            u = np.zeros((self.n, len(new)))
+            u[j[new], np.arange(len(new))] += 1
+            u[i[new], np.arange(len(new))] -= 1
+            self.at |= {r: self.z.shape[1] + c for c, r in enumerate(new)}
+            self.z = np.hstack([self.z, self.a.solve(u)])
+        z = self.z[:, [self.at[r] for r in changed.tolist()]]
+        sign = np.where(keep[changed], 1.0, -1.0) / self.w[changed]
+        small = np.diag(sign) + z[j[changed]] - z[i[changed]]
+
+        def corrected(right: np.ndarray) -> np.ndarray:
+            x = self.a.solve(right)
+            return x - z @ np.linalg.solve(small, x[j[changed]] - x[i[changed]])
+
+        x = corrected(b)
+        flow = np.where(keep, self.w * (x[j] - x[i]), 0.0)
+        rest = b - np.bincount(j, flow, self.n) + np.bincount(i, flow, self.n)
+        rest[0] = 0.0
+        return x + corrected(rest)
+
+
 def difference_variance(a: NormalMatrix, i: np.ndarray, j: np.ndarray, w: np.ndarray, v: np.ndarray, p: np.ndarray, q: np.ndarray, step: int = 64) -> np.ndarray:
-    """Variance of x_q - x_p under the covariance A^-1 (X' W V W X) A^-1, a few columns at a time."""
+    """Variance of x_q - x_p under the covariance A^-1 (X' W V W X) A^-1.
+
+    Pairs within a level or in neighbouring ones read it from the blocks of the covariance that the factor gives; for
+    others, which no row joins, a column each is solved, a few at a time.
+    """
     out = np.zeros(len(p))
-    for at in range(0, len(p), step):
-        cols = np.arange(len(p[at : at + step]))
+    if not len(p):
+        return out
+    on, below = a.sandwich(i, j, w * w * v)
+    block = np.searchsorted(a.cuts, np.arange(a.n - 1), side="right") - 1
+    diagonal = np.r_[np.concatenate([np.diag(c) for c in on]), 0.0]  # the last for node 0, which is held
+    x, y = np.minimum(a.place[p], a.place[q]), np.maximum(a.place[p], a.place[q])
+    out = diagonal[a.place[p]] + diagonal[a.place[q]]
+    far = np.zeros(len(p), bool)
+    for at in np.flatnonzero(x >= 0).tolist():
+        kx, ky = block[x[at]], block[y[at]]
+        if ky == kx:
+            out[at] -= 2 * on[kx][x[at] - a.cuts[kx], y[at] - a.cuts[kx]]
+        elif ky == kx + 1:
+            out[at] -= 2 * below[kx][y[at] - a.cuts[ky], x[at] - a.cuts[kx]]
+        else:
+            far[at] = True
+    others = np.flatnonzero(far)
+    for at in range(0, len(others), step):
+        own = others[at : at + step]
+        cols = np.arange(len(own))
         b = np.zeros((a.n, len(cols)))
-        b[p[at : at + step], cols] -= 1
-        b[q[at : at + step], cols] += 1
+        b[p[own], cols] -= 1
+        b[q[own], cols] += 1
         z = a.solve(b)
-        out[at : at + step] = ((w * w * v)[:, None] * (z[j] - z[i]) ** 2).sum(axis=0)
-    return out
+        out[own] = ((w * w * v)[:, None] * (z[j] - z[i]) ** 2).sum(axis=0)
+    return np.maximum(out, 0.0)
 
 
 def covariance(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, v: np.ndarray, a: NormalMatrix | None) -> np.ndarray:
@@ -213,7 +323,7 @@ def parts_of(n: int, i: np.ndarray, j: np.ndarray) -> list[list[int]]:
     return out
 
 
-def fit(nodes: list[int], rows: Mapping, votes: Mapping, tolerance: float, min_links: int, strict: bool = True, max_fits: int = 299, lengths: Mapping[int, float] | None = None) -> list[dict]:
+def fit(nodes: list[int], rows: Mapping, votes: Mapping, tolerance: float, min_links: int, strict: bool = True, max_fits: int = 299, lengths: Mapping[int, float] | None = None, draws: bool = True) -> list[dict]:
     """Layouts of one component: list of {scaffold, node, x, orient, std}.
 
     Work list of node sets. A set is oriented, rows consistent with the orientation (cons = o1 o2) are taken, with
@@ -241,7 +351,7 @@ def fit(nodes: list[int], rows: Mapping, votes: Mapping, tolerance: float, min_l
             single(int(own[0]))
             continue
         inside = np.isin(va, own) & np.isin(vb, own)
-        d = orient(n, list(zip(np.searchsorted(own, va[inside]).tolist(), np.searchsorted(own, vb[inside]).tolist(), pos[inside].tolist(), neg[inside].tolist())), min_links)
+        d = orient(n, list(zip(np.searchsorted(own, va[inside]).tolist(), np.searchsorted(own, vb[inside]).tolist(), pos[inside].tolist(), neg[inside].tolist())), min_links, draws=draws)
         take = np.flatnonzero(np.isin(c1, own) & np.isin(c2, own))
         i, j = np.searchsorted(own, c1[take]), np.searchsorted(own, c2[take])
         ok = cons[take] == d[i] * d[j]
@@ -249,7 +359,9 @@ def fit(nodes: list[int], rows: Mapping, votes: Mapping, tolerance: float, min_l
         y, w, v = y0[take] * d[i], w0[take], v0[take]
         keep, m = np.ones(len(take), bool), len(take)
         pair = np.unique(np.minimum(i, j) * n + np.maximum(i, j), return_inverse=True)[1]
-        k, done, pairs = max(1, m // 100), False, -1
+        # the row that holds the first node counts among the rows, as one without residual
+        k, done, pairs = max(1, math.floor((m + 1) * 0.01)), False, -1
+        fits = Refit(n, i, j, y, w)
         for it in range(1, max_fits + 1):
             left = int((np.bincount(pair[keep], minlength=1) > 0).sum())
             if left != pairs:  # only the loss of a pair's last row can disconnect
@@ -258,13 +370,13 @@ def fit(nodes: list[int], rows: Mapping, votes: Mapping, tolerance: float, min_l
                     work += [own[p] for p in parts]
                     done = True
                     break
-            x, a = solve(n, i[keep], j[keep], y[keep], w[keep])
+            x = fits.solve(keep)
             r = np.abs(x[j] - x[i] - y)
             if r[keep].max() <= tolerance:
                 length = np.array([lengths[int(c)] for c in own]) if lengths else np.zeros(n)
                 place = np.lexsort((own, np.where(d > 0, x + length, x), np.where(d > 0, x, x - length)))
                 std = np.zeros(n)
-                std[place[:-1]] = np.sqrt(difference_variance(a, i[keep], j[keep], w[keep], v[keep], place[:-1], place[1:]))
+                std[place[:-1]] = np.sqrt(difference_variance(fits.factor(keep), i[keep], j[keep], w[keep], v[keep], place[:-1], place[1:]))
                 out += [{"scaffold": int(own[0]), "node": int(own[p]), "x": float(x[p]), "orient": int(d[p]), "std": float(std[p])} for p in range(n)]
                 done = True
                 break
@@ -336,7 +448,7 @@ def _gathered(comp: DataFrame, votes: DataFrame, rows: DataFrame | None = None,
     return out.unionByName(v)
 
 
-def regress(comp: DataFrame, rows: DataFrame, votes: DataFrame, tolerance: float, min_links: int, strict: bool = True, cap: int = 3000, contigs: DataFrame | None = None) -> DataFrame:
+def regress(comp: DataFrame, rows: DataFrame, votes: DataFrame, tolerance: float, min_links: int, strict: bool = True, cap: int = 3000, contigs: DataFrame | None = None, draws: bool = True) -> DataFrame:
     """Solve every component (node, component) from its cluster rows and votes: SOLVED."""
     comp = bounded_pieces(comp, rows, cap)
 
@@ -344,7 +456,7 @@ def regress(comp: DataFrame, rows: DataFrame, votes: DataFrame, tolerance: float
         node, row, vote = (g["kind"] == k for k in (NODE, ROW, VOTE))
         obs = {c: g[c][row] for c in ("c1", "c2", "cons", "y", "w", "v")}
         said = {"c1": g["c1"][vote], "c2": g["c2"][vote], "n_pos": g["w"][vote], "n_neg": g["v"][vote]}
-        got = fit(g["c1"][node].tolist(), obs, said, tolerance, min_links, strict, lengths=dict(zip(g["c1"][node].tolist(), g["w"][node].tolist())))
+        got = fit(g["c1"][node].tolist(), obs, said, tolerance, min_links, strict, lengths=dict(zip(g["c1"][node].tolist(), g["w"][node].tolist())), draws=draws)
         col = lambda k, kind: np.array([r[k] for r in got], kind)
         return {"scaffold_id": col("scaffold", np.int64), "contig_id": col("node", np.int64), "x": col("x", float), "orient": col("orient", np.int32), "std": col("std", float)}
 

@@ -321,6 +321,67 @@ def regress_layout(spark, sf_dir):
     return near_truth(scaffolding.contig_layout(d.obs, d.libraries, d.contigs, scaffolding.Options())[0])
 
 
+# ---- regression that trims --------------------------------------------------------------------------------------
+#: Every row of lineitem is a cluster row of one of a chain's edges: blocks of 256 rows are components of twelve fragments, some
+#: turned round. Distances have noise of up to 25, and by the number of the block
+#: 0 nothing else (nor has the last block, which takes what is left over); 1 outliers of 3000 and more, about four a block; 2 an
+#: edge in the middle with two rows only, 4000 apart; 3 two fragments whose rows say 0 and 5000 by turns.
+TRIM_ROWS = """
+select block, kind, e, r, d1, d1 * d2 cons, m, w, 1.0 + l_partkey % 5 v, case when kind = 3 then 5000.0 * (r % 2) else 600.0 + 10 * e + l_quantity - 25 + case when kind = 1 and l_partkey % 61 = 0 then 3000 + 100 * (l_suppkey % 7)
+    when kind = 2 and e = 5 and r = 16 then 4000 else 0 end end y
+from (select *, case when e > 0 and (e * 5 + block) % 3 = 0 then -1 else 1 end d1, case when (e * 5 + 5 + block) % 3 = 0 then -1 else 1 end d2, count(*) over (partition by block) m,
+    case when kind = 3 then 1.0 when kind = 2 and e = 5 then case when r = 16 then 1.0 else 2.0 end else 1.0 + l_suppkey % 7 end w
+  from (select *, case when kind = 3 then 0 when kind = 2 and r % 11 = 5 and r > 16 then 4 else r % 11 end e
+    from (select *, cast(n - 256 * block as bigint) r, case when block = most then 0 else block % 4 end kind
+      from (select *, least(cast(floor(n / 256) as bigint), most) block from numbered))))"""
+TRIM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+
+
+def trim_sql(loose: bool, rounds: int = 8) -> str:
+    """Trimming round by round in SQL. On a chain each edge's distance is the weighted mean of its kept rows, and the spread of
+    a gap follows from their weights and variances alone."""
+    steps = []
+    apart = "" if loose else "and not (kind = 2 and e = 5)"  # both rows of the middle edge are the largest residuals of the first round
+    for t in range(1, rounds + 1):
+        steps.append(f"""e{t} as (select *, abs(sum(case when keep then w * y end) over (partition by block, e) / sum(case when keep then w end) over (partition by block, e) - y) err from k{t}),
+b{t} as (select block, max(err) filter (keep) <= 100 ok, list_sort(list(err))[max(m) - greatest(1, cast(floor((max(m) + 1) * 0.01) as bigint)) * {t} + 1] bound from e{t} group by block),
+k{t + 1} as (select e{t}.* exclude (err, keep), case when ok then keep else err {"<=" if loose else "<"} bound end keep from e{t} join b{t} using (block))""")
+    return f"""with numbered as (select row_number() over (order by {', '.join(TRIM_ORDER)}) - 1 n, greatest(cast(floor(count(*) over () / 256) as bigint) - 1, 0) most, * from lineitem), chain as ({TRIM_ROWS}),
+k1 as (select *, true keep from chain where kind < 3 {apart}), {', '.join(steps)},
+gap as (select block, kind, e, any_value(d1) d1, sum(w * y) / sum(w) d, sqrt(sum(w * w * v)) / sum(w) std from k{rounds + 1} where keep group by all),
+node as (select distinct block, kind, case when kind = 2 and {'false' if loose else 'true'} and e > 5 then 6 else 0 end head, unnest([e, e + 1]) e from chain where kind < 3),
+nodes as (select distinct block, kind, case when {'false' if loose else 'kind = 2 and e > 5'} then 6 else 0 end head, e, case when e > 0 and (e * 5 + block) % 3 = 0 then -1 else 1 end turn from node),
+placed as (select n.*, case when head > 0 and (head * 5 + block) % 3 = 0 then -1 else 1 end way, coalesce((select sum(d) from gap g where g.block = n.block and g.e >= n.head and g.e < n.e), 0) x,
+  (select std from gap g where g.block = n.block and g.e = n.e and not (n.head = 0 and n.kind = 2 and n.e = 5 and {'false' if loose else 'true'})) ahead, (select std from gap g where g.block = n.block and g.e = n.e - 1 and n.e > n.head) behind from nodes n)
+select cast(block * 12 + head + 1 as bigint) scaffold_id, cast(block * 12 + e + 1 as bigint) contig_id, round(way * x, 6) x, cast(turn * way as integer) orient, round(coalesce(case when way > 0 then ahead else behind end, 0), 6) std from placed
+union all select distinct cast(block * 12 + k + 1 as bigint), cast(block * 12 + k + 1 as bigint), 0.0, 1, 0.0 from chain, (select unnest([0, 1]) k) where kind = 3"""
+
+
+def _trimmed(spark, sf_dir, strict: bool) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(TRIM_ORDER)
+    n = lines.count()
+    numbered = ordering.numbered(lines, *TRIM_ORDER).withColumn("n", F.col("n") - 1).withColumn("most", F.lit(max(n // 256 - 1, 0)).cast("long"))
+    rows = spark.sql(TRIM_ROWS.replace("from numbered", "from {numbered}"), numbered=numbered)
+    rows = checkpointed(rows.select((F.col("block") * 12 + F.col("e") + 1).cast("long").alias("c1"), (F.col("block") * 12 + F.col("e") + 2).cast("long").alias("c2"), "cons", (F.col("y") * F.col("d1")).cast("double").alias("y"), F.col("w").cast("double").alias("w"), F.col("v").cast("double").alias("v")))
+    votes = rows.groupBy("c1", "c2").agg(F.sum((F.col("cons") > 0).cast("long")).alias("n_pos"), F.sum((F.col("cons") < 0).cast("long")).alias("n_neg"))
+    comp = connected_components(rows.select(F.col("c1").alias("src"), F.col("c2").alias("dst")))
+    got = regress.regress(comp, rows, votes, 100.0, 1, strict=strict)
+    return got.withColumn("x", F.round("x", 6)).withColumn("std", F.round("std", 6))
+
+
+@query(trim_sql(False))
+def trimmed_layout(spark, sf_dir):
+    """Trimming between fragments: residuals at the bound go; a component that falls apart is solved in parts, one that never
+    meets the tolerance ends as single fragments."""
+    return _trimmed(spark, sf_dir, True)
+
+
+@query(trim_sql(True))
+def trimmed_superlayout(spark, sf_dir):
+    """The same between scaffolds: residuals at the bound stay, so the heavier of two conflicting rows is left and joins its parts."""
+    return _trimmed(spark, sf_dir, False)
+
+
 # ---- assessment -----------------------------------------------------------------------------------------------
 RESIDUALS = "res as (select r.lib, r.c1, r.c2, r.cluster, a.scaffold_id, (b.start - a.start) - r.y residual from obs_rows r join layout a on a.contig_id = r.c1 join layout b on b.contig_id = r.c2 and a.scaffold_id = b.scaffold_id where r.cons = 1)"
 

@@ -72,7 +72,7 @@ def superscaffold_round(obs: DataFrame, placed: DataFrame, max_sd: float, least:
     rows = rows.withColumn("v", F.lit(float(max_sd))).withColumn("w", F.col("n") / float(max_sd))
     sizes = flat.groupBy(F.col("scaffold_id").alias("contig_id")).agg(F.max("end").alias("len"))
     v = votes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "n_pos", "n_neg")
-    solved = regress.regress(comp, rows, v, tolerance, min(20, least), strict=False, cap=cap, contigs=sizes)
+    solved = regress.regress(comp, rows, v, tolerance, min(20, least), strict=False, cap=cap, contigs=sizes, draws=False)
     place = solved.select(F.col("contig_id").alias("scaffold_id"), F.col("scaffold_id").alias("super_id"), "orient", F.col("x").alias("pos"))
     moved = layout.shift_flip(flat, place).withColumn("scaffold_id", F.col("super_id")).drop("super_id")
     kept = flat.join(place.select("scaffold_id"), "scaffold_id", "left_anti")
