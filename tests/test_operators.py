@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import ordering, sequence, stats
 from weftline.functions.runs import by_runs
 from weftline.model import CONTIGS, LIBRARIES, PAIRS
-from weftline.operators import cluster, layout, links, longread, merge, regress
+from weftline.operators import cluster, layout, links, longread, merge, regress, superscaffold
 from weftline.operators.components import connected_components
 from weftline.plans import scaffolding
 from weftline.sources import readers, sinks
@@ -505,6 +505,51 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     assert got == {tuple(r) for r in links.link_counts(links.link_observations(spark.createDataFrame(rows, PAIRS), libs)).collect()}
 
 
+def test_fasta_pieces_across_splits(spark, tmp_path):
+    r = np.random.default_rng(2)
+    records = [("".join(r.choice(list("ACGTN"), int(n)))) for n in (0, 1, 99, 100, 101, 5000, 40_000, 0, 0, 700, 3)]
+    names = [f"r{k} > x > y" if k % 2 else f"r{k}" for k in range(len(records))]
+    lines = [x for n, q in zip(names, records) for x in [">" + n, *(q[i : i + 100] for i in range(0, len(q), 100))]]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.fa").write_text("lost before any heading\n" + "\n".join(lines) + "\n")
+    (tmp_path / "f" / "b.fa").write_text(">r1\r\nac gt\r\n\r\nNN")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("700b", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            for piece in (64, 100, 1 << 20):
+                rows = readers.fasta_pieces(spark, str(tmp_path / "f"), piece).collect()
+                assert max(len(x.seq) for x in rows) <= piece
+                by = {}
+                for x in sorted(rows, key=lambda x: (x.file, x.record, x.offset, len(x.seq))):
+                    name, text = by.setdefault((x.file[-4:], x.record), (x.name, ""))
+                    assert x.offset == len(text) and x.name == name
+                    by[x.file[-4:], x.record] = (name, text + x.seq)
+                want = {("a.fa", k + 1): (n, q) for k, (n, q) in enumerate(zip(names, records))} | {("b.fa", 1): ("r1", "acgtNN")}
+                assert by == want
+            assert sorted((x.name, x.seq) for x in readers.read_fasta(spark, str(tmp_path / "f")).collect()) == sorted([*zip(names, records), ("r1", "acgtNN")])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_the_newest_layout_of_a_fragment_counts(spark, tmp_path):
+    import os
+
+    head = "longest position is 9.0\n"
+    for k, (name, text) in enumerate((("b", "1 0.0 5.0 F 1.0 0.0 5\n2 6.0 9.0 R 1.0 0.0 3\n"), ("c", "2 0.0 3.0 F 1.0 0.0 3\n3 4.0 9.0 F 1.0 0.0 5\n"), ("a", "2 7.0 10.0 R 1.0 0.0 3\n"))):
+        (tmp_path / name).write_text(head + text)
+        os.utime(tmp_path / name, (1_700_000_000 + 10 * min(k, 1),) * 2)  # the last two at the same time: by name
+    lay = readers.read_layouts(spark, str(tmp_path))
+    assert lay.count() == 5
+    got = sorted((x.contig_id, x.scaffold_id, x.start, x.direct) for x in layout.last_wins(lay, *superscaffold.FILE).collect())
+    assert got == [(1, 1, 0.0, "F"), (2, 2, 0.0, "F"), (3, 2, 4.0, "F")]
+    obs = spark.createDataFrame([("PE", "PE", 1, 2, 1, 9.0), ("PE", "PE", 2, 3, 1, 4.0)], "lib string, lib_type string, c1 long, c2 long, cons int, diff double")
+    once = superscaffold.scaffold_offsets(obs, lay).collect()
+    assert [(x.s1, x.s2, x.diff) for x in once] == [(1, 2, 9.0)]
+
+
 # ---- places, runs, texts of a run ----
 def test_numbers_and_running_sums_agree_with_one_window(spark):
     r = np.random.default_rng(8)
@@ -514,6 +559,9 @@ def test_numbers_and_running_sums_agree_with_one_window(spark):
     assert got == {i: i + 1 for i in range(5000)}
     flags = df.withColumn("f", (F.col("line") % 7 == 0).cast("int"))
     assert {x.line: x.s for x in ordering.running_sum(flags, "f", "line", "s", block=64).collect()} == {i: i // 7 + 1 for i in range(5000)}
+    sparse = flags.withColumn("line", F.col("line") * 10**8)
+    sums = ordering.running_sum(sparse, "f", "line", "s", block=64)
+    assert {x.line: x.s for x in sums.collect()} == {i * 10**8: i // 7 + 1 for i in range(5000)}
     assert ordering.numbered(df.limit(0), "line").count() == 0
 
 

@@ -22,6 +22,10 @@ from (select cast(l_partkey+1 as bigint) c1, cast(l_partkey+3 as bigint) c2, 850
 
 LIBRARIES = "select * from (values ('PE','PE',cast(800 as bigint),cast(15 as double)),('MP','MP',cast(3000 as bigint),cast(15 as double))) t(lib,lib_type,insert_size,sd)"
 
+#: A library for every supplier.
+SUPPLIED = """select concat('lib', s_suppkey) lib, case s_nationkey % 3 when 0 then 'PE' when 1 then 'MP' else '3GS' end lib_type,
+  cast(500 + 100 * s_nationkey + s_suppkey % 7 as bigint) insert_size, cast(10 + (s_suppkey % 400) / 4.0 as double) sd from {supplier}"""
+
 SELF_PAIRS = """
 select case when o_orderkey % 2 = 0 then 'PE' else 'MP' end lib, c c1, 100+o_orderkey % 4000 p1, 200+o_orderkey % 4000 m1, c c2,
        100+o_orderkey % 4000+x p2, o_orderkey % 4000+x m2

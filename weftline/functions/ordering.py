@@ -28,16 +28,17 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
 
 
 def running_sum(df: DataFrame, value: str, line: str, name: str, block: int = BLOCK) -> DataFrame:
-    """Sum of `value` over all rows up to and with each one, in order of the number `line`.
+    """Sum of `value` over all rows up to and with each one, in order of `line` (equal ones in any order).
 
-    Blocks of lines are summed first, so that only one row of each block is ordered globally.
+    Rows are numbered first, so that blocks are of equal length however sparse `line` is; blocks are summed, and only one
+    row of each block is ordered globally.
     """
-    rows = df.withColumn("__block", F.floor(F.col(line) / block))
+    rows = numbered(df, line, name="__nth").withColumn("__block", F.floor(F.col("__nth") / block))
     sums = rows.groupBy("__block").agg(F.sum(value).alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("__block", before.alias("__before"))
-    own = F.sum(value).over(Window.partitionBy("__block").orderBy(line).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(sums, "__block").withColumn(name, own + F.col("__before")).drop("__block", "__before")
+    own = F.sum(value).over(Window.partitionBy("__block").orderBy("__nth").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums, "__block").withColumn(name, own + F.col("__before")).drop("__block", "__before", "__nth")
 
 
 def ranked(df: DataFrame, key: str, x: str) -> DataFrame:

@@ -187,3 +187,9 @@ def split_strands(layout: DataFrame, counts: DataFrame, min_links: int, max_inse
 def scaffold_ids(layout: DataFrame) -> DataFrame:
     """Scaffolds renamed to their smallest fragment, so numbering does not depend on who solved what first."""
     return layout.withColumn("scaffold_id", F.min("contig_id").over(Window.partitionBy("scaffold_id")))
+
+
+def last_wins(layout: DataFrame, *order: str) -> DataFrame:
+    """One row for each fragment: of several, that of the layout that comes last by `order` (then by scaffold and place)."""
+    rank = F.struct(*order, "scaffold_id", "start", "end")
+    return layout.groupBy("contig_id").agg(F.max_by(F.struct(*layout.columns), rank).alias("row")).select("row.*")

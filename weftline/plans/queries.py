@@ -113,9 +113,9 @@ def mp_link_diff(spark, sf_dir):
     return Data(spark, sf_dir).raw_obs.where("lib = 'MP'").select("c1", "c2", "diff", "cons")
 
 
-@query("select lib, insert_size + cast(trunc(sd*sd/(1+insert_size)) as bigint) insert_size from (" + fx.LIBRARIES + ")")
+@query(f"select lib, insert_size + cast(trunc(sd*sd/(1+insert_size)) as bigint) insert_size from ({fx.SUPPLIED.format(supplier='supplier')})")
 def gap_corrected_insert(spark, sf_dir):
-    return Data(spark, sf_dir).libraries.select("lib", (F.col("insert_size") + links.gap_correction(F.col("insert_size"), F.col("sd"))).alias("insert_size"))
+    return supplied(spark, sf_dir).select("lib", (F.col("insert_size") + links.gap_correction(F.col("insert_size"), F.col("sd"))).alias("insert_size"))
 
 
 @query(f"{CHAIN} select * from counts")
@@ -157,45 +157,54 @@ def auto_link_threshold_sqrt(spark, sf_dir):
     return t.select(F.floor("min_links").cast("double").alias("min_links"))
 
 
-@query(f"""with libs as ({fx.LIBRARIES}), pairs as ({fx.oracle(fx.SELF_PAIRS)}), x as (select lib, lib_type, insert_size, sd, greatest(p1,m1,p2,m2)-least(p1,m1,p2,m2) x from pairs join libs using(lib) where c1 = c2)
+@query(f"""with libs as ({fx.LIBRARIES}), pairs as ({fx.oracle(fx.SELF_PAIRS)}), x as (select lib, lib_type, insert_size, sd, greatest(p1,m1,p2,m2)-least(p1,m1,p2,m2) x from pairs join libs using(lib) where c1 = c2 and 2000 + 250 * (c1 % 40) >= 3 * insert_size)
 select lib, lib_type, cast(trunc(median(x)) as bigint) insert_size, round(stddev_samp(x), 6) sd from x where abs(x - insert_size) <= 3*sd group by lib, lib_type having count(*) > 1""")
 def insert_size_recalibration(spark, sf_dir):
     d = Data(spark, sf_dir)
-    long = d.contigs.withColumn("len", F.lit(12000).cast("long"))
+    long = d.contigs.withColumn("len", (2000 + 250 * (F.col("contig_id") % 40)).cast("long"))  # only some are three inserts long
     return links.recalibrate(d.self_pairs, d.libraries, long).withColumn("sd", F.round("sd", 6))
 
 
-#: A configuration in the format of both templates: a heading may list its fields or explain them.
-CONFIG = """# library_name, type, insert_size, insert_size_deviation, lib_path1, lib_path2
-short, PE,  800, 15, a1.fq, a2.fq
-2k, MP,  2000, 200, b1.fq, b2.fq
-3k, MP, 3000, 15, c1.fq, c2.fq
-Long1, 3GS, 0, 0, d.fa, NA
+def supplied(spark, sf_dir) -> DataFrame:
+    """A library for every supplier."""
+    return spark.sql(fx.SUPPLIED, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
 
-# parameters (thread: the number of threads; reg_m: links that an edge needs)
-thread, 40
-reg_m, 14
-ScafIter, 3
-"""
 
+def _config(spark, sf_dir) -> readers.Config:
+    """A configuration with a library for every nation (25 rows), in the format of both templates: a heading may list its fields
+    or explain them."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+    kinds = [("PE", 300, 10), ("MP", 2000, 100), ("3GS", 0, 0)]
+    lines = ["# library_name, type, insert_size, insert_size_deviation, lib_path1, lib_path2"]
+    for r in nations:
+        kind, insert, sd = kinds[r.n_nationkey % 3]
+        lines.append(f"{r.n_name}, {kind},  {insert + (r.n_nationkey * 10 if insert else 0)}, {sd + (r.n_regionkey if sd else 0)}, {r.n_nationkey}a.fq , b.fq")
+    lines += ["", "# parameters (thread: the number of threads; reg_m: links that an edge needs)", f"thread, {len(nations)}", f"reg_m, {sum(r.n_nationkey for r in nations) % 50}", f"ScafIter, {1 + len({r.n_regionkey for r in nations})}"]
+    return readers.parse_config("\n".join(lines))
 
-@query("select * from (values ('PE', 1::bigint, 800::bigint, 15.0::double), ('MP', 2, 3000, 200.0), ('3GS', 1, 0, 0.0)) t(lib_type, n, max_insert, max_sd)")
+
+NATION_LIBS = """select n_name lib, case n_nationkey % 3 when 0 then 'PE' when 1 then 'MP' else '3GS' end lib_type,
+  cast(case n_nationkey % 3 when 0 then 300 + n_nationkey * 10 when 1 then 2000 + n_nationkey * 10 else 0 end as bigint) insert_size, cast(case n_nationkey % 3 when 0 then 10 + n_regionkey when 1 then 100 + n_regionkey else 0 end as double) sd from nation"""
+
+
+@query(f"select lib_type, count(*) n, max(insert_size) max_insert, max(sd) max_sd, string_agg(lib, ',' order by lib) names from ({NATION_LIBS}) group by lib_type")
 def library_classes(spark, sf_dir):
-    config = readers.parse_config(CONFIG)
+    config = _config(spark, sf_dir)
     rows = [(t, n) for t, names in config.classes().items() for n in names]
     classes = spark.createDataFrame(rows, "lib_type string, lib string")
-    return classes.join(config.frame(spark).drop("lib_type"), "lib").groupBy("lib_type").agg(F.count("*").alias("n"), F.max("insert_size").alias("max_insert"), F.max("sd").alias("max_sd"))
+    found = classes.join(config.frame(spark).drop("lib_type"), "lib").groupBy("lib_type")
+    return found.agg(F.count("*").alias("n"), F.max("insert_size").alias("max_insert"), F.max("sd").alias("max_sd"), F.array_join(F.array_sort(F.collect_list("lib")), ",").alias("names"))
 
 
-@query("select * from (values ('min_links', 14::bigint), ('rounds', 3)) t(name, value)")
+@query("select 'min_links' name, cast(sum(n_nationkey) % 50 as bigint) value from nation union all select 'rounds', 1 + count(distinct n_regionkey) from nation")
 def config_options(spark, sf_dir):
-    o = scaffolding.Options.of(readers.parse_config(CONFIG))
+    o = scaffolding.Options.of(_config(spark, sf_dir))
     return spark.createDataFrame([("min_links", o.min_links), ("rounds", o.rounds)], "name string, value long")
 
 
-@query(f"select greatest(max(case when lib_type='MP' then insert_size end), 1000) max_in, greatest(max(case when lib_type='MP' then sd end), 10) max_sd, greatest(max(sd), 1) any_sd from ({fx.LIBRARIES})")
+@query(f"select greatest(max(case when lib_type='MP' then insert_size end), 1000) max_in, greatest(max(case when lib_type='MP' then sd end), 10) max_sd, greatest(max(sd), 1) any_sd from ({fx.SUPPLIED.format(supplier='supplier')})")
 def library_limits(spark, sf_dir):
-    return links.library_limits(Data(spark, sf_dir).libraries)
+    return links.library_limits(supplied(spark, sf_dir))
 
 
 # ---- clusters and regression rows -----------------------------------------------------------------------------
@@ -535,6 +544,17 @@ def scaffold_offsets(spark, sf_dir):
     return _offsets(Data(spark, sf_dir))
 
 
+#: A file's scaffold is named by its smallest fragment, whichever of its rows are the newest.
+NEWEST_HALVES = """newer as (select min(contig_id) over (partition by scaffold_id) scaffold_id, contig_id, start + 5000 as start, "end" + 5000 as "end", case direct when 'F' then 'R' else 'F' end direct from layout where scaffold_id % 3 = 0 and ord >= 5),
+halves as (select * from newer union all select k, contig_id, start, "end", direct from (select *, min(contig_id) over (partition by scaffold_id) k from layout) l where not exists (select 1 from newer n where n.contig_id = l.contig_id))"""
+
+
+@query(f"{CHAIN}, {NEWEST_HALVES}, {OFFSETS} select * from offsets")
+def newest_scaffold_offsets(spark, sf_dir):
+    """Links of fragments that two layout files hold go to the newer file's scaffold, once."""
+    return superscaffold.scaffold_offsets(Data(spark, sf_dir).obs, _doubled(spark, sf_dir))
+
+
 @query(f"{CHAIN}, {HALVES}, {OFFSETS}, {SVOTES} select * from svotes")
 def scaffold_votes(spark, sf_dir):
     return superscaffold.scaffold_votes(_offsets(Data(spark, sf_dir)))
@@ -747,14 +767,14 @@ def layout_heads(spark, sf_dir):
 LOGGED = "b as (select *, dense_rank() over (order by o_orderkey // 3) g from orders)"
 
 
-@query(f"""with {LOGGED} select g scaffold_id, case when o_orderkey % 5 = 0 then 'merged' else 'contig' end kind, unnest(case when o_orderkey % 5 = 0 then [o_orderkey, o_orderkey + 1000000] else [o_orderkey] end) contig_id from b where o_orderkey % 3 <> 0""")
+@query(f"""with {LOGGED} select g scaffold_id, case when o_orderkey % 5 = 0 then 'merged' else 'contig' end kind, unnest(case when o_orderkey % 5 = 0 then [o_orderkey, o_orderkey + 1000000] else [o_orderkey] end) contig_id from b""")
 def scaffold_log_scan(spark, sf_dir):
     """A log with merged fragments, one scaffold for every three orders' numbers, through the reader."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     head = o.select(F.expr("o_orderkey div 3").alias("b")).distinct().select((F.col("b") * 12).alias("line_no"), F.lit(">scaffold1").alias("value"))
-    k, own = F.col("o_orderkey"), o.where("o_orderkey % 3 <> 0")
+    k = F.col("o_orderkey")
     name = F.when(k % 5 == 0, F.concat(F.lit("NewCtg"), k, F.lit("+"), k + 1_000_000)).otherwise(F.concat(F.lit("contig"), k))
-    lines = head.union(own.select(k * 4, name)).union(own.select(k * 4 + 1, F.when(k % 7 == 0, "too long gap").otherwise("N* 50")))
+    lines = head.union(o.select(k * 4 + 1, name)).union(o.select(k * 4 + 2, F.when(k % 7 == 0, "too long gap").otherwise("N* 50")))
     return readers.parse_scaffold_log(lines).select("scaffold_id", "kind", "contig_id")
 
 
@@ -767,50 +787,100 @@ def layout_of_log(spark, sf_dir):
 
 
 # ---- text files -----------------------------------------------------------------------------------------------
-def _written(lines: DataFrame, by: str | None = None) -> str:
-    """A folder with the lines (value) as text, in the shared checkpoint folder."""
-    checkpointed(lines.sparkSession.range(0))
-    path = f"{lines.sparkSession.sparkContext.getCheckpointDir()}/text-{uuid.uuid4().hex}"
-    (lines.write.partitionBy(by) if by else lines.write).text(path)
-    return path
+def _read_back(lines: list[DataFrame], read: Callable[[str], DataFrame], by: str | None = None) -> DataFrame:
+    """What `read` makes of a folder to which the lines (value) were written as text, one frame after the other; the folder, in
+    the shared checkpoint folder, goes once they are read."""
+    spark = lines[0].sparkSession
+    checkpointed(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/text-{uuid.uuid4().hex}"
+    for part in lines:
+        (part.write.partitionBy(by) if by else part.write).mode("append").text(path)
+    out = checkpointed(read(path))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
 
 
 @query(f"{WITH} select * from contigs")
 def contig_scan(spark, sf_dir):
     c = Data(spark, sf_dir).contigs
-    return readers.read_contigs(spark, _written(c.select(F.format_string("contig%d\t1\t%d", "contig_id", "len").alias("value"))))
+    return _read_back([c.select(F.format_string("contig%d\t1\t%d", "contig_id", "len").alias("value"))], lambda p: readers.read_contigs(spark, p))
 
 
-@query(f"{WITH} select lib, lib_type, insert_size, sd + 0.13 sd from libs")
+@query(f"select lib, lib_type, insert_size, round(sd + 0.13, 2) sd from ({fx.SUPPLIED.format(supplier='supplier')})")
 def library_scan(spark, sf_dir):
-    c = Data(spark, sf_dir).libraries
-    return readers.read_libraries(spark, _written(c.select(F.concat_ws(" ", "lib", "lib_type", F.lit("tab.txt"), "insert_size", (F.col("sd") + 0.1299)).alias("value"))))
+    """Deviations with more decimals than are kept."""
+    c = supplied(spark, sf_dir)
+    return _read_back([c.select(F.concat_ws(" ", "lib", "lib_type", F.lit("tab.txt"), "insert_size", F.col("sd") + 0.1299).alias("value"))], lambda p: readers.read_libraries(spark, p))
 
 
-@query(f"{WITH} select * from pairs where lib = 'PE'")
+@query(f"{WITH} select * from pairs")
 def pair_scan(spark, sf_dir):
-    p = Data(spark, sf_dir).pairs.where("lib = 'PE'")
-    return readers.read_pairs(spark, _written(p.select(F.format_string("contig%d\t%d\t%d\tcontig%d\t%d\t%d", "c1", "p1", "m1", "c2", "p2", "m2").alias("value"))), "PE")
+    """One file of pairs a library."""
+    pairs, out = Data(spark, sf_dir).pairs, None
+    for lib in ("PE", "MP"):
+        text = pairs.where(F.col("lib") == lib).select(F.format_string("contig%d\t%d\t%d\tcontig%d\t%d\t%d", "c1", "p1", "m1", "c2", "p2", "m2").alias("value"))
+        got = _read_back([text], lambda p, lib=lib: readers.read_pairs(spark, p, lib))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query(f"{WITH} select * replace ('r' || qname as qname) from align")
 def alignment_scan(spark, sf_dir):
     a = Data(spark, sf_dir).alignments
     named = a.withColumn("qname", F.concat(F.lit("r"), "qname")).withColumn("tname", F.concat(F.lit("contig"), "tname"))
-    return readers.read_alignments(spark, _written(named.select(F.concat_ws(" ", *named.columns).alias("value"))))
+    return _read_back([named.select(F.concat_ws(" ", *named.columns).alias("value"))], lambda p: readers.read_alignments(spark, p))
 
 
 @query(f"{WITH} select 'L' lib, tname c1, tname + 1 c2, tstrand dir, qstart - tstart diff, -score s1, -score s2 from align")
 def long_link_scan(spark, sf_dir):
     a = Data(spark, sf_dir).alignments
-    return readers.read_long_links(spark, _written(a.select(F.concat_ws(" ", "tname", F.col("tname") + 1, "tstrand", F.col("qstart") - F.col("tstart"), -F.col("score"), -F.col("score")).alias("value"))), "L")
+    text = a.select(F.concat_ws(" ", "tname", F.col("tname") + 1, "tstrand", F.col("qstart") - F.col("tstart"), -F.col("score"), -F.col("score")).alias("value"))
+    return _read_back([text], lambda p: readers.read_long_links(spark, p, "L"))
+
+
+def _layout_text(lay: DataFrame) -> DataFrame:
+    lay = layout.gaps(lay)
+    return sinks.layout_lines(lay).select("scaffold_id", "value").unionByName(sinks.layout_heads(lay)).repartition("scaffold_id")
 
 
 @query(f"{CHAIN} select min(contig_id) over (partition by scaffold_id) scaffold_id, contig_id, start, \"end\", direct, std, len from layout")
 def layout_scan(spark, sf_dir):
-    lay = layout.gaps(Data(spark, sf_dir).layout)
-    lines = sinks.layout_lines(lay).select("scaffold_id", "value").unionByName(sinks.layout_heads(lay))
-    return readers.read_layouts(spark, _written(lines.repartition("scaffold_id"), by="scaffold_id") + "/*")
+    return _read_back([_layout_text(Data(spark, sf_dir).layout)], lambda p: readers.read_layouts(spark, p + "/*"), by="scaffold_id").drop("modified", "file")
+
+
+#: Layouts of all blocks, then files of a later run for every third one: moved by 5000, turned round, and only the fragments of its
+#: second half, under another scaffold.
+NEWEST = """newer as (select scaffold_id + 1000000 scaffold_id, contig_id, len, start + 5000 as start, "end" + 5000 as "end", case direct when 'F' then 'R' else 'F' end direct, std from layout where scaffold_id % 3 = 0 and ord >= 5),
+newest as (select * from newer union all select scaffold_id, contig_id, len, start, "end", direct, std from layout l where not exists (select 1 from newer n where n.contig_id = l.contig_id))"""
+
+
+def _doubled(spark, sf_dir) -> DataFrame:
+    lay = Data(spark, sf_dir).layout
+    newer = lay.where("scaffold_id % 3 = 0 and ord >= 5").withColumn("scaffold_id", F.col("scaffold_id") + 1_000_000).withColumn("start", F.col("start") + 5000).withColumn("end", F.col("end") + 5000)
+    newer = newer.withColumn("direct", F.when(F.col("direct") == "F", "R").otherwise("F"))
+    return _read_back([_layout_text(lay), _layout_text(newer)], lambda p: readers.read_layouts(spark, p + "/*"), by="scaffold_id")
+
+
+@query(f'{CHAIN}, {NEWEST}, named as (select contig_id, min(contig_id) over (partition by scaffold_id) k, start, "end", direct from newest) select contig_id, start, "end", direct from named')
+def newest_layout(spark, sf_dir):
+    """Fragments that two layout files hold: the newer file's row."""
+    return layout.last_wins(_doubled(spark, sf_dir), *superscaffold.FILE).select("contig_id", "start", "end", "direct")
+
+
+@query(f"""select 'scaffold' || doc_id || ' > of ' || coalesce(source, '') || ' >' as name, len(seq) len, sha256(seq) sha from (
+  select doc_id, source, regexp_replace(upper(coalesce(text, '')), '[^ACGTN]', '', 'g') seq from documents)""")
+def fasta_scan(spark, sf_dir):
+    """Every document's sequence as a record of lines of 100, with '>' inside its heading, through the reader of pieces."""
+    d = Data(spark, sf_dir).documents().join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id")
+    name = F.concat(F.lit(">scaffold"), "doc_id", F.lit(" > of "), F.coalesce("source", F.lit("")), F.lit(" >"))
+    text = d.select(F.concat(name, F.lit("\n"), sequence.wrapped(F.col("seq"))).alias("value"))
+    pieces = _read_back([text], lambda p: readers.fasta_pieces(spark, p, 1000))
+    whole = pieces.groupBy("file", "record", "name").agg(F.array_sort(F.collect_list(F.struct("offset", "seq"))).alias("p"))
+    # pieces follow each other without gaps
+    seq = F.array_join(F.transform("p", lambda x: x["seq"]), "")
+    fits = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | (F.element_at("p", i)["offset"] == F.try_element_at("p", F.greatest(i - 1, F.lit(1)))["offset"] + F.length(F.try_element_at("p", F.greatest(i - 1, F.lit(1)))["seq"])))
+    return whole.select("name", F.when(fits, F.length(seq)).cast("long").alias("len"), F.sha2(seq, 256).alias("sha"))
 
 
 BOUNDS = f"""pairs_ as (select scaffold_id, contig_id c1, lead(contig_id) over ({ORD}) c2, len len1, lead(len) over ({ORD}) len2, "end" - lead(start) over ({ORD}) overlap, greatest(std, lead(std) over ({ORD}), 15) spread from layout),

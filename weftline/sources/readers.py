@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.ordering import numbered, running_sum
 from weftline.model import ALIGNMENTS, LIBRARIES
+from weftline.operators.components import checkpointed
 
 
 #: Names of a configuration's parameters that the engine uses, and of its options (fixed values).
@@ -91,18 +94,93 @@ def read_long_links(spark: SparkSession, path: str, lib: str) -> DataFrame:
 
 
 def read_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """Layout files, one scaffold each with a headline; the smallest fragment names the scaffold."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split(F.trim("value"), " +").alias("f")).where(F.size("f") == 7)
-    rows = lines.select("file", *[F.element_at("f", i + 1).cast(t).alias(n) for i, (n, t) in enumerate((("contig_id", "long"), ("start", "double"), ("end", "double"), ("direct", "string"), ("std", "double"), ("gap", "double"), ("len", "long")))])
+    """Layout files, one scaffold each with a headline; the smallest fragment names the scaffold. modified and file tell which
+    of a fragment's rows is the newest, where several files hold it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("file"), F.split(F.trim("value"), " +").alias("f")).where(F.size("f") == 7)
+    rows = lines.select("modified", "file", *[F.element_at("f", i + 1).cast(t).alias(n) for i, (n, t) in enumerate((("contig_id", "long"), ("start", "double"), ("end", "double"), ("direct", "string"), ("std", "double"), ("gap", "double"), ("len", "long")))])
     rows = rows.where(F.col("direct").isin("F", "R"))
-    return rows.withColumn("scaffold_id", F.min("contig_id").over(Window.partitionBy("file"))).drop("file", "gap")
+    return rows.withColumn("scaffold_id", F.min("contig_id").over(Window.partitionBy("file"))).drop("gap")
+
+
+#: Bases of one piece of a record.
+PIECE = 1 << 20
+
+
+def fasta_pieces(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """Records in pieces of about `piece` bases at most: file, record (from 1 in each file), name (all of the heading), offset (of
+    the piece in its record), seq. A record without bases has one empty piece.
+
+    Lines are read in Spark's own splits, so a record that is longer than a split is read by several tasks. Each task
+    tells where its lines stand within the split; what the splits before it in the file add (records, the last one's name and
+    bases) is one row a split. '>' counts at the start of a line only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, record, offset, held, size, fresh, name = None, 0, 0, [], 0, False, None
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal offset, held, size, fresh
+            if held or fresh:
+                out.append((*split, record, name, offset, "".join(held)))
+            offset, held, size, fresh = offset + size, [], 0, False
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(c, type=t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["file", "block", "record", "name", "offset", "seq"])
+
+        for b in batches:
+            for file, block, line in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, block) != split:
+                    if split:
+                        close()
+                    split, record, offset, name = (file, block), 0, 0, None
+                if line.startswith(">"):
+                    close()
+                    record, offset, name, fresh = record + 1, 0, line[1:].strip(), True
+                    continue
+                bases = "".join(line.split())
+                while size + len(bases) > piece:
+                    room = piece - size
+                    held.append(bases[:room])
+                    size, bases = piece, bases[room:]
+                    close()
+                if bases:
+                    held.append(bases)
+                    size += len(bases)
+            if len(out) * piece > 1 << 24:
+                yield batch()
+        if split:
+            close()
+        if out:
+            yield batch()
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    pieces = checkpointed(lines.mapInArrow(run, "file string, block long, record long, name string, offset long, seq string"))
+    # of each split: how many records begin in it, and the last one's name and bases (or bases that go on from before)
+    last = F.max_by(F.struct("name", (F.col("offset") + F.length("seq")).alias("bases")), F.struct("record", "offset"))
+    splits = pieces.groupBy("file", "block").agg(F.max("record").alias("records"), last.alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.coalesce(F.sum("records").over(before), F.lit(0))
+    splits = splits.withColumn("begun", begun).withColumn("went_on", F.last(F.when(F.col("records") > 0, F.col("last.name")), ignorenulls=True).over(before))
+    # bases since the record began: of the split where it began, and of those after it
+    same = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("run", F.sum((F.col("records") > 0).cast("int")).over(Window.partitionBy("file").orderBy("block")))
+    known = splits.withColumn("upto", F.coalesce(F.sum("last.bases").over(same), F.lit(0)) + F.col("last.bases"))
+    known = known.withColumn("reached", F.coalesce(F.lag("upto").over(Window.partitionBy("file").orderBy("block")), F.lit(0)))
+    side = known.select("file", "block", "begun", "went_on", "reached")
+    out = pieces.join(side, ["file", "block"])
+    carried = F.col("record") == 0
+    out = out.select("file", (F.col("begun") + F.col("record")).alias("record"), F.when(carried, F.col("went_on")).otherwise(F.col("name")).alias("name"), (F.col("offset") + F.when(carried, F.col("reached")).otherwise(0)).alias("offset"), "seq")
+    return out.where("record > 0")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq; records are split at '>' by the text reader, so files stay splittable between records."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    parts = F.split("value", "\n", 2)
-    return records.select(F.trim(F.element_at(parts, 1)).alias("name"), F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "\\s", "").alias("seq"))
+    """name, seq: whole records, for those that fit a row."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "seq")))
+    whole = fasta_pieces(spark, path).groupBy("file", "record", "name").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+    return whole.select("name", "seq")
 
 
 def parse_evidence(lines: DataFrame) -> DataFrame:
