@@ -253,3 +253,48 @@ def test_op13(spark):
     target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = importance.op13_importance(spark, SF).select("doc_id", "n_features", "weight", "score", "rank").collect()
     assert sorted(map(tuple, got), key=repr) == resampled(docs, target)
+
+
+# ---- samples ----
+class Counting:
+    """What passes to the driver in collected rows."""
+
+    def __init__(self, monkeypatch):
+        from pyspark.sql.classic.dataframe import DataFrame
+
+        self.size, plain = 0, DataFrame.collect
+
+        def collect(df):
+            rows = plain(df)
+            self.size += sum(len(v) for r in rows for v in r if isinstance(v, (str, bytes, bytearray)))
+            return rows
+
+        monkeypatch.setattr(DataFrame, "collect", collect)
+
+
+def test_samples_of_very_long_texts_are_bounded_before_they_reach_the_driver(spark, monkeypatch):
+    from weftline.llm import common, langid
+
+    big = 10 << 20
+    docs = spark.range(24).selectExpr("id as doc_id", f"repeat(chr(97 + cast(id % 20 as int)), if(id % 3 = 0, {big}, 1000 + cast(id as int))) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    docs = docs.unionByName(docs.where("doc_id in (4, 7)"))  # repeated rows
+    labels = spark.range(24).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    went = Counting(monkeypatch)
+    got = common.labelled_sample(docs, labels, "toxic", 3, 1, 1000, max_bytes=25 << 20)
+    assert went.size <= 26 << 20 and sum(len(t) for t, _ in got) <= 25 << 20
+    assert sum(len(t) == big for t, _ in got) == 2
+    able = [i for i in range(24) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(len(t) for t, _ in got if len(t) < big) == sorted(1000 + i for i in able if i % 3)
+    went.size = 0
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 15 << 20)
+    got = langid.training_sample(docs)
+    assert went.size <= 16 << 20
+    able = [i for i in range(24) if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert sorted(len(t) for t, _ in got if len(t) < big) == sorted(1000 + i for i in able + [i for i in (4, 7) if i in able] if i % 3)
+    assert sum(len(t) == big for t, _ in got) == 1
+
+
+def test_dictionary_of_too_few_samples_keeps_them_all():
+    from weftline.llm import toxicity
+
+    assert toxicity.dictionary([b"one", b"two"], 4, 8, 6) == b"onetwo"

@@ -93,7 +93,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     the id against a threshold computed from the class's count, so the choice is the same on every run and
     does not depend on row order. The chosen ids (at most 2.5 x per_class) are broadcast: a bounded table.
     A label row with a null id or null label is not used; of several label rows of one id the largest counts.
-    Of several texts with one id, the smallest is taken. max_bytes bounds the texts that are kept.
+    Of several texts with one id, the smallest is taken. max_bytes bounds the texts that are kept and that reach the driver.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", modulus) != held_out))
     ids = ids.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__y"))
@@ -104,12 +104,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = ids.where(unit < F.element_at(scale, F.col("__y"))).orderBy(F.xxhash64("doc_id")).limit(int(2.5 * per_class))
     picked = docs.select("doc_id", binary_text(text_col).alias("__t")).join(F.broadcast(chosen), "doc_id")
-    rows = picked.groupBy("doc_id").agg(F.min("__t").alias("__t"), F.max("__y").alias("__y"), F.xxhash64("doc_id").alias("__o")).collect()
+    picked = picked.groupBy("doc_id").agg(F.min("__t").alias("__t"), F.max("__y").alias("__y"))
+    # sizes come first: texts reach the driver only once it is known that they fit
+    sizes = picked.select("doc_id", F.length("__t").alias("size"), F.xxhash64("doc_id").alias("__o")).collect()
+    order = {r["doc_id"]: (r["__o"], r["doc_id"]) for r in sizes}
+    kept = fitting(sorted(((*order[r["doc_id"]], r["size"]) for r in sizes)), max_bytes)
+    wanted = docs.sparkSession.createDataFrame([(i,) for _, i, _ in kept], picked.select("doc_id").schema)
+    rows = picked.join(F.broadcast(wanted), "doc_id").collect()
+    return [(bytes(r["__t"]), int(r["__y"])) for r in sorted(rows, key=lambda r: order[r["doc_id"]])]
+
+
+def fitting(rows: list[tuple], max_bytes: int) -> list[tuple]:
+    """Those of the rows, whose last entry is a size, that fit max_bytes, taken in order; one that does not fit is passed over."""
     out, used = [], 0
-    for r in sorted(rows, key=lambda r: (r["__o"], r["doc_id"])):
-        if used + len(r["__t"]) <= max_bytes:
-            used += len(r["__t"])
-            out.append((bytes(r["__t"]), int(r["__y"])))
+    for r in rows:
+        if used + r[-1] <= max_bytes:
+            used += r[-1]
+            out.append(r)
     return out
 
 

@@ -18,11 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, remainder, table
+from .common import binary_text, fitting, remainder, table
 
 #: Bounds of the training sample: documents per language, documents in all, bytes in all. They bound the tables too: all its
 #: words and n-grams are kept.
 PER_LANG, SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8000, 32 << 20
+#: Languages that are learned, by rows.
+MOST_LANGS = 1000
 #: Longest n-gram; rows of unseen words that a scorer holds at a time; words of a text that count as independent evidence.
 LONGEST, UNSEEN, EVIDENCE = 5, 150_000, 20
 letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
@@ -111,20 +113,26 @@ def _scorer(blob: bytes) -> Scorer:
 
 
 def training_sample(docs: DataFrame, modulus: int = 5, held_out: int = 0) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang), chosen by a hash of the id against each language's count."""
+    """A bounded sample of (text, lang), chosen by a hash of the id against each language's count: of the MOST_LANGS languages
+    with most rows, at most about 2 x SAMPLE_DOCS rows and SAMPLE_BYTES of text. Sizes reach the driver first, then the texts
+    that fit; a very long text that does not is passed over. Repeated rows count as often as they fit."""
     rows = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", modulus) != held_out))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return []
     each = min(PER_LANG, SAMPLE_DOCS / len(counts))
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(each / n))])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(unit < F.element_at(share, F.col("lang"))).select("doc_id", "lang", binary_text().alias("__t"), F.xxhash64("doc_id", "text").alias("__o"))
-    out, used = [], 0
-    for r in sorted(picked.limit(2 * SAMPLE_DOCS).collect(), key=lambda r: (r["__o"], r["lang"])):
-        if used + len(r["__t"]) <= SAMPLE_BYTES:
-            used += len(r["__t"])
-            out.append((bytes(r["__t"]).decode("utf-8", "replace"), r["lang"]))
+    picked = rows.where(unit < F.try_element_at(share, F.col("lang"))).select("lang", binary_text().alias("__t"), F.xxhash64("doc_id", "text").alias("__o"))
+    sizes = picked.select("__o", "lang", F.length("__t").alias("size")).orderBy("__o", "lang", "size").limit(2 * SAMPLE_DOCS).collect()
+    kept = Counter((o, lang) for o, lang, _ in fitting([tuple(r) for r in sizes], SAMPLE_BYTES))
+    wanted = docs.sparkSession.createDataFrame(list(kept), "__o long, lang string")
+    # repeated rows come once
+    texts = picked.join(F.broadcast(wanted), ["__o", "lang"]).groupBy("__o", "lang").agg(F.min("__t").alias("__t")).collect()
+    out = []
+    for r in sorted(texts, key=lambda r: (r["__o"], r["lang"])):
+        out += [(bytes(r["__t"]).decode("utf-8", "replace"), r["lang"])] * kept[r["__o"], r["lang"]]
     return out
 
 

@@ -80,11 +80,11 @@ def telling_windows(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
-    """A dictionary of `size` bytes trained by zstandard; the samples themselves where the trainer finds them too few."""
+    """A dictionary of `size` bytes trained by zstandard; all the samples where the trainer finds them too few."""
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
 class CompressionModel:
