@@ -15,7 +15,7 @@ import heapq
 import itertools
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from .common import binary_text, quoted, table
 
 SPACE = "▁"
 CACHE_SEGMENTS = 200_000
+#: Segments of up to so many characters are merged many at a time, in groups of alike length; characters of texts worked on together.
+LONGEST, GROUPS, CHUNK = 32, (4, 8, 16, 32), 1 << 20
 #: Kinds of pieces in a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE_MODEL = 2
@@ -107,15 +109,90 @@ class Pieces:
         joined = [p for p in self.score if len(p) > 1]
         inner = {c for p in joined for c in p} - {SPACE}
         if any(SPACE in p.lstrip(SPACE) for p in joined) or not inner:
-            self.segments = lambda text: [text]  # pieces reach over word ends
+            self.segments, self.short = (lambda text: [text]), False  # pieces reach over word ends
         else:
             chars = "".join(re.escape(c) for c in sorted(inner))
+            self.short = True
             self.segments = re.compile(f"{SPACE}*[{chars}]+|{SPACE}+|[^{SPACE}{chars}]").findall
         #: the map's keys, spaces to be squeezed and other text, for models that have a map or squeeze spaces
         leads = bytes(sorted(self.map.leads()))
         plain = rb"(?:(?![" + re.escape(leads) + rb" ])[\x00-\x7f]|(?![" + re.escape(leads) + rb"])[\xc0-\xff][\x80-\xbf]*)+" if leads else rb"[^ ]+"
         self.plain = re.compile(plain)
         self.cache: dict[str, bytes] = {}
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Every way to put a piece together from two symbols (pieces, or characters that are none): sorted keys, each with
+        the rank of the piece's score and the piece."""
+        self.char = np.full(0x110000, -1, np.int32)
+        symbol = dict(self.id)
+        for c in sorted({c for p in self.id for c in p}):
+            self.char[ord(c)] = symbol.setdefault(c, len(self.piece) + len(symbol) - len(self.id))
+        ranks = {v: k for k, v in enumerate(sorted(set(self.score.values()), reverse=True))}
+        found = [(symbol[p[:k]] << 32 | symbol[p[k:]], ranks[v], self.id[p]) for p, v in self.score.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        found.sort()
+        self.keys, rank, born = (np.array([f[k] for f in found], np.int64) for k in range(3))
+        self.rank, self.born = np.r_[rank, len(ranks)].astype(np.int32), np.r_[born, -1].astype(np.int32)  # the last: no piece
+
+    def _found(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the pairs (a, b) among the keys; one past the last where they make no piece."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), at, len(self.keys)) if len(self.keys) else np.zeros(key.shape, np.int64)
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """merge() of many short segments: one step joins the best pair of each."""
+        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        wide, none = int(sizes.max()), self.rank[-1]
+        ids = np.full((n, wide + 1), -1, np.int32)
+        ids[np.arange(wide + 1) < sizes[:, None]] = self.char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        out, live = ids.copy(), np.arange(n)
+        pair = self._found(ids[:, :-1], ids[:, 1:])
+        column = np.arange(wide + 1)
+        while True:
+            rank = self.rank[pair]
+            at = rank.argmin(axis=1)
+            on = rank[np.arange(len(live)), at] < none
+            out[live[~on]] = ids[~on]
+            if not on.any():
+                break
+            live, ids, pair, at = live[on], ids[on], pair[on], at[on]
+            row = np.arange(len(live))
+            joined = self.born[pair[row, at]]
+            after = column > at[:, None]
+            ids[:, :-1] = np.where(after[:, :-1], ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            ids[row, at] = joined
+            pair[:, :-1] = np.where(after[:, :-2], pair[:, 1:], pair[:, :-1])
+            pair[:, -1] = len(self.keys)
+            pair[row, at] = self._found(joined, ids[row, at + 1])
+            left = np.flatnonzero(at)
+            pair[left, at[left] - 1] = self._found(ids[left, at[left] - 1], joined[left])
+        kept = out >= 0
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        flat = out[kept].astype("<u4").tobytes()
+        packed = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero((out >= len(self.piece)).any(axis=1)).tolist():  # characters that fall back to bytes
+            packed[i] = self.merge(words[i])
+        return packed
+
+    def learn(self, segments: set[str]) -> None:
+        """Put the ids of all these segments into the cache."""
+        cache = self.cache
+        if len(cache) > CACHE_SEGMENTS:
+            cache.clear()
+        groups: list[list[str]] = [[] for _ in GROUPS]
+        for s in segments:
+            if s in cache:
+                continue
+            if 1 < len(s) <= LONGEST and self.short:
+                groups[0 if len(s) <= GROUPS[0] else 1 if len(s) <= GROUPS[1] else 2 if len(s) <= GROUPS[2] else 3].append(s)
+            else:
+                cache[s] = self.merge(s)
+        for words in groups:
+            if words:
+                cache.update(zip(words, self.merge_many(words)))
 
     def mapped(self, data: bytes) -> Iterator[tuple[int, int, bytes]]:
         """(start, end, what these bytes of the original become) from left to right."""
@@ -218,24 +295,30 @@ class Pieces:
             ids += [i] if i is not None else [self.byte[b] for b in p.encode()]
         return pack(ids)
 
+    def encode_many(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids and the places of the original (bytes) where its pieces begin, and the last one ends."""
+        held, size = [], 0
+        for data in texts:
+            normal, at = self.normalise(_whole(data))
+            held.append((self.segments(normal.decode()), at))
+            size += len(normal)
+            if size > CHUNK:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list[tuple[list[str], np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.learn(set().union(*(parts for parts, _ in held)))
+        get = self.cache.__getitem__
+        for parts, at in held:
+            ids = np.frombuffer(b"".join(map(get, parts)), "<u4")
+            edges = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(self.size[ids], out=edges[1:])
+            yield ids, at[edges]
+
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text and the places of the original (bytes) where its pieces begin, and the last one ends."""
-        data = _whole(data)
-        normal, at = self.normalise(data)
-        cache, parts = self.cache, self.segments(normal.decode())
-        try:
-            packed = b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            if len(cache) > CACHE_SEGMENTS:
-                cache.clear()
-            for s in set(parts):
-                if s not in cache:
-                    cache[s] = self.merge(s)
-            packed = b"".join(map(cache.__getitem__, parts))
-        ids = np.frombuffer(packed, "<u4")
-        edges = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(self.size[ids], out=edges[1:])
-        return ids, at[edges]
+        """encode_many() of one text."""
+        return next(self.encode_many([data]))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids; bytes that form no character become one replacement character each."""
@@ -302,8 +385,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for i, t in enumerate(b.column(1)):
-                ids, at = c.encode(t.as_py())
+            for i, (ids, at) in enumerate(c.encode_many(t.as_py() for t in b.column(1))):
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *lists], names=["doc_id", "ids", "begins", "ends"])
         c.cache.clear()
@@ -334,8 +416,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         c, sha = codec(path), hashlib.sha256
         for b in batches:
             n, ids_sha, back, spans = [], [], [], []
-            for t in b.column(1):
-                ids, at = c.encode(t.as_py())
+            for ids, at in c.encode_many(t.as_py() for t in b.column(1)):
                 n.append(len(ids))
                 ids_sha.append(sha(",".join(map(c.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 back.append(sha(c.decode(ids)).hexdigest())
