@@ -24,8 +24,9 @@ def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_
     """+1 / -1 per node 0..n-1 from votes (i, j, pos, neg): heaviest-first search from node 0, then single flips.
 
     A vote's sign counts in the search when its stronger side has over min_links votes; a draw counts as +1 with `draws`
-    (between fragments), and is not followed without (between scaffolds). Nodes it does not reach are +1. Flips follow the field d_i * sum over j > i of J_ij d_j (with full_field, over
-    all j), the most negative first, while the sum of J d d grows. Ties: the smallest node.
+    (between fragments), and is not followed without (between scaffolds). Nodes that the search does not reach are +1. Flips
+    follow the field d_i * sum over j > i of J_ij d_j (with full_field, over all j), the most negative first, while there is
+    one and the sum of J d d grows; none are made where that sum is -100 or less after the search. Ties: the smallest node.
     """
     d = np.ones(n, int)
     if not n:
@@ -52,9 +53,11 @@ def orient(n: int, votes: list[tuple[int, int, int, int]], min_links: int, full_
             stack.append((step[1], iter(near[step[1]])))
     counts = lambda i, j: full_field or j > i
     field = np.array([d[i] * sum(t * d[j] for j, t in around[i] if counts(i, j)) for i in range(n)], float)
+    if sum(t * d[i] * d[j] for i in range(n) for j, t in around[i] if j > i) <= -100:
+        return d
     while True:
         i = int(np.argmin(field))
-        if sum(t * d[i] * d[j] for j, t in around[i]) >= 0:  # what the sum loses twice by the flip
+        if field[i] >= 0 or sum(t * d[i] * d[j] for j, t in around[i]) >= 0:  # what the sum loses twice by the flip
             return d
         d[i] = -d[i]
         field[i] = -field[i]

@@ -313,6 +313,46 @@ def orient_by_spanning_tree(spark, sf_dir):
     return regress.orientations(_components(d), _turned_votes(d), MIN_LINKS, tree=True)
 
 
+#: Votes (i, j, for, against) among five fragments on which the ways of orienting them differ, and what each way gives: the
+#: search with flips, flips by the whole field, a spanning tree. Every customer's five fragments have those of one case.
+CASES = [
+    ([(0, 4, 5, 2), (1, 2, 0, 9), (2, 3, 22, 25), (3, 4, 21, 23)], [1, -1, 1, 1, 1], [1, 1, -1, 1, 1], [1, -1, 1, -1, 1]),
+    ([(0, 1, 18, 9), (0, 2, 17, 10), (0, 3, 19, 13), (1, 2, 26, 21), (1, 3, 6, 12), (1, 4, 23, 24), (2, 3, 11, 1), (2, 4, 4, 21), (3, 4, 4, 10)], [-1, -1, -1, -1, 1], [-1, -1, -1, -1, 1], [1, 1, 1, 1, -1]),
+    ([(0, 1, 9, 25), (1, 2, 17, 12), (1, 3, 2, 16), (1, 4, 10, 15), (2, 3, 11, 3)], [1, -1, -1, -1, 1], [1, -1, 1, 1, 1], [1, -1, -1, 1, 1]),
+    ([(0, 1, 18, 22), (1, 4, 27, 4), (2, 3, 3, 2), (2, 4, 9, 7)], [1, -1, -1, 1, -1], [1, -1, -1, -1, -1], [1, -1, -1, -1, -1]),
+]
+
+
+def case_sql(way: int) -> str:
+    given = ", ".join(f"({k}, {i}, {d})" for k, case in enumerate(CASES) for i, d in enumerate(case[1 + way]))
+    return f"select c_custkey component, cast(c_custkey * 5 + i as bigint) node, cast(d as integer) orient from customer join (values {given}) t(k, i, d) on c_custkey % {len(CASES)} = k"
+
+
+def _cases(spark, sf_dir, **how) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    rows = [(k, *v) for k, case in enumerate(CASES) for v in case[0]]
+    said = spark.createDataFrame(rows, "k int, i int, j int, n_pos long, n_neg long")
+    votes = customers.join(F.broadcast(said), F.col("c_custkey") % len(CASES) == F.col("k")).select((F.col("c_custkey") * 5 + F.col("i")).cast("long").alias("c1"), (F.col("c_custkey") * 5 + F.col("j")).cast("long").alias("c2"), "n_pos", "n_neg")
+    comp = customers.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"), "c_custkey").select((F.col("c_custkey") * 5 + F.col("i")).cast("long").alias("node"), F.col("c_custkey").cast("long").alias("component"))
+    # cut into pieces by all votes, whatever their number: every component is one piece here
+    return regress.orientations(comp, votes, 5, cap=5, **how).select((F.floor(F.col("node") / 5)).cast("long").alias("component"), "node", "orient")
+
+
+@query(case_sql(0))
+def orient_cases(spark, sf_dir):
+    return _cases(spark, sf_dir)
+
+
+@query(case_sql(1))
+def orient_cases_full_field(spark, sf_dir):
+    return _cases(spark, sf_dir, full_field=True)
+
+
+@query(case_sql(2))
+def orient_cases_tree(spark, sf_dir):
+    return _cases(spark, sf_dir, tree=True)
+
+
 def near_truth(laid: DataFrame) -> DataFrame:
     """scaffold_id, contig_id, direct, and whether the start is within 60 of the planted one, seen from the scaffold's smallest
     fragment (tolerance: the noise of 25 at most on two libraries)."""
