@@ -467,8 +467,13 @@ def regress(comp: DataFrame, rows: DataFrame, votes: DataFrame, tolerance: float
 
 
 def orientations(comp: DataFrame, votes: DataFrame, min_links: int, tree: bool = False, full_field: bool = False, cap: int = 3000) -> DataFrame:
-    """(component, node, orient) of every component (in pieces of at most cap nodes) by `orient`, or along a spanning tree."""
-    comp = bounded_pieces(comp, votes.where("c1 < c2").where(F.greatest("n_pos", "n_neg") > min_links), cap)
+    """(component, node, orient) of every component by `orient`, or along a spanning tree.
+
+    A component over the cap is oriented in pieces of at most cap nodes. Then the pieces are the nodes of a smaller graph, whose
+    votes are the sums of those between them as the pieces stand, and are turned as wholes in the same way (in pieces of
+    pieces where these are too many), so that they agree with each other.
+    """
+    pieces = bounded_pieces(comp, votes.where("c1 < c2").where(F.greatest("n_pos", "n_neg") > min_links), cap)
 
     def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         node, vote = g["kind"] == NODE, g["kind"] == VOTE
@@ -477,4 +482,19 @@ def orientations(comp: DataFrame, votes: DataFrame, min_links: int, tree: bool =
         d = spanning_orient(len(own), votes_) if tree else orient(len(own), votes_, min_links, full_field)
         return {"component": np.full(len(own), g["component"][0]), "node": own, "orient": d.astype(np.int32)}
 
-    return by_runs(_gathered(comp, votes), ["component"], ["kind", "c1", "c2"], run, "component long, node long, orient int")
+    turned = by_runs(_gathered(pieces, votes), ["component"], ["kind", "c1", "c2"], run, "component long, node long, orient int")
+    if pieces is comp:
+        return turned
+    turned = checkpointed(turned.withColumnRenamed("component", "piece").join(comp, "node"))
+    a = turned.select(F.col("node").alias("c1"), F.col("piece").alias("p1"), F.col("orient").alias("o1"), F.col("component").alias("k1"))
+    b = turned.select(F.col("node").alias("c2"), F.col("piece").alias("p2"), F.col("orient").alias("o2"), F.col("component").alias("k2"))
+    between = votes.where("c1 < c2").join(a, "c1").join(b, "c2").where("p1 <> p2 and k1 = k2")
+    same = F.col("o1") == F.col("o2")
+    sums = F.sum(F.when(same, F.col("n_pos")).otherwise(F.col("n_neg"))).alias("n_pos"), F.sum(F.when(same, F.col("n_neg")).otherwise(F.col("n_pos"))).alias("n_neg")
+    between = checkpointed(between.groupBy(F.least("p1", "p2").alias("c1"), F.greatest("p1", "p2").alias("c2")).agg(*sums))
+    whole = turned.select(F.col("piece").alias("node"), "component").distinct()
+    if between.isEmpty() or whole.count() == turned.count():  # nothing between the pieces, or none that holds two nodes
+        return turned.select("component", "node", "orient")
+    up = orientations(checkpointed(whole), between, min_links, tree, full_field, cap)
+    up = up.select(F.col("node").alias("piece"), F.col("orient").alias("way"))
+    return turned.join(up, "piece").select("component", "node", (F.col("orient") * F.col("way")).cast("int").alias("orient"))

@@ -353,6 +353,24 @@ def orient_cases_tree(spark, sf_dir):
     return _cases(spark, sf_dir, tree=True)
 
 
+#: Chains of forty parts with links to the next two, two in five turned round; the cap is a fifth of that.
+TURNED_CHAINS = "select p_partkey, cast(floor(p_partkey / 40) as bigint) * 40 head, case when (p_partkey * 7) % 5 < 2 then -1 else 1 end turn from {part}"
+
+
+@query(f"with t as ({TURNED_CHAINS.format(part='part')}), h as (select head, min(p_partkey) first_ from t group by head) select first_ component, t.p_partkey node, cast(t.turn * f.turn as integer) orient from t join h using (head) join t f on f.p_partkey = first_")
+def orient_in_pieces(spark, sf_dir):
+    """Components of more nodes than the cap: pieces agree with each other."""
+    t = checkpointed(spark.sql(TURNED_CHAINS, part=spark.read.parquet(f"{sf_dir}/part.parquet")))
+    a = t.select("head", F.col("p_partkey").alias("c1"), F.col("turn").alias("t1"))
+    b = t.select("head", F.col("p_partkey").alias("c2"), F.col("turn").alias("t2"))
+    near = a.withColumn("c2", F.explode(F.array(F.col("c1") + 1, F.col("c1") + 2))).join(b, ["head", "c2"])
+    n = 20 + F.col("c1") % 9
+    votes = checkpointed(near.select("c1", "c2", F.when(F.col("t1") == F.col("t2"), n).otherwise(2).alias("n_pos"), F.when(F.col("t1") == F.col("t2"), 2).otherwise(n).alias("n_neg")))
+    comp = connected_components(votes.select(F.col("c1").alias("src"), F.col("c2").alias("dst")))
+    alone = t.join(comp.select(F.col("node").alias("p_partkey")), "p_partkey", "left_anti").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("component"))
+    return regress.orientations(checkpointed(comp.unionByName(alone)), votes, MIN_LINKS, cap=8)
+
+
 def near_truth(laid: DataFrame) -> DataFrame:
     """scaffold_id, contig_id, direct, and whether the start is within 60 of the planted one, seen from the scaffold's smallest
     fragment (tolerance: the noise of 25 at most on two libraries)."""
