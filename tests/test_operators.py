@@ -590,6 +590,22 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     assert got == {tuple(r) for r in links.link_counts(links.link_observations(spark.createDataFrame(rows, PAIRS), libs)).collect()}
 
 
+def test_lines_of_texts_in_pieces(spark):
+    r = np.random.default_rng(9)
+    texts = {k: "".join(r.choice(list("ACGTN"), n)) for k, n in enumerate((0, 1, 99, 100, 101, 250, 1000, 4321))}
+    rows = []
+    for k, text in texts.items():
+        ends = sorted({0, len(text), *r.integers(0, len(text) + 1, 9).tolist()})
+        rows += [(f"s{k}", a, text[a:b]) for a, b in zip(ends, ends[1:])] + [(f"s{k}", 0, "")]
+    pieces = spark.createDataFrame(rows, "name string, offset long, seq string")
+    got = {}
+    for x in sinks.fasta_rows(pieces, pieces.select("name").distinct()).collect():
+        got.setdefault(x.name, {})[x.line] = x.value
+    for k, text in texts.items():
+        want = {-1: f">s{k}"} | {i // 100: text[i : i + 100] for i in range(0, len(text), 100)}
+        assert got[f"s{k}"] == want
+
+
 def test_fasta_pieces_across_splits(spark, tmp_path):
     r = np.random.default_rng(2)
     records = [("".join(r.choice(list("ACGTN"), int(n)))) for n in (0, 1, 99, 100, 101, 5000, 40_000, 0, 0, 700, 3)]

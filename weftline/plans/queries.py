@@ -801,6 +801,16 @@ def scaffold_sequences(spark, sf_dir):
     return sequence.scaffold_sequences(lay, d.withColumnRenamed("doc_id", "contig_id"))
 
 
+@query(f"""with {SEQ}, t as (select doc_id, doc_id // 5 scaffold_id, doc_id % 5 o, case when doc_id % 2 = 1 then reverse(translate(seq, 'ATCG', 'TAGC')) else seq end s, case when doc_id % 5 = 4 or doc_id = (select max(doc_id) from documents) then '' else repeat('N', cast(greatest(doc_id % 7, 1) as integer)) end g from seqs),
+whole as (select scaffold_id, string_agg(s || g, '' order by o) seq from t group by scaffold_id)
+select scaffold_id, unnest(range(0, (len(seq) + 99) // 100)) line, unnest(list_transform(range(0, (len(seq) + 99) // 100), lambda i: substr(seq, 100 * i + 1, 100))) as value from whole""")
+def scaffold_lines(spark, sf_dir):
+    """The lines of the same scaffolds, from pieces: none is ever whole."""
+    d = Data(spark, sf_dir).documents()
+    units = d.select(F.floor(F.col("doc_id") / 5).alias("scaffold_id"), F.lit(0).alias("piece"), F.col("doc_id").alias("contig_id"), (F.col("doc_id") % 5).alias("start"), (F.col("doc_id") % 5 + 1).alias("end"), (F.col("doc_id") % 7).alias("gap"), F.when(F.col("doc_id") % 2 == 1, sequence.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    return sequence.line_rows(sequence.placed(units), ["scaffold_id", "piece"]).drop("piece")
+
+
 @query("select 'scaffold' || row_number() over (order by c_custkey) as name, c_custkey from customer")
 def renumbered_headers(spark, sf_dir):
     return sinks.renumbered(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")

@@ -111,20 +111,23 @@ def sequences(placed: DataFrame, small: DataFrame, seqs: DataFrame, max_insert:
     names = sinks.renumbered(pieces.unionByName(single), "kind", "scaffold_id", "piece")
     units = units.join(names.where("kind = 0").drop("kind"), ["scaffold_id", "piece"])
     alone = small.join(names.where("kind = 1").select(F.col("scaffold_id").alias("contig_id"), "name"), "contig_id")
-    text = sequence.joined(units).join(names.where("kind = 0").drop("kind"), ["scaffold_id", "piece"]).select("name", "seq")
-    text = text.unionByName(alone.join(seqs, "contig_id").select("name", "seq"))
+    pieces = sequence.placed(units).join(names.where("kind = 0").drop("kind"), ["scaffold_id", "piece"]).select("name", "offset", "seq")
+    pieces = pieces.unionByName(alone.join(seqs, "contig_id").select("name", F.lit(0).cast("long").alias("offset"), "seq"))
+    lines = sinks.fasta_rows(pieces, names)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "seq")))
+    text = pieces.groupBy("name").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
     log = sinks.scaffold_log_lines(units, alone)
     # evidence lists the layout's fragments, merged or not, in the pieces that were written
     number = lambda t: t.withColumn("number", F.substring("name", 9, 20).cast("long"))
     own = number(units).select("number", F.explode(F.split("ids", "\\+")).alias("contig_id")).withColumn("contig_id", F.col("contig_id").cast("long"))
     told = placed.join(own, "contig_id").drop("scaffold_id", "gap", "piece").withColumnRenamed("number", "scaffold_id")
     evidence = sinks.evidence_lines(layout.gaps(told), small=number(alone).select(F.col("number").alias("scaffold_id"), "contig_id", "len"))
-    return {"units": units, "fasta": text, "log": log, "evidence": evidence}
+    return {"units": units, "fasta": text, "fasta_rows": lines, "log": log, "evidence": evidence}
 
 
 def run(pairs: DataFrame, config: Config, seqs: DataFrame, alignments: DataFrame | None = None, **more) -> dict[str, DataFrame]:
     """The whole run from read pairs (lib names as in the configuration), fragments (contig_id, seq) and long-read alignments
-    to layout, units, fasta, log and evidence."""
+    to layout, units, fasta (whole texts) and fasta_rows (its lines), log and evidence."""
     o = Options.of(config, **more)
     contigs = seqs.select("contig_id", F.length("seq").cast("long").alias("len"))
     links3 = longread.read_links(alignments, config.classes()["3GS"][0] if config.classes()["3GS"] else "3GS") if alignments is not None else None
@@ -136,7 +139,8 @@ def write_run(got: dict[str, DataFrame], folder: str) -> None:
     """Layout as Parquet; FASTA, log and evidence as text, in order of their scaffolds."""
     got["layout"].write.parquet(f"{folder}/layout")
     at = F.substring("name", 9, 20).cast("long")
-    sinks.fasta_lines(got["fasta"].repartitionByRange(at).sortWithinPartitions(at)).write.text(f"{folder}/fasta")
+    # line by line: no row holds a whole scaffold
+    got["fasta_rows"].repartitionByRange(at, "line").sortWithinPartitions(at, "line").select("value").write.text(f"{folder}/fasta")
     got["log"].repartitionByRange(at, "ord").sortWithinPartitions(at, "ord").select("value").write.text(f"{folder}/log")
     got["evidence"].repartitionByRange("scaffold_id", "ord").sortWithinPartitions("scaffold_id", "ord").select("value").write.text(f"{folder}/evidence")
 
