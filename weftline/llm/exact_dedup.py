@@ -181,7 +181,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Decide for every row whether it stays: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty; a null id is larger than any other. Rows that repeat both id and text all count in
-    group_size and are marked alike (deduplicate() leaves one of them). Other columns are not read. An empty table
+    group_size and are marked alike (deduplicate() leaves one of them). Very long texts are compared whole. Other columns are not read. An empty table
     gives an empty result.
     """
     rows = decided(docs, id_col, text_col, rows=False)

@@ -141,7 +141,7 @@ def language(docs: DataFrame) -> DataFrame:
 
     Learns from rows with a lang whose crc32(doc_id) mod 5 is not 0. Null texts and texts without letters (Unicode
     category L; numerals are none) are `und` with score 0; ties go to the first language in order; without training
-    rows everything is `und`. Repeated rows get equal rows; other columns are not read. An empty table gives no rows.
+    rows everything is `und`. Very long texts are scored by all their words. Repeated rows get equal rows; other columns are not read. An empty table gives no rows.
     """
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(BackoffModel(training_sample(docs))))
 

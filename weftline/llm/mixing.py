@@ -144,7 +144,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sources in code-point order, null last, take the weights in turn. Null texts have size 0; a document of
     size 0 takes no words; null ids and repeated rows are documents like any other; a source without words
-    has target 0. Reruns agree. An empty table gives no rows.
+    has target 0. Very long texts count with all their words and are no special case. Reruns agree. An empty table gives no rows.
     """
     sizes = cut(word_sizes(docs, id_col, text_col, source_col))
     plan = cut(targets(sizes, weights, cap))
@@ -182,7 +182,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mixture itself: every document as often as the mix takes it, with its own columns, whatever these are named.
 
     Rows that repeat both id and text share the copies that the mix gives them all. Null texts, ids and sources are as
-    in mix(); a document that the mix takes no copy of is left out. An empty table gives no rows.
+    in mix(); a document that the mix takes no copy of is left out. Very long texts are rows like any other. An empty table
+    gives no rows.
     """
     plan = mix(docs, id_col, text_col, source_col).groupBy("doc_id", "k").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     plan = plan.where("copies > 0").select(F.col("doc_id").alias("id"), F.col("k").alias("own"), "copies", "n")

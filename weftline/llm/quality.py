@@ -151,7 +151,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
 
     Only rows whose crc32(doc_id) mod 4 is not 2 are learnt from. Null texts score as empty ones (one chunk of
     padding); repeated rows get equal scores; other columns are not read. Without labels of both classes all scores
-    are 0.5. An empty table gives no rows.
+    are 0.5. Very long texts are scored over chunks that cover them whole. An empty table gives no rows.
     """
     model = train(labelled_sample(docs, labels, "quality", 4, 2, per_class))
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))

@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with fewer words than a shingle are one shingle; null and wordless texts have fingerprint zero and
     are linked like any other. Null ids are larger than others (a component of null ids has a null id).
-    Repeated rows get equal rows; other columns are not read. An empty table gives no rows.
+    Very long texts are hashed whole. Repeated rows get equal rows; other columns are not read. An empty table gives no rows.
     """
     rows = fingerprints(docs, id_col, text_col, words).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
     rows = cut(rows)
@@ -569,7 +569,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Near duplicates have a similarity (Jaccard, all distinct five-word shingles) of SIMILAR or more, found and decided
     exactly (similar_pairs); groups are connected components. Null and wordless texts are equal to each other. Null ids
-    count as largest; of repeated rows one stays. Columns may have any name. An empty table gives no rows.
+    count as largest; of repeated rows one stays. Very long texts are compared by all their shingles. Columns may have any name.
+    An empty table gives no rows.
     """
 
     spark = docs.sparkSession

@@ -477,7 +477,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if some LENGTH-byte string that covers it also starts earlier: in a document with a smaller id,
     or earlier in its own. Null texts are empty; shorter texts lose nothing. Rows that share an id, or have none,
-    are documents of their own, ordered by text. Other columns are not read. An empty table gives no rows.
+    are documents of their own, ordered by text. Very long texts are judged whole. Other columns are not read. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     before = spark.conf.get(ARROW_ROWS)

@@ -168,7 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
     Only rows whose crc32(doc_id) mod 3 is not 1 are learnt from. Null and empty texts get the score of a
     text without windows; repeated rows get equal scores; other columns are not read. Without labels of both
-    classes all scores are 0. An empty table gives no rows.
+    classes all scores are 0. Very long texts are scored over all their windows. An empty table gives no rows.
     """
     model = train(labelled_sample(docs, labels, "toxic", 3, 1, per_class))
     return scores(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
