@@ -590,6 +590,31 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     assert got == {tuple(r) for r in links.link_counts(links.link_observations(spark.createDataFrame(rows, PAIRS), libs)).collect()}
 
 
+def test_windows_of_a_stream_close(spark, tmp_path):
+    from weftline.streaming.link_counts import windowed_link_counts
+
+    libs = spark.createDataFrame(LIBS, LIBRARIES)
+    folder, schema = str(tmp_path / "in"), PAIRS + ", at timestamp"
+
+    def arrive(*minutes):
+        rows = [("PE", 1, 100, 200, 2, 300, 200, m) for m in minutes]
+        spark.createDataFrame(rows, PAIRS + ", m long").selectExpr("* except (m)", "timestamp_seconds(m * 60) as at").coalesce(1).write.mode("append").parquet(folder)
+
+    arrive(0, 1, 11)
+    stream = windowed_link_counts(spark.readStream.schema(schema).parquet(folder), libs, "at", "10 minutes", "5 minutes")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    arrive(40)  # closes the first two windows
+    q.processAllAvailable()
+    arrive(2, 41)  # one comes too late
+    q.processAllAvailable()
+    got = sorted((int(r.start.timestamp()) // 60, r.c1, r.c2, r.n) for r in spark.sql("select * from windows").collect())
+    q.stop()
+    assert got == [(0, 1, 2, 2), (0, 2, 1, 2), (10, 1, 2, 1), (10, 2, 1, 1)]
+    whole = windowed_link_counts(spark.read.schema(schema).parquet(folder), libs, "at", "10 minutes", "5 minutes")
+    assert sorted((int(r.start.timestamp()) // 60, r.c1, r.n) for r in whole.collect()) == [(0, 1, 3), (0, 2, 3), (10, 1, 1), (10, 2, 1), (40, 1, 2), (40, 2, 2)]
+
+
 def test_lines_of_texts_in_pieces(spark):
     r = np.random.default_rng(9)
     texts = {k: "".join(r.choice(list("ACGTN"), n)) for k, n in enumerate((0, 1, 99, 100, 101, 250, 1000, 4321))}

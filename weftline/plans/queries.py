@@ -15,6 +15,7 @@ from weftline.functions.runs import by_runs
 from weftline.operators import assess, cluster, layout, links, longread, merge, regress, superscaffold
 from weftline.operators.components import checkpointed, connected_components
 from weftline.sources import readers, sinks
+from weftline.streaming import link_counts
 
 from . import scaffolding
 
@@ -854,6 +855,28 @@ def layout_of_log(spark, sf_dir):
     return readers.of_log(d.layout, log).select("scaffold_id", "contig_id", "start")
 
 
+# ---- streams ---------------------------------------------------------------------------------------------------
+@query("""with seen as (select l_partkey c1, l_partkey + 1 + l_linenumber c2, date_trunc('month', cast(l_shipdate as timestamp)) start from lineitem where l_quantity > 1)
+select start, cast(c1 as bigint) c1, cast(c2 as bigint) c2, count(*) n from (select start, c1, c2 from seen union all select start, c2, c1 from seen) group by all""")
+def streamed_link_counts(spark, sf_dir):
+    """Links of the lines of each month as they arrive (one file after the other), counted by a stream with a watermark; the
+    months' own counts are windows of 31 days at most, so days are summed."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pairs = lines.select(F.lit("PE").alias("lib"), F.col("l_partkey").cast("long").alias("c1"), F.lit(100).cast("long").alias("p1"), F.when(F.col("l_quantity") > 1, 200).otherwise(100).cast("long").alias("m1"), (F.col("l_partkey") + 1 + F.col("l_linenumber")).cast("long").alias("c2"), F.lit(300).cast("long").alias("p2"), F.lit(200).cast("long").alias("m2"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    checkpointed(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    pairs.write.parquet(f"{path}/in")
+    counts = link_counts.windowed_link_counts(spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"), Data(spark, sf_dir).libraries, "at", "1 day", "4000 days")
+    # each batch writes the counts that it changed; the last one of a window and pair holds
+    run = counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/out/{i}")).start()
+    run.awaitTermination()
+    last = spark.read.parquet(f"{path}/out/*").groupBy("start", "c1", "c2").agg(F.max_by("n", "batch").alias("n"))
+    out = checkpointed(last.groupBy(F.date_trunc("month", "start").alias("start"), "c1", "c2").agg(F.sum("n").alias("n")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 # ---- text files -----------------------------------------------------------------------------------------------
 def _read_back(lines: list[DataFrame], read: Callable[[str], DataFrame], by: str | None = None) -> DataFrame:
     """What `read` makes of a folder to which the lines (value) were written as text, one frame after the other; the folder, in
