@@ -29,7 +29,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles) the row with the smallest doc_id stays.
+    """Of each component of near duplicates the row with the smallest doc_id stays: SimHash links, decided on all five-word
+    shingles, and what fingerprints miss of that similarity.
     Null and wordless texts are equal to each other; very long texts are compared by all their shingles."""
     return simhash.one_per_group(docs)
 

@@ -341,6 +341,34 @@ def test_near_copies_with_passages_added_or_cut(spark):
     assert kept_ids(spark, texts) == brute_kept(texts)
 
 
+def test_near_copies_come_first_from_fingerprints(spark, monkeypatch):
+    r, seen, real = np.random.default_rng(21), [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct: seen.append(real(distinct).cache()) or seen[-1])
+    texts = []
+    for _ in range(12):
+        b = [f"w{i}" for i in r.integers(0, 10**6, 900)]
+        texts += [" ".join(b), " ".join([*b[:-1], "end"])]
+    for g in range(6):  # one line repeated makes the prints alike, but few shingles are shared
+        texts.append("the same line again " * 400 + " ".join(f"w{i}" for i in r.integers(0, 10**6, 40)))
+    assert kept_ids(spark, texts) == brute_kept(texts)
+    fp = [simhash.fingerprint(t.encode()) for t in texts]
+    got = {tuple(sorted(x & (2**64 - 1) for x in p)) for d in seen for p in d.collect()}
+    alike = {tuple(sorted((x, y))) for i, x in enumerate(fp) for y in fp[:i] if 0 < (x ^ y).bit_count() <= 4}
+    assert got and got <= alike and {x for p in got for x in p} == {x for p in alike for x in p}
+    # as pairs of rows: all that fingerprints connect, equal ones too
+    rows = spark.createDataFrame([(i, x - 2**64 if x >> 63 else x) for i, x in enumerate(fp + fp[:5])], "rid long, fp long")
+    root = list(range(len(fp) + 5))
+    for a, b in simhash.print_pairs(rows, len(root)).collect():
+        assert a < b
+        root = [root[a] if x == root[b] else x for x in root]
+    want = list(range(len(root)))
+    for i, x in enumerate(fp + fp[:5]):
+        for j, y in enumerate((fp + fp[:5])[:i]):
+            if (x ^ y).bit_count() <= 4:
+                want = [want[j] if v == want[i] else v for v in want]
+    assert [root.index(v) for v in root] == [want.index(v) for v in want]
+
+
 # ---- suffixes ----
 def brute_repeats(rows, n=100):
     seen, out = set(), {}

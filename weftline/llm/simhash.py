@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component_id").alias("component_id"))
 
 
-# ---- the pipeline's stage: similarity of five-word shingles ------------------------------------------------------
+# ---- the pipeline's stage: fingerprints, then similarity of five-word shingles -----------------------------------
 #: Shingle length; similarity as a fraction; rows in a bucket from which all pairs are no longer listed at once; least 64-bit
 #: words of a set's parity bits; bits of a filter of ids or shingles.
 SHINGLE, SIMILAR, SMALL, PARITY, FILTER = 5, (4, 5), 16, 4, 1 << 24
@@ -484,13 +484,24 @@ def _common(rows: DataFrame) -> np.ndarray:
     return found
 
 
-def similar_pairs(rows: DataFrame) -> DataFrame:
-    """Links (src, dst) that connect what pairs of similar sets connect; rows has rid, n, bits and s
-    (the whole set, its size and its parity bits).
+def print_pairs(rows: DataFrame, total: int) -> DataFrame:
+    """Pairs (src < dst) of row numbers that span what fingerprints link: each row of a fingerprint with the first of it, and the
+    first rows of two fingerprints within MAX_BITS (links). rows has rid and fp, total of them."""
+    first = cut(rows.groupBy("fp").agg(F.min("rid").alias("first"), F.count("*").alias("m")))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"r_{c}")) for c in ("src", "dst"))
+    near = links(first).join(a, "src").join(b, "dst").select(F.least("r_src", "r_dst").alias("src"), F.greatest("r_src", "r_dst").alias("dst"))
+    same = lookup(rows.select("rid", "fp"), "fp", first.where("m > 1"), "fp", "m", total, F.col("rid")).where("first < rid")
+    return near.unionByName(same.select(F.col("first").alias("src"), F.col("rid").alias("dst")))
 
-    Every similar pair shares a key (see prefix), so it meets in a bucket. Short buckets list all their pairs, long ones
-    first some. Once those are decided and connected, each row of a long bucket lists the likeliest partners in other
-    components, FEW in the first round and MORE times as many in each further one, until no row has a possible partner
+
+def similar_pairs(rows: DataFrame, total: int) -> DataFrame:
+    """Links (src, dst) that connect what pairs of similar sets connect; rows has rid, n, bits, s and fp
+    (the whole set, its size, its parity bits and the text's fingerprint), total of them.
+
+    Fingerprints within MAX_BITS give the first pairs (print_pairs). Fingerprints of similar sets can differ in more bits, so
+    buckets follow for the rest: every similar pair shares a key (see prefix), so it meets in a bucket. Short buckets list all
+    their pairs, long ones first some. Once those are decided and connected, each row of a long bucket lists the likeliest
+    partners in other components, FEW in the first round and MORE times as many in each further one, until no row has a possible partner
     left that was not decided: rows that find their group at once never list the others. All links are decided on the
     whole sets.
     """
@@ -522,7 +533,9 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
             a, b = (rows.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}")) for c in ("src", "dst"))
             pairs = cut(pairs.join(a, "src").join(b, "dst").where(may("b_src", "b_dst", "n_src", "n_dst")).select("src", "dst"))
             release(spark)
-        pairs = narrowed(pairs, pairs.count())
+        if not (n := pairs.count()):
+            return pairs.select("src", "dst")
+        pairs = narrowed(pairs, n)
         # only sets that take part are dealt out: a filter of fixed size, whose false hits cost a row each
         wanted = spark.sparkContext.broadcast(filters(pairs.select(F.explode(F.array("src", "dst")).alias("h"), F.lit(0).alias("level")), 1)[0])
 
@@ -536,10 +549,12 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
         release(spark)
         return out
 
+    linked = cut(print_pairs(rows.where("n > 0").select("rid", "fp"), total).distinct())
+    release(spark)
     keyed = rows.select("rid", "s").mapInArrow(keys, "key long, rid long, n int, pos int")
     met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _first_pairs), "key long, src long, dst long, pos int").distinct())
     release(spark)
-    tried = met.where("dst >= 0").select("src", "dst")
+    tried = cut(linked.unionByName(met.where("dst >= 0").select("src", "dst")).distinct())
     found = decided(tried)
     hot = met.where("dst < 0").select("key", F.col("src").alias("rid"), "pos")
     if hot.isEmpty():
@@ -567,8 +582,9 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns: of each group of near duplicates the smallest id.
 
-    Near duplicates have a similarity (Jaccard, all distinct five-word shingles) of SIMILAR or more, found and decided
-    exactly (similar_pairs); groups are connected components. Null and wordless texts are equal to each other. Null ids
+    Near duplicates have a similarity (Jaccard, all distinct five-word shingles) of SIMILAR or more. SimHash (the fingerprints,
+    keys and links of near_duplicates) names the first pairs, a join on shingles those that fingerprints miss, and all are decided
+    on the whole sets (similar_pairs); groups are connected components. Null and wordless texts are equal to each other. Null ids
     count as largest; of repeated rows one stays. Very long texts are compared by all their shingles. Columns may have any name.
     An empty table gives no rows.
     """
@@ -598,17 +614,19 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(2)]
-            cols = pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "n", "bits", "s"])
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
+            cols = pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(fp)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "n", "bits", "s", "fp"])
         _word_hash.clear()  # a worker goes on to other work
 
     spark = docs.sparkSession
     rows = docs.select(*[c.alias(n) for n, c in _own(id_col, text_col).items()], binary_text(text_col).alias("t"))
     release(spark)
-    rows = cut(rows.mapInArrow(run, "id long, k long, n long, bits binary, s binary").withColumn("rid", F.monotonically_increasing_id()))
+    rows = cut(rows.mapInArrow(run, "id long, k long, n long, bits binary, s binary, fp long").withColumn("rid", F.monotonically_increasing_id()))
     release(spark)
     ids = rows.select("id", "k", "rid", (F.col("n") == 0).alias("empty"))
-    comp = connected_components(similar_pairs(rows.select("rid", "n", "bits", "s")))
+    total = ids.count()
+    comp = connected_components(similar_pairs(rows.select("rid", "n", "bits", "s", "fp"), total))
     member = ids.where("not empty").join(comp, F.col("rid") == F.col("node")).select("id", "k", "rid", "component")
     member = cut(member.unionByName(ids.where("empty").select("id", "k", "rid", F.lit(-1).cast("long").alias("component"))))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
