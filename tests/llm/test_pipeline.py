@@ -1,13 +1,16 @@
 """The pipeline's stages keep the columns of documents, and what stays agrees with a plain version of each stage."""
 
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from weftline.llm import bpe, toxicity
-from weftline.llm.common import labelled_sample
+from weftline.llm.common import ARROW_ROWS, labelled_sample
 
 from .test_ops import water_fill
 
@@ -86,6 +89,40 @@ def test_stages_of_an_empty_table(spark):
         assert docs.count() == 0, name
 
 
+@pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "mixing", "bpe"])
+def test_stages_hand_out_texts_in_small_batches(spark, name):
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        spark.conf.set(ARROW_ROWS, "10000")
+        dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+        assert int(spark.conf.get(ARROW_ROWS)) <= 1000
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def test_workers_give_memory_back():
+    """What a task of 10,000 documents leaves behind in MB (197 without give_back, 80 with it)."""
+    code = """if 1:
+        import re
+        import pyarrow.parquet as pq
+        from weftline.llm import bpe
+        held = lambda: sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+        run = []
+        class Docs:
+            def select(self, *a): return self
+            def mapInArrow(self, f, schema): run.append(f)
+        bpe.F.col = lambda *a: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, n: s})()
+        bpe.encode(Docs())
+        batches = lambda: pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(10000, columns=["doc_id", "text"])
+        bpe.codec(bpe.default_path())
+        start = held()
+        n = sum(x.num_rows for x in run[0](batches()))
+        print(n, held() - start)
+    """
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True).stdout.split()
+    assert int(got[0]) == 10000 and int(got[1]) < 130
+
+
 def test_run_and_entry(spark):
     import __spark_entry__
 

@@ -743,3 +743,23 @@ def test_run_writes_merged_fragments_gaps_and_breaks(spark, tmp_path):
 
 def sequence_reversed(s):
     return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_components_write_few_files_for_few_edges(spark):
+    from weftline.operators.components import connected_components
+
+    edges = spark.range(300).selectExpr("id as src", "id + 1 as dst").where("src % 3 > 0")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        made = []
+        write = type(edges).checkpoint
+        type(edges).checkpoint = lambda self, *a, **k: made.append(out := write(self, *a, **k)) or out
+        got = {r.node: r.component for r in connected_components(edges, rows=200).collect()}
+    finally:
+        type(edges).checkpoint = write
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == {i: i - (i - 1) % 3 for i in range(1, 301)}
+    assert made and all(d.rdd.getNumPartitions() == 1 for d in made)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, table
+from .common import give_back, quoted, table
 
 #: Pre-token pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -273,6 +273,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec(at).encode_batch(_texts(b.column(1))), pa.binary())], names=["doc_id", "ids"])
         codec(at).cache.clear()  # a worker goes on to other work; the next task's words fill it again
+        give_back()
 
     return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.components import connected_components, narrowed
+from weftline.operators.components import connected_components, dealt, narrowed
 
-from .common import ARROW_ROWS, binary_text, cut, lookup, packed, quoted, release, small_batches, table
+from .common import ARROW_ROWS, binary_text, cut, give_back, lookup, packed, quoted, release, small_batches, table
 
 #: Generator polynomial of the (23,12) Golay code (fixed value).
 GOLAY = 0b101011100011
@@ -221,6 +221,8 @@ SHINGLE, SIMILAR, SMALL, PARITY, FILTER = 5, (4, 5), 16, 4, 1 << 24
 #: Only shingles with hashes below this (40 %) are counted: the others come after the uncommon ones of these, of which a set has
 #: enough as a rule. From how many documents on a shingle is common, and very common.
 COUNTED, OFTEN = int(0.4 * 2**64), (SMALL, 512)
+#: Rows of the stage's input for each file of its small tables.
+FILE_ROWS = 50_000
 #: Partners that a row of a long bucket lists in the first round, and how many times more in each further one; pairs that a task
 #: looks at together (these bound its memory).
 FEW, MORE, PAIRS_AT_ONCE = 4, 8, 200_000
@@ -363,6 +365,7 @@ def _runs(batches: Iterator[pa.RecordBatch], out) -> Iterator[pa.RecordBatch]:
         held = [b.slice(end)]
     if held:
         yield from out(pa.Table.from_batches(held).combine_chunks())
+    give_back()
 
 
 def _pairs(left: list, right: list) -> np.ndarray:
@@ -484,10 +487,15 @@ def _common(rows: DataFrame) -> np.ndarray:
     return found
 
 
+def _dealt(df: DataFrame, total: int) -> DataFrame:
+    """df, written in files for total rows of input (see dealt)."""
+    return cut(dealt(df, total, FILE_ROWS))
+
+
 def print_pairs(rows: DataFrame, total: int) -> DataFrame:
     """Pairs (src < dst) of row numbers that span what fingerprints link: each row of a fingerprint with the first of it, and the
     first rows of two fingerprints within MAX_BITS (links). rows has rid and fp, total of them."""
-    first = cut(rows.groupBy("fp").agg(F.min("rid").alias("first"), F.count("*").alias("m")))
+    first = _dealt(rows.groupBy("fp").agg(F.min("rid").alias("first"), F.count("*").alias("m")), total)
     a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"r_{c}")) for c in ("src", "dst"))
     near = links(first).join(a, "src").join(b, "dst").select(F.least("r_src", "r_dst").alias("src"), F.greatest("r_src", "r_dst").alias("dst"))
     same = lookup(rows.select("rid", "fp"), "fp", first.where("m > 1"), "fp", "m", total, F.col("rid")).where("first < rid")
@@ -531,7 +539,7 @@ def similar_pairs(rows: DataFrame, total: int) -> DataFrame:
         """The similar ones of pairs; ruled_out: those whose parity bits exclude it are not among them."""
         if not ruled_out:
             a, b = (rows.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}")) for c in ("src", "dst"))
-            pairs = cut(pairs.join(a, "src").join(b, "dst").where(may("b_src", "b_dst", "n_src", "n_dst")).select("src", "dst"))
+            pairs = _dealt(pairs.join(a, "src").join(b, "dst").where(may("b_src", "b_dst", "n_src", "n_dst")).select("src", "dst"), total)
             release(spark)
         if not (n := pairs.count()):
             return pairs.select("src", "dst")
@@ -543,35 +551,35 @@ def similar_pairs(rows: DataFrame, total: int) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array(marked(b.column(0).to_numpy().view(np.uint64), wanted.value)))
 
-        used = cut(rows.select("rid", "s").mapInArrow(chosen, "rid long, s binary"))
+        used = cut(rows.select("rid", "s").mapInArrow(chosen, "rid long, s binary").coalesce(max(24, -(-total // FILE_ROWS))))
         a, b = (used.select(F.col("rid").alias(c), F.col("s").alias(f"s_{c}")) for c in ("src", "dst"))
-        out = cut(pairs.join(a, "src").join(b, "dst").where(same("s_src", "s_dst")).select("src", "dst"))
+        out = _dealt(pairs.join(a, "src").join(b, "dst").where(same("s_src", "s_dst")).select("src", "dst"), total)
         release(spark)
         return out
 
-    linked = cut(print_pairs(rows.where("n > 0").select("rid", "fp"), total).distinct())
+    linked = _dealt(print_pairs(rows.where("n > 0").select("rid", "fp"), total).distinct(), total)
     release(spark)
     keyed = rows.select("rid", "s").mapInArrow(keys, "key long, rid long, n int, pos int")
-    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _first_pairs), "key long, src long, dst long, pos int").distinct())
+    met = _dealt(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _first_pairs), "key long, src long, dst long, pos int").distinct(), total)
     release(spark)
-    tried = cut(linked.unionByName(met.where("dst >= 0").select("src", "dst")).distinct())
+    tried = _dealt(linked.unionByName(met.where("dst >= 0").select("src", "dst")).distinct(), total)
     found = decided(tried)
     hot = met.where("dst < 0").select("key", F.col("src").alias("rid"), "pos")
     if hot.isEmpty():
         return found
     hot = narrowed(hot, hot.count())
-    side = cut(rows.select("rid", "n", "bits").join(hot.select("rid").distinct(), "rid"))
+    side = _dealt(rows.select("rid", "n", "bits").join(hot.select("rid").distinct(), "rid"), total)
     few, new, comp = FEW, found, None
     while True:
         # what is connected already counts as links to the component's smallest number
         edges = new if comp is None else new.unionByName(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-        comp = connected_components(edges)
+        comp = connected_components(edges, rows=total)
         release(spark)
         now = side.join(comp, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("component", "rid").alias("component"), "n", "bits")
-        crowd = hot.join(cut(now), "rid").select("key", "rid", "component", "n", "pos", "bits")
-        listed = cut(crowd.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, f=_cross_pairs(few): _runs(b, f), "src long, dst long").distinct())
+        crowd = hot.join(_dealt(now, total), "rid").select("key", "rid", "component", "n", "pos", "bits")
+        listed = _dealt(crowd.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, f=_cross_pairs(few): _runs(b, f), "src long, dst long").distinct(), total)
         release(spark)
-        fresh = cut(listed.where("dst >= 0").join(tried, ["src", "dst"], "left_anti"))
+        fresh = _dealt(listed.where("dst >= 0").join(tried, ["src", "dst"], "left_anti"), total)
         new = decided(fresh, ruled_out=True)
         found = found.unionByName(new)
         if listed.where("dst < 0").isEmpty():
@@ -618,6 +626,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             cols = pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(fp)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "n", "bits", "s", "fp"])
         _word_hash.clear()  # a worker goes on to other work
+        give_back()
 
     spark = docs.sparkSession
     rows = docs.select(*[c.alias(n) for n, c in _own(id_col, text_col).items()], binary_text(text_col).alias("t"))
@@ -626,13 +635,13 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     release(spark)
     ids = rows.select("id", "k", "rid", (F.col("n") == 0).alias("empty"))
     total = ids.count()
-    comp = connected_components(similar_pairs(rows.select("rid", "n", "bits", "s", "fp"), total))
+    comp = connected_components(similar_pairs(rows.select("rid", "n", "bits", "s", "fp"), total), rows=total)
     member = ids.where("not empty").join(comp, F.col("rid") == F.col("node")).select("id", "k", "rid", "component")
-    member = cut(member.unionByName(ids.where("empty").select("id", "k", "rid", F.lit(-1).cast("long").alias("component"))))
+    member = _dealt(member.unionByName(ids.where("empty").select("id", "k", "rid", F.lit(-1).cast("long").alias("component"))), total)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
-    first = cut(member.groupBy("component").agg(F.min(order).alias("o"), F.count("*").alias("n")).select("component", "n", F.col("o.rid").alias("first")))
+    first = _dealt(member.groupBy("component").agg(F.min(order).alias("o"), F.count("*").alias("n")).select("component", "n", F.col("o.rid").alias("first")), total)
     member = lookup(member, "component", first, "component", "n", first.agg(F.sum("n")).first()[0] or 0, F.col("rid"))
-    member = cut(member.select("id", "k", (F.col("rid") == F.col("first")).alias("stays")))
+    member = _dealt(member.select("id", "k", (F.col("rid") == F.col("first")).alias("stays")), total)
     release(spark)
     return member
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, packed, quoted, remainder, table
+from .common import give_back, labelled_sample, packed, quoted, remainder, table
 
 #: Training rows taken of each class at most (about); half fit the dictionaries, half the calibration.
 PER_CLASS = 2000
@@ -157,6 +157,7 @@ def scores(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", tex
             m, pair = _loaded(blob.value)
             x = np.array([m.features(prepare(t.as_py()), pair) for t in b.column(1)]).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(x), pa.float64())], names=[b.schema.names[0], "score"])
+        give_back()
 
     text = F.col(quoted(text_col)).cast("string")
     given = packed(docs, t=text) if rows else docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("t"))
