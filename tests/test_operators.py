@@ -398,6 +398,14 @@ def test_pieces_are_connected_and_within_the_cap(spark):
     assert sum(len(p) > 4 for p in parts.values() if min(p) < 1000) >= 15  # pieces grow, they do not stay single
 
 
+def test_rounds_do_not_multiply_the_estimated_size(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "c1 long, c2 long")
+    comp = spark.createDataFrame([(i, 0) for i in range(61)], "node long, component long")
+    linked = connected_components(chain.select(F.col("c1").alias("src"), F.col("c2").alias("dst")))
+    for df in (regress.bounded_pieces(comp, chain, 8), linked):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**100
+
+
 def test_components_over_the_cap_are_solved_in_pieces(spark):
     from weftline.plans.queries import Data
 

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage in the shared checkpoint folder. Its files go once nothing on the driver refers to them."""
+def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
+    """df, cut from its lineage in the shared checkpoint folder. Its files go once nothing on the driver refers to them.
+
+    A checkpoint keeps the size that was estimated for df, and a join's is the product of its sides': in a loop of joins its
+    digits multiply each round, until the driver does nothing but multiply them. With forget it starts anew.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
@@ -17,6 +21,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
     sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if forget:
+        df = DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -38,7 +44,7 @@ def dealt(df: DataFrame, rows: int, per_task: int = TASK_EDGES) -> DataFrame:
 
 def _signed(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges, written once, with their number and a sum of hashes."""
-    out = checkpointed(edges)
+    out = checkpointed(edges, forget=True)
     return out, tuple(out.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 40)))).first())
 
 

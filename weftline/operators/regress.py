@@ -416,14 +416,14 @@ def bounded_pieces(comp: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
         a = side.select(F.col("node").alias("src"), F.col("piece").alias("a"), F.col("k").alias("ka"))
         b = side.select(F.col("node").alias("dst"), F.col("piece").alias("b"), F.col("k").alias("kb"))
         fits = within.join(a, "src").join(b, "dst").where(F.col("a") != F.col("b")).where(F.col("ka") + F.col("kb") <= cap)
-        fits = checkpointed(fits.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("ka").alias("ka"), F.first("kb").alias("kb")))
+        fits = checkpointed(fits.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("ka").alias("ka"), F.first("kb").alias("kb")), forget=True)
         if fits.isEmpty():
             break
         head = lambda c: F.pmod(F.xxhash64(c, F.lit(toss)), F.lit(2)) == 1
         wish = fits.where(~head("a") & head("b")).groupBy("a").agg(F.max_by(F.struct("b", "n", "ka", "kb"), F.struct("n", -F.col("b"))).alias("w"))
         wish = wish.select("a", "w.*").withColumn("room", F.sum("ka").over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) + F.col("kb"))
         moves = wish.where(F.col("room") <= cap).select(F.col("a").alias("piece"), F.col("b").alias("to"))
-        piece = checkpointed(piece.join(moves, "piece", "left").select("node", F.coalesce("to", "piece").alias("piece")))
+        piece = checkpointed(piece.join(moves, "piece", "left").select("node", F.coalesce("to", "piece").alias("piece")), forget=True)
     names = piece.groupBy("piece").agg(F.min("node").alias("component"))
     cut = piece.join(names, "piece").select("node", "component")
     return comp.join(sizes.select("component"), "component", "left_anti").select("node", "component").unionByName(cut)
@@ -485,13 +485,13 @@ def orientations(comp: DataFrame, votes: DataFrame, min_links: int, tree: bool =
     turned = by_runs(_gathered(pieces, votes), ["component"], ["kind", "c1", "c2"], run, "component long, node long, orient int")
     if pieces is comp:
         return turned
-    turned = checkpointed(turned.withColumnRenamed("component", "piece").join(comp, "node"))
+    turned = checkpointed(turned.withColumnRenamed("component", "piece").join(comp, "node"), forget=True)
     a = turned.select(F.col("node").alias("c1"), F.col("piece").alias("p1"), F.col("orient").alias("o1"), F.col("component").alias("k1"))
     b = turned.select(F.col("node").alias("c2"), F.col("piece").alias("p2"), F.col("orient").alias("o2"), F.col("component").alias("k2"))
     between = votes.where("c1 < c2").join(a, "c1").join(b, "c2").where("p1 <> p2 and k1 = k2")
     same = F.col("o1") == F.col("o2")
     sums = F.sum(F.when(same, F.col("n_pos")).otherwise(F.col("n_neg"))).alias("n_pos"), F.sum(F.when(same, F.col("n_neg")).otherwise(F.col("n_pos"))).alias("n_neg")
-    between = checkpointed(between.groupBy(F.least("p1", "p2").alias("c1"), F.greatest("p1", "p2").alias("c2")).agg(*sums))
+    between = checkpointed(between.groupBy(F.least("p1", "p2").alias("c1"), F.greatest("p1", "p2").alias("c2")).agg(*sums), forget=True)
     whole = turned.select(F.col("piece").alias("node"), "component").distinct()
     if between.isEmpty() or whole.count() == turned.count():  # nothing between the pieces, or none that holds two nodes
         return turned.select("component", "node", "orient")
