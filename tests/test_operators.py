@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import ordering, sequence, stats
 from weftline.functions.runs import by_runs
-from weftline.model import CONTIGS, LIBRARIES, PAIRS
+from weftline.model import CONTIGS, LAYOUT, LIBRARIES, PAIRS
 from weftline.operators import cluster, layout, links, longread, merge, regress, superscaffold
 from weftline.operators.components import connected_components
 from weftline.plans import scaffolding
@@ -684,6 +684,23 @@ def test_the_newest_layout_of_a_fragment_counts(spark, tmp_path):
     assert [(x.s1, x.s2, x.diff) for x in once] == [(1, 2, 9.0)]
 
 
+def test_layouts_of_many_scaffolds_share_files_and_splits(spark, tmp_path):
+    rows = [(k, 10 * k + i, 100.0 * i, 100.0 * i + 90, "FR"[i % 2], 1.0, 90) for k in range(200) for i in range(1, 1 + k % 5)]
+    lay = layout.gaps(spark.createDataFrame(rows, LAYOUT))
+    path = str(tmp_path / "layouts")
+    sinks.layout_text(lay).write.text(path)
+    assert len(list((tmp_path / "layouts").glob("part-*"))) <= 4  # one for every scaffold before
+    conf = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.minPartitionNum": "40"}  # a scaffold goes on in the next split
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted((x.scaffold_id, x.contig_id, x.start, x.end, x.direct, x.std, x.len) for x in readers.read_layouts(spark, path).collect())
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert got == sorted((10 * r[0] + 1, *r[1:]) for r in rows)
+
+
 # ---- places, runs, texts of a run ----
 def test_numbers_and_running_sums_agree_with_one_window(spark):
     r = np.random.default_rng(8)
