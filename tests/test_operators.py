@@ -12,7 +12,7 @@ from weftline.functions.runs import by_runs
 from weftline.model import CONTIGS, LAYOUT, LIBRARIES, PAIRS
 from weftline.operators import cluster, layout, links, longread, merge, regress, superscaffold
 from weftline.operators.components import connected_components
-from weftline.plans import scaffolding
+from weftline.plans import queries, scaffolding
 from weftline.sources import readers, sinks
 
 LIBS = [("PE", "PE", 800, 15.0), ("MP", "MP", 3000, 15.0)]
@@ -537,6 +537,18 @@ def end_to_end(a, b):
     return h[-1, -1]
 
 
+def test_texts_of_documents_are_not_dealt_out(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b " * 100_000) for i in range(2)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plans = []
+    cut = queries.checkpointed
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df.limit(0)))
+        queries.QUERIES["overlap_merge"](spark, str(tmp_path))
+    below = plans[0].split("RepartitionByExpression")[1]
+    assert "sha2" in below  # the hash is taken before rows are dealt out
+
+
 def test_banded_alignments_like_the_full_table():
     r = np.random.default_rng(5)
     pairs = []
